@@ -143,7 +143,7 @@ def parcels(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(
         F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("taxkey"), F.lit("P").alias("budget_version"),
         F.lit("2026").alias("yr_assmt"), classes[F.col("c_mktsegment")].alias("c_a_class"), value.alias("c_a_total"),
-        F.floor(value * 0.94).alias("p_a_total"), (F.col("c_custkey") % 7).cast("int").alias("nr_units"),
+        F.floor(value * 94 / 100).alias("p_a_total"), (F.col("c_custkey") % 7).cast("int").alias("nr_units"),
         F.when(F.col("c_nationkey") > 11, "O").alias("own_ocpd"))
 
 
