@@ -23,6 +23,12 @@ def range_join(points: DataFrame, ranges: DataFrame, keys: list[str], point: str
     return joined.drop("_cell")
 
 
+def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """A join side that is broadcast only when it is known to be small.  Beyond the bound the same join shuffles, and
+    Spark's skew handling splits heavy keys."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def nearest(values: Column, distance, within: Column | None = None) -> Column:
     """The element of an array with the least distance, the earliest one on a tie, NULL for none."""
     scored = F.transform(values, lambda v, i: F.struct(distance(v).alias("d"), i.alias("i"), v.alias("v")))
