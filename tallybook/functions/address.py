@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import chain
 
 from pyspark.sql import Column, functions as F
 
 from tallybook import fixed_values as V
+from tallybook.functions.trigrams import let
 
 
 def _lookup(codes: dict[str, str], token: Column) -> Column:
@@ -17,6 +19,10 @@ def _drop_last(tokens: Column, cond: Column) -> Column:
     return F.when(cond, F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(tokens)
 
 
+def _dropped(cond, tokens: Column) -> Column:
+    return _drop_last(tokens, cond(tokens))
+
+
 def _from_end(tokens: Column, back: int) -> Column:
     return F.coalesce(F.try_element_at(tokens, F.lit(-back)), F.lit(""))
 
@@ -25,17 +31,25 @@ def normalize_address(text: Column) -> Column:
     """struct(house_nr int, street string): official direction and street-type codes, no city, state or ZIP."""
     upper = F.regexp_replace(F.upper(text), r"[.,#]", " ")
     tokens = F.filter(F.split(F.trim(upper), r"\s+"), lambda t: t != "")
-    tokens = _drop_last(tokens, _from_end(tokens, 1).rlike(r"^\d{5}(-\d{4})?$") & (F.size(tokens) > 2))
-    state = (_from_end(tokens, 1) == V.STATE_CODE) | (
-        (_from_end(tokens, 1) == V.STATE_NAME) & (_from_end(tokens, 2) == V.CITY))
-    tokens = _drop_last(tokens, state)
-    tokens = _drop_last(tokens, (_from_end(tokens, 1) == V.CITY) & (F.size(tokens) > 2))
-    number = F.regexp_extract(F.coalesce(F.get(tokens, F.lit(0)), F.lit("")), r"^(\d+)-?[A-Z]?$", 1)
-    rest = F.when(number == "", tokens).otherwise(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))))
-    coded = F.transform(rest, lambda t, i: F.coalesce(
-        F.when(i == 0, _lookup(V.DIRECTIONS, t)),
-        F.when((i > 0) & (i == F.size(rest) - 1), _lookup(V.STREET_TYPES, t)), t))
-    return F.struct(F.nullif(number, F.lit("")).cast("int").alias("house_nr"), F.array_join(coded, " ").alias("street"))
+    zip_code = lambda t: _from_end(t, 1).rlike(r"^\d{5}(-\d{4})?$") & (F.size(t) > 2)
+    state = lambda t: (_from_end(t, 1) == V.STATE_CODE) | (
+        (_from_end(t, 1) == V.STATE_NAME) & (_from_end(t, 2) == V.CITY))
+    city = lambda t: (_from_end(t, 1) == V.CITY) & (F.size(t) > 2)
+
+    def parts(t: Column) -> Column:
+        number = F.regexp_extract(F.coalesce(F.get(t, F.lit(0)), F.lit("")), r"^(\d+)-?[A-Z]?$", 1)
+        rest = F.when(number == "", t).otherwise(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))))
+        return F.struct(number.alias("number"), rest.alias("rest"), F.size(rest).alias("n"))
+
+    def coded(p: Column) -> Column:
+        street = F.transform(p["rest"], lambda t, i: F.coalesce(
+            F.when(i == 0, _lookup(V.DIRECTIONS, t)), F.when((i > 0) & (i == p["n"] - 1), _lookup(V.STREET_TYPES, t)), t))
+        return F.struct(F.nullif(p["number"], F.lit("")).cast("int").alias("house_nr"),
+                        F.array_join(street, " ").alias("street"))
+
+    for cond in (zip_code, state, city):
+        tokens = let(tokens, partial(_dropped, cond))
+    return let(let(tokens, parts), coded)
 
 
 def typed_direction(street: Column) -> Column:
