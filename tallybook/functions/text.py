@@ -103,7 +103,7 @@ def mark_terms(text: Column, terms: Column) -> Column:
 
 
 def excerpt(text: Column, size: int = 220) -> Column:
-    cut = F.regexp_replace(F.substring(text, 1, size), r"\s\S*$", "…")
+    cut = F.regexp_replace(F.substring(text, 1, size), r"\s\S*\z", "…")
     return F.when(F.length(text) <= size, text).otherwise(cut)
 
 
