@@ -23,15 +23,15 @@ def carry_last(df: DataFrame, keys: list[str], order: list, value: Column, out:
     bucket = bucket or []
     inside, before = _frames(keys, bucket, order)
     row = inside if inclusive else inside.rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumn("_value", value).withColumn("_local", F.last("_value", ignorenulls=True).over(row))
+    local = df.withColumn("_rv", value).withColumn("_rl", F.last("_rv", ignorenulls=True).over(row))
     if not bucket:
-        return local.withColumn(out, F.col("_local")).drop("_value", "_local")
+        return local.withColumn(out, F.col("_rl")).drop("_rv", "_rl")
     at = F.struct(*order)
-    tails = df.select(*keys, *bucket, value.alias("_value"), at.alias("_at")).groupBy(*keys, *bucket).agg(
-        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_at"))).alias("_tail"))
-    carried = tails.withColumn("_carried", F.last("_tail", ignorenulls=True).over(before)).drop("_tail")
-    return local.join(carried, [*keys, *bucket]).withColumn(out, F.coalesce("_local", "_carried")).drop(
-        "_value", "_local", "_carried")
+    tails = df.select(*keys, *bucket, value.alias("_rv"), at.alias("_ra")).groupBy(*keys, *bucket).agg(
+        F.max_by("_rv", F.when(F.col("_rv").isNotNull(), F.col("_ra"))).alias("_rt"))
+    carried = tails.withColumn("_rc", F.last("_rt", ignorenulls=True).over(before)).drop("_rt")
+    return local.join(carried, [*keys, *bucket]).withColumn(out, F.coalesce("_rl", "_rc")).drop(
+        "_rv", "_rl", "_rc")
 
 
 def running_count(df: DataFrame, keys: list[str], order: list, flag: Column, out: str, bucket: list[str] | None = None,
@@ -41,13 +41,13 @@ def running_count(df: DataFrame, keys: list[str], order: list, flag: Column, out
     inside, before = _frames(keys, bucket, order)
     one = F.when(flag, 1).otherwise(0).cast("long")
     row = inside if inclusive else inside.rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumn("_one", one).withColumn("_local", F.coalesce(F.sum("_one").over(row), F.lit(0)))
+    local = df.withColumn("_r1", one).withColumn("_rl", F.coalesce(F.sum("_r1").over(row), F.lit(0)))
     if not bucket:
-        return local.withColumn(out, F.col("_local")).drop("_one", "_local")
-    sums = df.select(*keys, *bucket, one.alias("_one")).groupBy(*keys, *bucket).agg(F.sum("_one").alias("_sum"))
-    carried = sums.withColumn("_carried", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    return local.join(carried, [*keys, *bucket]).withColumn(out, F.col("_local") + F.col("_carried")).drop(
-        "_one", "_local", "_carried")
+        return local.withColumn(out, F.col("_rl")).drop("_r1", "_rl")
+    sums = df.select(*keys, *bucket, one.alias("_r1")).groupBy(*keys, *bucket).agg(F.sum("_r1").alias("_rs"))
+    carried = sums.withColumn("_rc", F.coalesce(F.sum("_rs").over(before), F.lit(0))).drop("_rs")
+    return local.join(carried, [*keys, *bucket]).withColumn(out, F.col("_rl") + F.col("_rc")).drop(
+        "_r1", "_rl", "_rc")
 
 
 def numbered(df: DataFrame, keys: list[str], order: list, out: str, bucket: list[str] | None = None) -> DataFrame:
@@ -60,8 +60,8 @@ def previous(df: DataFrame, keys: list[str], order: list, value: Column, out: st
     """The value of the row before: the bucket's own, or the last one of the bucket before it."""
     bucket = bucket or []
     wrapped = F.struct(value.alias("v"))
-    got = carry_last(df, keys, order, wrapped, "_previous", bucket, inclusive=False)
-    return got.withColumn(out, F.col("_previous.v")).drop("_previous")
+    got = carry_last(df, keys, order, wrapped, "_rp", bucket, inclusive=False)
+    return got.withColumn(out, F.col("_rp.v")).drop("_rp")
 
 
 def text_of(items: Column, sep: str = " ") -> Column:

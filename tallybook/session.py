@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "tallybook") -> SparkSession:
@@ -31,3 +32,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a private one only when the session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut a long lineage: write the rows to the shared folder and go on from there.  A lost executor then repeats only
+    what follows, and a plan that reads its input many times reads files instead of running it again."""
+    path = f"{checkpoint_root(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
