@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallybook import fixed_values as V
+from tallybook.functions.trigrams import let
 
 OUTCOMES = ["correct", "incomplete", "unsourced figure", "couldn't answer"]
 # The bound words take any case; the figure after them does not, because M, B and K are capitals.
@@ -54,16 +55,18 @@ def rounds_from(numbers: Column, figure: Column, bound: Column) -> Column:
     scale = (F.when(unit.isin("billion", "B"), 1e9).when(unit.isin("million", "M"), 1e6).when(unit == "K", 1e3)
              .otherwise(1.0))
 
-    def same(n: Column) -> Column:
-        return (F.when(bound == "over", (n >= value) & (n < value + step))
-                .when(bound == "under", (n <= value) & (n > value - step))
-                .otherwise(F.abs(n - value) <= step / 2 + 1e-9))
+    def same(p: Column, n: Column) -> Column:
+        return (F.when(bound == "over", (n >= p["value"]) & (n < p["value"] + p["step"]))
+                .when(bound == "under", (n <= p["value"]) & (n > p["value"] - p["step"]))
+                .otherwise(F.abs(n - p["value"]) <= p["step"] / 2 + 1e-9))
 
-    def hit(n: Column) -> Column:
+    def hit(p: Column, n: Column) -> Column:
         year = (n == F.floor(n)) & n.between(1990, 2040)
-        return same(n / scale) | ((scale == 1.0) & ~year & same(n / 100)) | ((unit == "%") & same(n * 100))
+        return same(p, n / p["scale"]) | ((p["scale"] == 1.0) & ~year & same(p, n / 100)) | (
+            (p["unit"] == "%") & same(p, n * 100))
 
-    return F.when(value.isNull(), F.lit(False)).otherwise(F.exists(numbers, hit))
+    parsed = F.struct(value.alias("value"), step.alias("step"), scale.alias("scale"), unit.alias("unit"))
+    return let(parsed, lambda p: F.when(p["value"].isNull(), F.lit(False)).otherwise(F.exists(numbers, partial(hit, p))))
 
 
 def unsupported_figures(answers: DataFrame) -> DataFrame:

@@ -221,10 +221,7 @@ def search_addresses(queries: DataFrame, parcels: DataFrame, limit: int = 8,
         "address", A.parcel_address(F.col("house_nr_lo"), F.col("house_nr_sfx"), F.col("sdir"), F.col("street"), F.col("sttype")))
     asked = queries.withColumn("_n", A.normalize_address(F.col("typed"))).select(
         "query_id", F.col("_n.house_nr").alias("house_nr"), F.col("_n.street").alias("phrase")).where(F.length("phrase") >= 3)
-    streets = asked.select(F.col("phrase").alias("p"), "phrase").distinct()
-    texts = places.select(F.col("address").alias("t"), F.col("address").alias("text")).distinct()
-    near = similar_pairs(streets, texts, threshold).select(
-        F.col("phrase"), F.col("text").alias("address"), "similarity")
+    near = _similar_addresses(asked.select("phrase").distinct(), places, threshold)
     rows = asked.join(near, "phrase").join(places, "address")
     direction = A.typed_direction(F.col("phrase"))
     rows = rows.withColumns({
@@ -238,6 +235,27 @@ def search_addresses(queries: DataFrame, parcels: DataFrame, limit: int = 8,
         A.display_address(*[F.col(c) for c in parts]).alias("address"), "exact_number", "parcels", "similarity")
 
 
+def _similar_addresses(phrases: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
+    """phrase, address, similarity.  Every trigram of a house number with at most one suffix letter holds a digit, so a
+    phrase without digits scores the same on all numbers of a street: it is compared with the street once.  Other pairs are
+    compared on the whole address."""
+    digits = F.col("phrase").rlike("[0-9]")
+    plain = F.length(F.coalesce("house_nr_sfx", F.lit(""))) <= 1
+    street = F.trim(F.concat_ws(" ", F.nullif("sdir", F.lit("")), "street", "sttype"))
+    texts = places.select("address", street.alias("line"), plain.alias("plain")).distinct()
+
+    def compared(some: DataFrame, column: str, lines: DataFrame) -> DataFrame:
+        return similar_pairs(some.select(F.col("phrase").alias("p"), "phrase"), lines.select(
+            F.col(column).alias("t"), F.col(column).alias("text")).distinct(), threshold).select(
+            "phrase", F.col("text").alias(column), "similarity")
+
+    worded, numbered = phrases.where(~digits), phrases.where(digits)
+    by_street = compared(worded, "line", texts.where("plain")).join(texts.where("plain"), "line").select(
+        "phrase", "address", "similarity")
+    return by_street.unionByName(compared(worded, "address", texts.where("not plain"))).unionByName(
+        compared(numbered, "address", texts))
+
+
 def lookup_glossary(queries: DataFrame, glossary: DataFrame, limit: int = 3,
                     threshold: float = V.WORD_SIMILARITY_TERM) -> DataFrame:
     """Glossary entries for typed terms (query_id, typed): one holds the other, an alias is equal, or the words are alike;

@@ -88,9 +88,8 @@ FOCUS_STOP = ", ".join(f"'{w}'" for w in V.FOCUS_STOP_WORDS)
 CLEAN = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
 
-@query("focus_passage", rf"""with recursive q as (select source, list(distinct w) as words from (select source, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w
-    from documents where n_chars < 400) where length(w) > 2 and w not in ({FOCUS_STOP}) group by source),
-d as (select doc_id, {CLEAN} as clean, coalesce(words, []) as words from documents left join q using (source)),
+@query("focus_passage", rf"""with recursive
+d as (select doc_id, {CLEAN} as clean, [w for w in list_distinct(regexp_extract_all(lower(right(text, 300)), '[a-z0-9]+')) if length(w) > 2 and w not in ({FOCUS_STOP})] as words from documents),
 s as (select doc_id, words, unnest(string_split(regexp_replace(clean, '([.!?])\s+([A-Z0-9•"“(])', '\1' || chr(1) || '\2', 'g'), chr(1))) as t,
     generate_subscripts(string_split(regexp_replace(clean, '([.!?])\s+([A-Z0-9•"“(])', '\1' || chr(1) || '\2', 'g'), chr(1)), 1) as i
   from d where length(clean) > 1200),
@@ -101,12 +100,8 @@ f as (select doc_id, rn, i, t, length(t) <= 1200 as keep, case when length(t) <=
 select doc_id, clean as text from d where length(clean) <= 1200
 union all select d.doc_id, coalesce(string_agg(case when keep then t end, ' … ' order by i), '') from d join f using (doc_id) group by d.doc_id""")
 def focus_passage(spark, sf):
-    """Each document cut to the sentences that answer its source's short documents, taken together as the question."""
-    d = table(spark, sf, "documents")
-    words = d.where("n_chars < 400").select("source", F.explode(R.X.words(F.col("text"))).alias("w")).distinct()
-    asked = words.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("w")), " ").alias("question"))
-    rows = d.select("doc_id", "source", "text").join(asked, "source", "left")
-    return rows.select("doc_id", R.focus_passage(F.col("text"), F.coalesce("question", F.lit(""))).alias("text"))
+    """Each document cut to the sentences that share most words with its last 300 characters, taken as the question."""
+    return table(spark, sf, "documents").select("doc_id", R.focus_passage(F.col("text"), F.expr("right(text, 300)")).alias("text"))
 
 
 GRAMS = (r"list_transform(flatten([list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)) "
