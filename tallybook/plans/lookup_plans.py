@@ -146,7 +146,7 @@ def department_breakdown(spark, sf):
 
 
 @query("movers", f"""with {DEPT_SUMMARY}, c as (select v, dept, proposed_2027 - adopted_2026 as change from ds
-  where metric = 'total_expenditures'),
+  where metric = 'total_expenditures' and adopted_2026 is not null and requested_2027 is not null and proposed_2027 is not null),
 r as (select v, dept, change, 'up' as direction, row_number() over (partition by v order by change desc, dept) as rank
     from c where change > 0
   union all select v, dept, change, 'down', row_number() over (partition by v order by change, dept) from c where change < 0)
@@ -313,7 +313,8 @@ def page_ranges(spark, sf):
         "doc_id", "slug", "first_page")
 
 
-@query("topic_figures", f"""with {DEPT_SUMMARY}, x as (select v, dept, adopted_2026, proposed_2027 from ds where metric = 'total_expenditures'),
+@query("topic_figures", f"""with {DEPT_SUMMARY}, x as (select v, dept, adopted_2026, proposed_2027 from ds where metric = 'total_expenditures'
+  and adopted_2026 is not null and requested_2027 is not null and proposed_2027 is not null),
 {SECTION_TOTALS}
 select v as budget_version, 'departments' as topic, dept as key, cast(adopted_2026 as double) as adopted_2026,
   cast(proposed_2027 as double) as proposed_2027, 'dollars' as kind from x
