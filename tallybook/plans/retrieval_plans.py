@@ -185,3 +185,25 @@ def recall_mrr(spark, sf):
     pairs = shingles.join(R.small_side(qw), "key").select("query_id", "id", "passage").distinct().join(d.select("id", "text"), "id")
     expected = pairs.where(F.col("text").contains(F.col("passage"))).select("query_id", "id")
     return R.recall_and_mrr(R.keyword_rank(q, d, STOP_WORDS), expected, k=20).withColumn("mrr", F.round("mrr", 9))
+
+
+@query("search_passages", f"""with {TERMS}, r as (select query_id, id, row_number() over (partition by query_id order by 1.0::double / (60 + rank) desc, id) as rank
+  from kw where rank <= 20)
+select query_id, cast(r.rank as integer) as rank, r.id, d.source as context from r join documents d on d.doc_id = r.id where r.rank <= 5""")
+def search_passages(spark, sf):
+    """Benchmark texts as questions without vectors: the keyword list stands alone."""
+    pool = documents(spark, sf).select("id", "text", F.lit("narrative").alias("kind"), F.lit(None).cast("string").alias("heading"),
+                                       F.concat_ws(" — ", F.lit("City"), "source").alias("context_header"), F.lit(1).alias("cite"))
+    return R.search_passages(benchmark_queries(spark, sf), pool, STOP_WORDS).select("query_id", "rank", "id", "context")
+
+
+REVIEWED = TERMS.replace("from documents)", "from documents join labels using (doc_id) where quality = 1)")
+
+
+@query("find_facts", f"""with {REVIEWED},
+r as (select query_id, id, rank from kw where rank <= 4) select query_id, id, cast(rank as integer) as rank from r""")
+def find_facts(spark, sf):
+    """Labelled documents as facts; good ones are reviewed."""
+    facts = documents(spark, sf).join(table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality"), "id").select(
+        "id", F.lit("").alias("topic"), F.col("text").alias("statement"), F.when(F.col("quality") == 1, "a person").alias("reviewed_by"))
+    return R.find_facts(benchmark_queries(spark, sf), facts, STOP_WORDS).select("query_id", "id", "rank")

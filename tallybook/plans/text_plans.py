@@ -231,3 +231,12 @@ def table_cards(spark, sf):
         F.lower("n_name").alias("dept"), B.cite("summary", F.col("y"), F.lit(1)))
     return P.table_cards(rows, "line_items", F.lit("line items, every account in four stages"), B.departments(spark, sf)).select(
         "id", "printed_page", "page_end", "text")
+
+
+@query("narrative_passages")
+def narrative_passages(spark, sf):
+    """Documents of a source as the pages of a book, the source as the department."""
+    d = table(spark, sf, "documents")
+    pages = d.select(F.col("source").alias("doc"), (F.col("doc_id") + 11).cast("int").alias("page"), "text")
+    depts = d.select((F.col("doc_id") + 11).cast("int").alias("page"), F.col("source").alias("dept"), F.col("source").alias("dept_name"))
+    return P.narrative_passages(pages, depts, ["doc"]).select("doc", "id", "pdf_page", "region", "dept", "section_type", "ordinal", "text")
