@@ -307,8 +307,7 @@ def page_ranges(spark, sf):
     last = 1_000_000_000 - 1
     ranges = L.page_ranges(B.document_departments(spark, sf), last)
     # The open last range ends at the last page there is; a range join walks only pages that exist.
-    top = pages.groupBy("budget_version").agg(F.max("doc_id").alias("top"))
-    closed = ranges.join(top, "budget_version").withColumn("last_page", F.least("last_page", "top"))
+    closed = ranges.withColumn("last_page", F.least("last_page", pages.agg(F.max("doc_id")).scalar()))
     return range_join(pages, closed, ["budget_version"], "doc_id", "first_page", "last_page").select(
         "doc_id", "slug", "first_page")
 
