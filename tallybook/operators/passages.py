@@ -10,6 +10,7 @@ from tallybook import fixed_values as V
 from tallybook.functions import text as X
 from tallybook.functions.trigrams import let
 from tallybook.operators.running import carry_last, running_count, text_of
+from tallybook.session import materialize
 
 
 
@@ -95,7 +96,8 @@ def narrative_passages(pages: DataFrame, page_departments: DataFrame, keys: list
 
     A document's pages are the buckets of its running state, so a long document spreads over tasks."""
     order = ["page", "pos"]
-    lines = drop_label_runs(page_lines(pages.where(F.col("page") > front_matter), keys), [*keys, "page"])
+    # Each stage below reads its input several times, so lines and marked lines are written once.
+    lines = materialize(drop_label_runs(page_lines(pages.where(F.col("page") > front_matter), keys), [*keys, "page"]))
     titles = lines.where("_title").select(*keys, "page", F.col("line").alias("title"))
     titles = titles.join(page_departments, "page", "left").withColumn("region", region_of(F.col("title"), F.col("page")))
     owned = F.col("region").isin("department", "special_fund", "capital")
@@ -115,7 +117,7 @@ def narrative_passages(pages: DataFrame, page_departments: DataFrame, keys: list
     scope = [*keys, "run"]
     default = F.when(F.col("region") == "department", "n:other").otherwise("n:narrative")
     body = carry_last(body, scope, order, F.col("_head.kind"), "_kind", ["page"])
-    body = body.withColumn("_kind", F.coalesce("_kind", default))
+    body = materialize(body.withColumn("_kind", F.coalesce("_kind", default)))
     in_table = F.col("_kind").startswith("t:")
     bullets = F.col("_kind").isin("n:service_highlight", "n:capital_project")
     body = body.where(F.col("_head").isNotNull() | ~(in_table | X.is_tabular(F.col("line"))))
