@@ -31,6 +31,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def matched(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the corpus: a sort-merge join at every size, never a broadcast, so that
+    adaptive execution can split its hot keys and small runs show what large ones do."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import ascii_lower, own, written
+from tallybook.llm.common import ascii_lower, matched, own, written
 
 FIRST_DIGIT = 48
 WIDER = 64
@@ -37,7 +37,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                               digit: F.substring(ascii_lower(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, FIRST_DIGIT)).cast("binary"), 1, FIRST_DIGIT)})
     shared = short.groupBy(size, digit).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1)
     shared = written(shared.select(size, digit, F.monotonically_increasing_id().alias(gid)))
-    first = short.join(shared, [size, digit], "left").drop(digit)
+    first = matched(short, shared, [size, digit], "left").drop(digit)
     first = written(first.withColumn(rid, F.when(F.col(gid).isNotNull(), F.monotonically_increasing_id())))
 
     single = first.filter(F.col(gid).isNull()).select(*columns, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
@@ -54,7 +54,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.coalesce(F.max_by(rid, top), F.max(rid)).alias("keep_rid"),
         ).withColumn("next_gid", F.monotonically_increasing_id()))
         over = last | (F.col("group_size") == 1)
-        joined = written(cut.join(groups, [gid, digit, size]).select(
+        joined = written(matched(cut, groups, [gid, digit, size]).select(
             rid, top, F.col("next_gid").alias(gid), size, F.when(~over, F.col(octets)).alias(octets), over.alias("over"),
             "keep_id", "group_size", (F.col(rid) == F.col("keep_rid")).alias("kept")))
         ended.append(joined.filter("over").select(rid, "keep_id", "group_size", "kept"))
@@ -63,5 +63,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if active.isEmpty():
             break
     found = reduce(DataFrame.unionByName, ended)
-    copies = first.filter(F.col(gid).isNotNull()).join(found, rid)
+    copies = matched(first.filter(F.col(gid).isNotNull()), found, rid)
     return single.unionByName(copies.select(*columns, "keep_id", "group_size", "kept"))
