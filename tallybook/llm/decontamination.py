@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import own, row_key, written
+from tallybook.llm.common import matched, own, row_key, written
 
 #: Masks of six positions.  Any 20 words with four substitutions, 13 words with two, or 8 words with none, hold one of them
 #: in some place with all its positions equal (tests/llm enumerate this).
@@ -64,7 +64,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = seeds(keyed, key, "words").join(sought, "seed").select(key, "n", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = written(hits)
 
-    pairs = hits.join(items, "n").join(keyed, key)
+    pairs = matched(keyed, hits.join(items, "n"), key)
     start = F.greatest(F.lit(0), -F.col("shift"))
     common = F.least(F.size("item_words"), F.size("words") - F.col("shift")) - start
     same = F.zip_with(F.slice("words", start + F.col("shift") + 1, common), F.slice("item_words", start + 1, common), lambda a, b: (a == b).cast("int"))
@@ -79,6 +79,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     best = F.when(F.col("common") == F.col("length"), total).otherwise(slide["best"])
     found = pairs.filter(best >= F.col("length") - allowed(F.col("length"))).select(key, "n", "item").distinct()
     found = found.groupBy(key).agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], row_key(docs, id_col, text_col).alias(key)).join(written(found), key, "left").drop(key)
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], row_key(docs, id_col, text_col).alias(key))
+    rows = matched(rows, written(found), key, "left").drop(key)
     return rows.select(*columns, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
                        F.coalesce("items", F.lit("")).alias("items"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import own, with_arrays, written
+from tallybook.llm.common import matched, own, with_arrays, written
 from tallybook.llm.textarrays import U, grams, mix, octets, runs_of, word_borders, word_hashes
 
 N_WORDS, SIMILARITY, RECALL, DEPTH = 5, 0.8, 0.999, 3
@@ -148,10 +148,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("w").alias("v"), F.col("v").alias("w")))
         least = written(both.groupBy("v").agg(F.min("w").alias("m")).withColumn("m", F.least("m", "v")))
-        edges = both.filter("w > v").join(least, "v").select(F.col("w").alias("v"), F.col("m").alias("w")).distinct()
+        edges = matched(both.filter("w > v"), least, "v").select(F.col("w").alias("v"), F.col("m").alias("w")).distinct()
         edges = written(edges)
         least = written(edges.groupBy("v").agg(F.min("w").alias("m")))
-        edges = edges.join(least, "v").select(F.when(F.col("w") == F.col("m"), F.col("v")).otherwise(F.col("w")).alias("v"), F.col("m").alias("w")).filter("v <> w").distinct()
+        edges = matched(edges, least, "v").select(F.when(F.col("w") == F.col("m"), F.col("v")).otherwise(F.col("w")).alias("v"), F.col("m").alias("w")).filter("v <> w").distinct()
         edges = written(edges)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "w"))).first()
         if now == state:
@@ -188,14 +188,14 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, similarity: float =
     sets = rows.filter("__set_ is not null").groupBy("__set_").agg(F.min(rid).alias("sid"), F.count(F.lit(1)).alias("copies"), F.min(id_col).alias("low"),
                                                                     F.coalesce(F.min_by(row, F.col(id_col)), F.min(rid)).alias("low_rid"))
     sets = written(sets)
-    drawn = rows.select(rid, "__size_", "__paths_").join(sets.select(F.col("sid").alias(rid), "copies"), rid).withColumnRenamed(rid, "sid")
+    drawn = matched(rows.select(rid, "__size_", "__paths_"), sets.select(F.col("sid").alias(rid), "copies"), rid).withColumnRenamed(rid, "sid")
 
     blocks = F.greatest(F.ceil(F.col("n") / bucket), F.ceil(F.col("tokens") / bucket_tokens)).cast("int")
     level, met, kinds = drawn.select("sid", F.col("__size_").alias("size"), F.inline("__paths_").alias("node", "kids")), [], []
     for depth in range(1, DEPTH + 1):
         groups = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"), F.bit_xor(F.xxhash64("sid")).alias("members"))
         groups = written(groups.filter("n > 1").select("node", "n", "members", blocks.alias("blocks")))
-        level = written(level.join(groups.select("node", "blocks"), "node"))
+        level = written(matched(level, groups.select("node", "blocks"), "node"))
         ends = F.col("blocks") == 1 if depth < DEPTH else F.lit(True)
         met.append(level.filter(ends).select("sid", "node", "blocks"))
         kinds.append(groups.filter(ends))
@@ -204,12 +204,12 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, similarity: float =
         elif depth < DEPTH:
             level = level.filter(~ends).select("sid", "size", F.explode("kids").alias("node"))
     once = written(reduce(DataFrame.unionByName, kinds).groupBy("n", "members").agg(F.min("node").alias("node")).select("node"))
-    met = reduce(DataFrame.unionByName, met).join(once, "node")
+    met = matched(reduce(DataFrame.unionByName, met), once, "node")
 
     # the sets of those that share a bucket are made anew from their texts, each once
     wanted = met.groupBy("sid").agg(F.collect_list(F.struct("node", "blocks")).alias("at"))
-    wanted = wanted.join(sets.select("sid", "copies"), "sid").withColumnRenamed("sid", rid)
-    texts = rows.select(rid, F.col(f"`{text_col}`").alias("text")).join(wanted, rid).select(F.col(rid).alias("sid"), "copies", "at", "text")
+    wanted = matched(wanted, sets.select("sid", "copies"), "sid").withColumnRenamed("sid", rid)
+    texts = matched(rows.select(rid, F.col(f"`{text_col}`").alias("text")), wanted, rid).select(F.col(rid).alias("sid"), "copies", "at", "text")
     full = texts.mapInPandas(_tokens(n_words), "sid long, copies long, at array<struct<node: long, blocks: int>>, tokens array<long>")
     full = full.select("sid", "copies", "tokens", F.col("at.node").alias("nodes"), F.inline("at").alias("node", "blocks"))
     full = full.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
@@ -222,10 +222,10 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, similarity: float =
     found = written(full.groupBy("node", "lo", "hi").applyInPandas(job, "sid long, links long, least long"))
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("sid").alias("a"), F.col("least").alias("b"))).withColumnRenamed("v", "sid")
-    known = written(sets.join(links, "sid", "left").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    known = written(matched(matched(sets, links, "sid", "left"), roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
     lows = known.groupBy("root").agg(F.min("low").alias("class_id"), F.coalesce(F.min_by("low_rid", "low"), F.min("low_rid")).alias("stays"))
-    known = written(known.join(lows, "root").select("__set_", "class_id", "stays", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    out = rows.drop("__paths_", "__size_").join(known, "__set_", "left")
+    known = written(matched(known, lows, "root").select("__set_", "class_id", "stays", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    out = matched(rows.drop("__paths_", "__size_"), known, "__set_", "left")
     alone = F.col("__set_").isNull()
     return out.select(*columns, F.when(alone, F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
                       (alone | (F.col("stays") == row)).alias("kept"))

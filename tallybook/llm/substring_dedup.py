@@ -13,7 +13,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import own, row_key, with_arrays, written
+from tallybook.llm.common import matched, own, row_key, with_arrays, written
 from tallybook.llm.textarrays import grams, octets, runs_of, word_borders, word_hashes
 
 WINDOW = 35
@@ -80,14 +80,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str
     occ = keyed.mapInPandas(_seeds(window, seed), "key string, first long, last long, anchor long, block long")
     kinds = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("block") == F.max("block")).alias("alike"))
     kinds = written(kinds.filter("n > 1").select("anchor", "alike"))
-    seeds = written(occ.join(kinds, "anchor").select("key", "first", "last", "anchor", "alike"))
+    seeds = written(matched(occ, kinds, "anchor").select("key", "first", "last", "anchor", "alike"))
 
     rest = seeds.filter("not alike").distinct().groupBy("key").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("spans"))
     # rows with the same key are copies: each counts
-    windows = keyed.join(rest, "key").mapInPandas(_extended(window), "key string, start long, anchor long, content long")
+    windows = matched(keyed, rest, "key").mapInPandas(_extended(window), "key string, start long, anchor long, content long")
     windows = written(windows)
     again = written(windows.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "content"))
-    found = windows.join(again, ["anchor", "content"]).select("key", F.col("start").alias("first"), F.col("start").alias("last"))
+    found = matched(windows, again, ["anchor", "content"]).select("key", F.col("start").alias("first"), F.col("start").alias("last"))
     return seeds.filter("alike").select("key", "first", "last").unionByName(found)
 
 
@@ -126,5 +126,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
     columns = [c for c in docs.columns if c.lower() not in new]
     spans = repeats(docs, window, seed, id_col, text_col).distinct().groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("__spans_"))
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], row_key(docs, id_col, text_col).alias(key), F.coalesce(F.col(text_col), F.lit("")).alias("__text_"))
-    rows = rows.join(spans.withColumnRenamed("key", key), key, "left").drop(key)
+    rows = matched(rows, spans.withColumnRenamed("key", key), key, "left").drop(key)
     return with_arrays(rows, _kept(window), ["__text_", "__spans_"], {"n_words": "long", "n_removed": "long", "kept_text": "string", "kept_sha256": "string"})
