@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -17,7 +16,7 @@ from tallybook.llm.common import matched, own, with_arrays, written
 from tallybook.llm.textarrays import U, grams, mix, octets, runs_of, word_borders, word_hashes
 
 N_WORDS, SIMILARITY, RECALL, DEPTH = 5, 0.8, 0.999, 3
-BUCKET, BUCKET_TOKENS = 512, 4_000_000
+BUCKET, BUCKET_TOKENS, SHARD_TOKENS = 512, 4_000_000, 1_000_000
 
 
 def runs_for(recall: float, depth: int) -> int:
@@ -38,42 +37,53 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(grams(words, n) if len(words) >= n else runs_of(words, np.array([0]), np.array([len(words)])))
 
 
-def children(tokens: np.ndarray, nodes: np.ndarray, similarity: float) -> list[np.ndarray]:
-    """Per node of the path, the nodes below it: one for each token whose hash with the node is under 1 / (similarity x
-    size), so that sets with a shared token choose it together."""
-    p = min(1.0, 1.0 / (similarity * len(tokens)))
-    limit = U(min(int(p * 2.0**64), 2**64 - 1))
-    out = []
-    salts = (nodes | U(1)) * U(0xD1342543DE82EF95)
-    for node, salt in zip(nodes, salts, strict=True):
-        h = mix(tokens ^ node)
-        out.append(mix(h[h <= limit] + salt))
-    return out
+def children(tokens: np.ndarray, nodes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """For the nodes of a path, the nodes below them and whose child each is: one for each token whose hash with the node is
+    under 1 / (similarity x size), so that sets with a shared token choose it together."""
+    limit = U(min(int(min(1.0, 1.0 / (similarity * len(tokens))) * 2.0**64), 2**64 - 1))
+    factors = nodes | U(1)
+    salts = factors * U(0xD1342543DE82EF95)
+    found, parents = [nodes[:0]], [np.empty(0, dtype=np.int64)]
+    step = max(1, (1 << 20) // len(tokens))
+    for lo in range(0, len(nodes), step):
+        h = tokens[None, :] * factors[lo:lo + step, None]
+        who, at = np.nonzero(h <= limit)
+        found.append(mix(h[who, at] + salts[lo + who]))
+        parents.append(lo + who)
+    return np.concatenate(found), np.concatenate(parents)
+
+
+def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), values)
 
 
 def _paths(n: int, runs: int, similarity: float):
     roots = mix(np.arange(1, runs + 1, dtype=U) * U(0x2545F4914F6CDD1D))
-    kids = pa.struct([("node", pa.int64()), ("kids", pa.list_(pa.int64()))])
-    kind = pa.list_(pa.struct([("node", pa.int64()), ("kids", pa.list_(kids))]))
+    none = np.empty(0, dtype=U)
 
     def run(texts: pa.Array) -> dict[str, pa.Array]:
-        sets, sizes, paths = [], [], []
+        sets, sizes, one, two, three, of_text, of_one, of_two = [], [], [none], [none], [none], [], [none], [none]
         for text in texts.to_pylist():
             tokens = shingles(text, n)
             sizes.append(len(tokens))
             # a text without words is alike to none, so it gets no set
             sets.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
-            tree = []
             if len(tokens):
-                level = np.concatenate(children(tokens, roots, similarity))
-                below = children(tokens, level, similarity)
-                third = children(tokens, np.concatenate([*below, level[:0]]), similarity)
-                k = 0
-                for node, two in zip(level.view(np.int64).tolist(), below, strict=True):
-                    tree.append({"node": node, "kids": [{"node": x, "kids": y.view(np.int64).tolist()} for x, y in zip(two.view(np.int64).tolist(), third[k:k + len(two)], strict=True)]})
-                    k += len(two)
-            paths.append(tree)
-        return {"__set_": pa.array(sets, pa.binary()), "__size_": pa.array(sizes, pa.int64()), "__paths_": pa.array(paths, kind)}
+                level, _ = children(tokens, roots, similarity)
+                below, parent = children(tokens, level, similarity)
+                last, parent_of_last = children(tokens, below, similarity)
+                one.append(level)
+                two.append(below)
+                three.append(last)
+                of_one.append(np.bincount(parent, minlength=len(level)))
+                of_two.append(np.bincount(parent_of_last, minlength=len(below)))
+                of_text.append(len(level))
+            else:
+                of_text.append(0)
+        level, below, last = (pa.array(np.concatenate(x).view(np.int64)) for x in (one, two, three))
+        below = pa.StructArray.from_arrays([below, _lists(np.concatenate(of_two), last)], ["node", "kids"])
+        level = pa.StructArray.from_arrays([level, _lists(np.concatenate(of_one), below)], ["node", "kids"])
+        return {"__set_": pa.array(sets, pa.binary()), "__size_": pa.array(sizes, pa.int64()), "__paths_": _lists(np.array(of_text, dtype=np.int64), level)}
 
     return run
 
@@ -81,24 +91,38 @@ def _paths(n: int, runs: int, similarity: float):
 PATHS = "array<struct<node: long, kids: array<struct<node: long, kids: array<long>>>>>"
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: enough to tell the tokens of two texts apart."""
+    return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, 2:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.view(np.int64).ravel()
+
+
 def _tokens(n: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo:lo + 256]
-                yield part.drop(columns="text").assign(tokens=[shingles(t, n).view(np.int64) for t in part["text"]])
+    def run(texts: pa.Array) -> dict[str, pa.Array]:
+        return {"tokens": pa.array([packed(shingles(t, n)) for t in texts.to_pylist()], pa.binary())}
 
     return run
 
 
+NOTHING = pd.DataFrame({"sid": [], "links": [], "least": []}).astype("int64")
+
+
 def compare(node: int, same_block: bool, pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
     """All pairs of a bucket (or between two of its blocks) at once, by a product of incidence matrices.  A pair that meets
     in several buckets counts in the one with the least number.  Per set: its links, weighted by copies, and the least set
     that it hangs together with."""
-    pdf = pdf.drop_duplicates("sid").sort_values("sid", ignore_index=True)
+    pdf = pdf.sort_values("sid", ignore_index=True)
     m = len(pdf)
-    sizes = np.array([len(t) for t in pdf["tokens"]], dtype=np.int64)
-    tokens = np.concatenate(pdf["tokens"].to_list())
+    sets = [unpacked(t) for t in pdf["tokens"]]
+    sizes = np.array([len(t) for t in sets], dtype=np.int64)
+    if m == 2 and not 0.999 * similarity <= len(np.intersect1d(*sets, assume_unique=True)) / max(sizes):
+        return NOTHING
+    tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(m), sizes)
     inter = np.zeros((m, m), dtype=np.float64)
     order = np.argsort(tokens, kind="stable")
@@ -118,7 +142,7 @@ def compare(node: int, same_block: bool, pdf: pd.DataFrame, similarity: float) -
     linked = (inter >= similarity * union - 1e-9) & ~np.eye(m, dtype=bool)
     linked &= (block[:, None] == block[None, :]) if same_block else (block[:, None] != block[None, :])
     if not linked.any():
-        return pd.DataFrame({"sid": [], "links": [], "least": []}).astype("int64")
+        return NOTHING
     earlier = [(i, x) for i, nodes in enumerate(pdf["nodes"]) for x in nodes if x < node]
     first = linked
     if earlier:
@@ -193,33 +217,39 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, similarity: float =
     blocks = F.greatest(F.ceil(F.col("n") / bucket), F.ceil(F.col("tokens") / bucket_tokens)).cast("int")
     level, met, kinds = drawn.select("sid", F.col("__size_").alias("size"), F.inline("__paths_").alias("node", "kids")), [], []
     for depth in range(1, DEPTH + 1):
-        groups = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"), F.bit_xor(F.xxhash64("sid")).alias("members"))
-        groups = written(groups.filter("n > 1").select("node", "n", "members", blocks.alias("blocks")))
+        groups = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"), F.bit_xor(F.xxhash64("sid")).alias("members"),
+                                           F.min("size").alias("least"), F.max("size").alias("most"))
+        # two sets of too different sizes cannot be alike
+        groups = written(groups.filter((F.col("n") > 1) & ((F.col("n") > 2) | (F.col("least") >= similarity * F.col("most")))).select("node", "n", "members", blocks.alias("blocks")))
         level = written(matched(level, groups.select("node", "blocks"), "node"))
         ends = F.col("blocks") == 1 if depth < DEPTH else F.lit(True)
-        met.append(level.filter(ends).select("sid", "node", "blocks"))
+        met.append(level.filter(ends).select("sid", "size", "node", "blocks"))
         kinds.append(groups.filter(ends))
         if depth + 1 < DEPTH:
             level = level.filter(~ends).select("sid", "size", F.inline("kids").alias("node", "kids"))
         elif depth < DEPTH:
             level = level.filter(~ends).select("sid", "size", F.explode("kids").alias("node"))
     once = written(reduce(DataFrame.unionByName, kinds).groupBy("n", "members").agg(F.min("node").alias("node")).select("node"))
-    met = matched(reduce(DataFrame.unionByName, met), once, "node")
+    met = written(matched(reduce(DataFrame.unionByName, met), once, "node"))
+    # buckets are compared some at a time, about as many tokens in each shard
+    shards = 1 + (met.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0) // SHARD_TOKENS
 
     # the sets of those that share a bucket are made anew from their texts, each once
     wanted = met.groupBy("sid").agg(F.collect_list(F.struct("node", "blocks")).alias("at"))
     wanted = matched(wanted, sets.select("sid", "copies"), "sid").withColumnRenamed("sid", rid)
     texts = matched(rows.select(rid, F.col(f"`{text_col}`").alias("text")), wanted, rid).select(F.col(rid).alias("sid"), "copies", "at", "text")
-    full = texts.mapInPandas(_tokens(n_words), "sid long, copies long, at array<struct<node: long, blocks: int>>, tokens array<long>")
+    full = with_arrays(texts, _tokens(n_words), ["text"], {"tokens": "binary"})
     full = full.select("sid", "copies", "tokens", F.col("at.node").alias("nodes"), F.inline("at").alias("node", "blocks"))
     full = full.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.select("sid", "copies", "tokens", "nodes", "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    full = full.withColumn("shard", F.pmod(F.xxhash64("node", "lo", "hi"), F.lit(shards)))
 
-    def job(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return compare(int(key[0]), key[1] == key[2], pdf, similarity)
+    def job(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [compare(int(key[0]), key[1] == key[2], part, similarity) for key, part in pdf.groupby(["node", "lo", "hi"], sort=False) if len(part) > 1]
+        return pd.concat([NOTHING, *parts], ignore_index=True)
 
-    found = written(full.groupBy("node", "lo", "hi").applyInPandas(job, "sid long, links long, least long"))
+    found = written(full.groupBy("shard").applyInPandas(job, "sid long, links long, least long"))
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("sid").alias("a"), F.col("least").alias("b"))).withColumnRenamed("v", "sid")
     known = written(matched(matched(sets, links, "sid", "left"), roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
