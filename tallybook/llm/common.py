@@ -57,10 +57,10 @@ def own(*names: str) -> list[str]:
 
 
 def row_key(df: DataFrame, id_col: str, text_col: str) -> Column:
-    """Key of a row by its content: id and a digest of the text.  Rows that share it are equal in both columns, so that
+    """Key of a row by its content: 128 bits of a digest of id and text.  Rows that share it are equal in both columns, so that
     they get equal results; null ids and texts have keys too."""
-    tag = F.coalesce(F.col(id_col).cast("string"), F.lit("\0"))
-    return F.concat(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).substr(1, 20), F.lit(":"), tag)
+    tag = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n"))
+    return F.unhex(F.sha2(F.concat(tag, F.lit("\0"), F.coalesce(F.col(text_col), F.lit(""))), 256).substr(1, 32))
 
 
 def with_arrays(df: DataFrame, work: Callable[..., dict[str, pa.Array]], inputs: list[str], outputs: dict[str, str], at_once: int = 512) -> DataFrame:

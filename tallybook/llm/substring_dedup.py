@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
@@ -35,35 +34,51 @@ def anchors(words: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, ...]
 
 
 def _seeds(window: int, seed: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                out = []
-                for key, text in zip(pdf["key"][lo:lo + 256], pdf["text"][lo:lo + 256], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                owner, columns = [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
                     b = octets(text)
                     words = word_hashes(b, *word_borders(b))
                     a, first, last = anchors(words, window, seed)
                     if len(a):
                         # the block: all words of the windows that share the anchor; equal blocks have all windows equal
                         block = runs_of(words, first, last + window, 1)
-                        out.append(pd.DataFrame({"key": key, "first": first, "last": last, "anchor": a.view(np.int64), "block": block.view(np.int64)}))
-                if out:
-                    yield pd.concat(out, ignore_index=True)
+                        owner.append(np.full(len(a), i))
+                        columns.append((first, last, a.view(np.int64), block.view(np.int64)))
+                if owner:
+                    arrays = [pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(owner))), *arrays], ["key", "first", "last", "anchor", "block"])
 
     return run
 
 
+def flat(lists: pa.ListArray, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows' borders in, and fields of, the structs of a list column; a null list is empty."""
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = lists.flatten()
+    return np.r_[0, np.cumsum(counts)], [values.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
 def _extended(window: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for key, text, spans in zip(pdf["key"], pdf["text"], pdf["spans"], strict=True):
-                b = octets(text)
-                words = word_hashes(b, *word_borders(b))
-                for s in range(0, len(spans), 4096):
-                    part = spans[s:s + 4096]
-                    start = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in part])
-                    anchor = np.repeat([x["anchor"] for x in part], [x["last"] - x["first"] + 1 for x in part])
-                    yield pd.DataFrame({"key": key, "start": start, "anchor": anchor, "content": runs_of(words, start, start + window, 1).view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                border, (first, last, anchor) = flat(part.column(2), "first", "last", "anchor")
+                owner, columns = [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    mine = slice(border[i], border[i + 1])
+                    b = octets(text)
+                    words = word_hashes(b, *word_borders(b))
+                    many = last[mine] - first[mine] + 1
+                    start = np.repeat(first[mine] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+                    owner.append(np.full(len(start), i))
+                    columns.append((start, np.repeat(anchor[mine], many), runs_of(words, start, start + window, 1).view(np.int64)))
+                arrays = [pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(owner))), *arrays], ["key", "start", "anchor", "content"])
 
     return run
 
@@ -77,14 +92,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str
     anchor, and the hash of its words.  So no pair of occurrences is ever built, and a passage in a third of all documents
     is one row for each of them.  Hashes have 64 bits for candidates and 128 for what is compared."""
     keyed = docs.select(row_key(docs, id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    occ = keyed.mapInPandas(_seeds(window, seed), "key string, first long, last long, anchor long, block long")
+    # the seeds are made twice, which costs less than to write and read them
+    occ = keyed.mapInArrow(_seeds(window, seed), "key binary, first long, last long, anchor long, block long")
     kinds = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("block") == F.max("block")).alias("alike"))
     kinds = written(kinds.filter("n > 1").select("anchor", "alike"))
-    seeds = written(matched(occ, kinds, "anchor").select("key", "first", "last", "anchor", "alike"))
+    seeds = written(matched(occ.drop("block"), kinds, "anchor").select("key", "first", "last", "anchor", "alike"))
 
-    rest = seeds.filter("not alike").distinct().groupBy("key").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("spans"))
+    rest = seeds.filter("not alike").groupBy("key").agg(F.collect_set(F.struct("first", "last", "anchor")).alias("spans"))
     # rows with the same key are copies: each counts
-    windows = matched(keyed, rest, "key").mapInPandas(_extended(window), "key string, start long, anchor long, content long")
+    windows = matched(keyed, rest, "key").mapInArrow(_extended(window), "key binary, start long, anchor long, content long")
     windows = written(windows)
     again = written(windows.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "content"))
     found = matched(windows, again, ["anchor", "content"]).select("key", F.col("start").alias("first"), F.col("start").alias("last"))
@@ -94,11 +110,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str
 def _kept(window: int):
     def run(texts: pa.Array, spans: pa.Array) -> dict[str, pa.Array]:
         n_words, n_removed, kept, digest = [], [], [], []
-        for text, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+        border, (firsts, lasts) = flat(spans, "first", "last")
+        for i, text in enumerate(texts.to_pylist()):
             words = text.encode("utf-8", "surrogatepass").split()  # of bytes: at ASCII white space
             n_words.append(len(words))
-            if found:
-                first, last = np.array([(x["first"], x["last"]) for x in found], dtype=np.int64).T
+            if border[i + 1] > border[i]:
+                first, last = firsts[border[i]:border[i + 1]], lasts[border[i]:border[i + 1]]
                 cover = np.zeros(len(words) + 1, dtype=np.int64)
                 np.add.at(cover, first, 1)
                 np.add.at(cover, last + window, -1)
@@ -124,7 +141,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
     new = ("n_words", "n_removed", "kept_text", "kept_sha256")
     (key,) = own("key")
     columns = [c for c in docs.columns if c.lower() not in new]
-    spans = repeats(docs, window, seed, id_col, text_col).distinct().groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("__spans_"))
+    spans = repeats(docs, window, seed, id_col, text_col).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("__spans_"))
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], row_key(docs, id_col, text_col).alias(key), F.coalesce(F.col(text_col), F.lit("")).alias("__text_"))
     rows = matched(rows, spans.withColumnRenamed("key", key), key, "left").drop(key)
     return with_arrays(rows, _kept(window), ["__text_", "__spans_"], {"n_words": "long", "n_removed": "long", "kept_text": "string", "kept_sha256": "string"})
