@@ -13,7 +13,7 @@ from tallybook.llm.common import with_arrays
 from tallybook.llm.samples import labelled_sample
 from tallybook.llm.textarrays import U, byte_values, octets, run_hasher
 
-PER_LABEL, MAX_TOKENS = 1500, 800_000
+PER_LABEL, MAX_TOKENS = 1500, 500_000
 SLOTS = 1 << 17
 #: A token's features: itself, and its first bytes where it has more; 0 stands for none.
 HEADS = (4, 5, 6, 7, 8)
@@ -26,7 +26,7 @@ _INSIDE[48:58] = _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = 1
 
 
 def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, token starts and ends, and the hashes of each token's FEATURES.  Tokens are runs of letters and digits, in
+    """Bytes, token starts and ends, and the table places of each token's FEATURES.  Tokens are runs of letters and digits, in
     lower case."""
     b = octets(text)
     step = np.diff(np.concatenate(([0], _INSIDE[b], [0])))
@@ -37,12 +37,12 @@ def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     for i, k in enumerate(HEADS, 1):
         longer = ends - starts > k
         h[longer, i] = (run(starts[longer], starts[longer] + k) ^ U(0xA5A5 << 8 * i)) | U(1)
-    return b, starts, ends, h
+    return b, starts, ends, slots_of(h)
 
 
 def slots_of(h: np.ndarray) -> np.ndarray:
     """Table places of features; the first is kept free for those that are not there."""
-    return np.where(h == 0, 0, 1 + (h >> U(8)) % U(SLOTS - 1)).astype(np.int64)
+    return np.where(h == 0, 0, 1 + (h >> U(8)) % U(SLOTS - 1)).astype(np.int32)
 
 
 @dataclass(frozen=True)
@@ -108,7 +108,9 @@ class Field:
 
 def _gradient(field: Field, slots: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the log likelihood of sequences of one length (rows): gold minus marginal for each token, and for transitions."""
-    e = field.own[slots].sum(axis=2) + field.bias
+    e = np.full(slots.shape[:2], field.bias)
+    for i in range(FEATURES):
+        e += field.own[slots[:, :, i]]
     slots = slots[:, :, 0]
     m, n = slots.shape
     e[:, 1:] += field.before[slots[:, :-1]]
@@ -126,21 +128,23 @@ def _gradient(field: Field, slots: np.ndarray, gold: np.ndarray) -> tuple[np.nda
         beta[:, k] = b / b.sum(axis=1, keepdims=True)
     both = alpha * beta
     marginal = both[:, :, 1] / both.sum(axis=2)
-    pair = alpha[:, :-1, :, None] * psi * (up[:, 1:] * beta[:, 1:])[:, :, None, :]
-    pair /= pair.sum(axis=(2, 3), keepdims=True)
+    right = up[:, 1:] * beta[:, 1:]
+    norm = ((alpha[:, :-1] @ psi) * right).sum(axis=2)
+    pair = np.array([[(alpha[:, :-1, i] * psi[i, j] * right[:, :, j] / norm).sum() for j in (0, 1)] for i in (0, 1)])
     turns = np.bincount((gold[:, :-1] * 2 + gold[:, 1:]).ravel(), minlength=4).reshape(2, 2)
-    return gold - marginal, turns - pair.sum(axis=(0, 1))
+    return gold - marginal, turns - pair
 
 
-def toxic_features(hashes: list[np.ndarray], labels: np.ndarray, certain: float = 1.5) -> np.ndarray:
-    """Token labels from document labels: the features whose log odds of standing in a toxic document are over `certain`,
-    less two standard errors.  A head counts only where several words share it: else the word says it."""
-    many = [np.unique(h) for h in hashes]
-    words, at = np.unique(np.concatenate(many), return_inverse=True)
-    toxic = np.repeat(labels, [len(x) for x in many])
-    a, b = np.bincount(at, weights=toxic, minlength=len(words)), np.bincount(at, weights=1 - toxic, minlength=len(words))
+def toxic_features(slots: list[np.ndarray], labels: np.ndarray, certain: float = 1.5) -> np.ndarray:
+    """Token labels from document labels: a table of the features whose log odds of standing in a toxic document are over
+    `certain`, less two standard errors."""
+    a, b = np.zeros(SLOTS), np.zeros(SLOTS)
+    for s, label in zip(slots, labels, strict=True):
+        (a if label else b)[np.unique(s)] += 1
     odds = np.log((a + 0.5) / (labels.sum() + 1)) - np.log((b + 0.5) / ((1 - labels).sum() + 1))
-    return words[(odds - 2 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > certain) & (words != 0)]
+    table = odds - 2 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > certain
+    table[0] = False
+    return table
 
 
 def fit_field(hashes: list[np.ndarray], labels: np.ndarray, rounds: int = 40, ridge: float = 1e-4) -> Field:
@@ -150,10 +154,9 @@ def fit_field(hashes: list[np.ndarray], labels: np.ndarray, rounds: int = 40, ri
     plain = Field(zero, zero, zero, -8.0, np.zeros((2, 2)), np.array([-4.0, 0.0, 0.0]))
     if len(labels) == 0 or labels.min() == labels.max():
         return plain
-    stream = np.concatenate(hashes)
-    gold = np.isin(stream, toxic_features(hashes, labels)).any(axis=1).astype(np.int64)
+    slots = np.concatenate(hashes)
+    gold = toxic_features(hashes, labels)[slots].any(axis=1).astype(np.int64)
     gold &= np.repeat(labels.astype(np.int64), [len(h) for h in hashes])
-    slots = slots_of(stream)
     rows = len(slots) // 128
     if rows == 0 or gold.sum() == 0:
         return plain
@@ -187,7 +190,7 @@ def evidence(field: Field, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     expected to be toxic and one.  A document without tokens has the least evidence."""
     size = np.array([len(h) for h in hashes], dtype=np.int64)
     starts = np.r_[0, np.cumsum(size)[:-1]] if len(size) else size
-    slots = slots_of(np.concatenate(hashes)) if size.sum() else np.empty((0, FEATURES), dtype=np.int64)
+    slots = np.concatenate(hashes) if size.sum() else np.empty((0, FEATURES), dtype=np.int32)
     odds = field.marginals(field.emissions(slots, starts), starts)
     out = np.tile([-8.0, 0.0], (len(size), 1))
     some = size > 0
@@ -213,14 +216,14 @@ def _calibrated(field: Field, hashes: list[np.ndarray], labels: np.ndarray) -> n
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_label: int = PER_LABEL, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id",
                  text_col: str = "text") -> Field:
     """Field fitted on whole documents, `per_label` labelled rows of each label and `max_tokens` tokens at most, in the
-    order of a hash.  Only token hashes come to the driver."""
+    order of a hash.  Only table places come to the driver."""
     def hashed(texts: pa.Array) -> dict[str, pa.Array]:
-        return {"h": pa.array([tokens(t)[3].view(np.int64).ravel() for t in texts.to_pylist()], pa.list_(pa.int64()))}
+        return {"h": pa.array([tokens(t)[3].ravel() for t in texts.to_pylist()], pa.list_(pa.int32()))}
 
-    sample = with_arrays(labelled_sample(docs, labels, label, usable, per_label, id_col, text_col), hashed, ["text"], {"h": "array<long>"})
+    sample = with_arrays(labelled_sample(docs, labels, label, usable, per_label, id_col, text_col), hashed, ["text"], {"h": "array<int>"})
     before = F.sum(F.size("h") / FEATURES).over(_by_hash())
     got = sample.withColumn("before", before).filter(F.col("before") <= max_tokens).select("id", "label", "h").toPandas().sort_values(["id", "label"])
-    return fit_field([np.asarray(h, dtype=np.int64).view(U).reshape(-1, FEATURES) for h in got["h"]], got["label"].to_numpy(dtype=np.float64))
+    return fit_field([np.asarray(h, dtype=np.int32).reshape(-1, FEATURES) for h in got["h"]], got["label"].to_numpy(dtype=np.float64))
 
 
 def _by_hash():
