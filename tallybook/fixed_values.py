@@ -17,7 +17,6 @@ SECTIONS = [
     ("M", "County delinquent taxes fund", "Delinquent taxes"),
     ("N", "Settlement funds", "Settlements"),
 ]
-SHARE_NAMES = {"D": "City debt", "C": "Capital projects"}
 LEVY_SUBTOTAL = "SUBTOTAL_ABCDF"
 LEVY_SECTIONS = ["A", "B", "C", "D", "F"]
 OTHER_SECTIONS = ["G", "H", "I", "J", "K", "M", "N"]
@@ -118,7 +117,6 @@ REASON_RULES = [
 
 # --- Numbers and figures in print ------------------------------------------------------------------------------------
 NUMBER_TOKEN = r"^(\(-?\$?[\d,]+(\.\d+)?\)|-?\$?[\d,]+(\.\d+)?)\*?$"
-NUMBER_FRAGMENT = r"^[\d,().-]+$"
 ANSWER_FIGURE = (r"\$\d+(?:,\d{3})*(?:\.\d+)?(?:\s(?:million|billion)|[MBK]\b)?"
                  r"|\b\d+(?:,\d{3})*(?:\.\d+)?\s(?:million|billion)\b|\d+(?:,\d{3})*(?:\.\d+)?%")
 RATE_UNIT = (r"(?i)(?:per|each|every|por cada)\s+\$1,000"

@@ -128,7 +128,8 @@ def fingerprint(*parts: Column) -> Column:
 
 
 def zero_pad_account(account: Column) -> Column:
-    return F.lpad(account, 6, "0")
+    """Six digits at least; a longer code stays whole."""
+    return F.when(F.length(account) < 6, F.lpad(account, 6, "0")).otherwise(account)
 
 
 def like_pattern(query: str, literal: bool = False) -> str:

@@ -175,7 +175,7 @@ def section_comparisons(lines: DataFrame, label_x: float = 235.0) -> DataFrame:
     body = body.withColumn("_opens", opens)
     body = carry_last(body, ["doc"], ["page", "line"], F.col("_opens"), "section", ["page"])
     body = running_count(body, ["doc"], ["page", "line"], F.col("_opens").isNotNull(), "_part", ["page"])
-    body = body.where("_opens is null").withColumn("_i", (F.col("page") * 1000 + F.col("line")).cast("int"))
+    body = body.where("_opens is null").withColumn("_i", (F.col("page").cast("long") * 1000 + F.col("line")))
     row = F.struct(F.col("_i").alias("i"), F.get("ws", F.lit(0))["x0"].alias("indent"), F.col("label"), bare.alias("heading"))
     # One section of one book: a few dozen lines.
     paths = body.groupBy("doc", "_part").agg(F.array_sort(F.collect_list(row)).alias("rows")).select(
@@ -259,7 +259,7 @@ def kpis(cells: DataFrame, kinds: DataFrame) -> DataFrame:
     row stays as printed, flagged."""
     rows = cells.join(kinds.where("kind = 'kpis'"), ["doc", "page", "table_no"]).where((F.col("row_no") > 0) & (F.get("cells", F.lit(0)) != ""))
     parts = F.transform(F.split(F.get("cells", F.lit(0)), "•"), lambda x: F.trim(x))
-    tail = F.slice("cells", 2, 100)
+    tail = F.slice("cells", 2, F.size("cells"))
     split = F.transform(tail, lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != ""))
     n = F.size(parts) - 1
     rows = rows.withColumns({"_parts": parts, "_split": split, "_n": n}).withColumn(
@@ -267,10 +267,10 @@ def kpis(cells: DataFrame, kinds: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.get("cells", F.lit(0)).alias("measure"), F.lit(None).cast("string").alias("group"), tail.alias("values"),
                              F.when(F.col("_n") > 0, F.array(F.lit("bulleted_values_not_split"))).otherwise(
                                  F.array().cast("array<string>")).alias("flags")))
-    bullets = F.transform(F.slice("_parts", 2, 100), lambda p, i: F.struct(
+    bullets = F.transform(F.slice("_parts", 2, F.size("_parts")), lambda p, i: F.struct(
         p.alias("measure"), F.get("_parts", F.lit(0)).alias("group"), F.transform("_split", lambda c: F.get(c, i)).alias("values"),
         F.array().cast("array<string>").alias("flags")))
-    return rows.select("doc", "page", "table_no", "row_no", F.slice("head", 2, 100).alias("col_labels"),
+    return rows.select("doc", "page", "table_no", "row_no", F.slice("head", 2, F.size("head")).alias("col_labels"),
                        F.inline(F.when(F.col("_ok"), bullets).otherwise(whole)))
 
 

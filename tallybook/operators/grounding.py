@@ -85,7 +85,7 @@ def has_figure(haystack: Column, figure: Column) -> Column:
     number = F.regexp_extract(figure, r"^([\d.]+)", 1).try_cast("double")
     forms = [F.lower(figure), F.lower(bare),
              F.when(figure.rlike(r"\.\d{2}$"), F.regexp_replace(figure, r"[$,.]", "")),
-             F.when(figure.rlike(r"\.\d0$"), F.substring(bare, 1, 1000).substr(F.lit(1), F.length(bare) - 1)),
+             F.when(figure.rlike(r"\.\d0$"), bare.substr(F.lit(1), F.length(bare) - 1)),
              F.when(figure.endswith("%"), F.format_string("%.1f%%", number)),
              F.when(figure.endswith("%"), F.concat(figure.substr(F.lit(1), F.length(figure) - 1), F.lit(" percent")))]
     written = reduce(or_, [F.coalesce(haystack.contains(f), F.lit(False)) for f in forms])

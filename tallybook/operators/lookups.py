@@ -374,11 +374,12 @@ def reviewed_claims(claims: DataFrame) -> DataFrame:
 
 
 def claim_articles(claims: DataFrame, articles: DataFrame) -> DataFrame:
-    """Claims with the outlets that made them, in date order, newest first."""
-    cited = claims.select("id", F.explode("sources").alias("s")).select("id", F.col("s.article").alias("article"),
-                                                                       F.col("s.quote").alias("quote"))
-    return cited.join(articles, "article").groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("date", "outlet", "article", "quote"))).alias("articles"))
+    """Claims with the outlets that made them, in the order in which the claim names them."""
+    cited = claims.select("id", F.posexplode("sources").alias("at", "s")).select(
+        "id", "at", F.col("s.article").alias("article"), F.col("s.quote").alias("quote"))
+    found = F.array_sort(F.collect_list(F.struct("at", "date", "outlet", "article", "quote")))
+    return cited.join(articles, "article").groupBy("id").agg(F.transform(found, lambda a: F.struct(
+        *[a[c].alias(c) for c in ("date", "outlet", "article", "quote")])).alias("articles"))
 
 
 def topic_articles(topics: DataFrame, articles: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def narrative_passages(pages: DataFrame, page_departments: DataFrame, keys: list
     is_bullets = F.col("_kind").isin("n:service_highlight", "n:capital_project")
     kept = F.when(is_bullets & (word_count(F.col("text")) <= max_words * 1.5),
                   F.filter(whole, lambda t: word_count(t) >= 8)).otherwise(pack_sentences(F.col("text"), max_words))
-    out = islands.select(*scope, "_island", "region", "dept", "dept_name", F.substring("_kind", 3, 100).alias("section_type"),
+    out = islands.select(*scope, "_island", "region", "dept", "dept_name", F.expr("substring(_kind, 3)").alias("section_type"),
                          "heading", "pdf_page", "last_page", F.posexplode(kept).alias("_n", "text"))
     return with_passage_ids(out, keys, page_offset)
 

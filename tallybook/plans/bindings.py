@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallybook.functions.text import zero_pad_account
 from tallybook.operators.joins import range_join
 from tallybook.plans.registry import table
 from tallybook.schema import STAGES
@@ -128,7 +129,7 @@ def line_items(spark: SparkSession, sf: str) -> DataFrame:
     return li.join(p, li.l_partkey == p.p_partkey).join(s, li.l_suppkey == s.s_suppkey).select(
         F.col("l_linestatus").alias("status"), F.lit("F").alias("budget_version"),
         F.concat(F.lit("d"), F.col("s_nationkey")).alias("section"), F.col("p_name").alias("description"),
-        F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("account"), F.col("p_brand").alias("org"),
+        zero_pad_account(F.col("p_partkey").cast("string")).alias("account"), F.col("p_brand").alias("org"),
         F.col("p_type").alias("fund"), *stages, (F.col("l_returnflag") == "R").alias("is_subtotal"),
         F.lit(False).alias("is_position"), F.lit("decision_unit").alias("block"), F.col("l_orderkey"), F.col("l_linenumber"),
         cite("detailed", F.col("l_orderkey"), F.col("l_linenumber")))
@@ -169,7 +170,7 @@ def typed_addresses(spark: SparkSession, sf: str) -> DataFrame:
     p = street_parcels(spark, sf)
     named = F.create_map(*[F.lit(x) for x in (
         "ST", "Street", "AV", "Avenue", "LA", "Lane", "BL", "Blvd", "PK", "Parkway", "CT", "Court")])
-    lost = F.concat(F.substring("street", 1, 3), F.substring("street", 5, 200))
+    lost = F.concat(F.substring("street", 1, 3), F.expr("substring(street, 5)"))
     return s.join(p, F.lpad(s.s_suppkey.cast("string"), 10, "0") == p.taxkey).select(
         F.col("s_suppkey").alias("query_id"),
         F.concat_ws(" ", (F.col("house_nr_lo") + 2).cast("string"), F.lower("sdir"), F.lower(lost),

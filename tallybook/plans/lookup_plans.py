@@ -213,7 +213,7 @@ def gcp_reconciliation(spark, sf):
 
 LINE_STAGES = ", ".join(f"case when year(l_shipdate) = {y} then {CENTS.format('l_extendedprice')} end as {s}"
                         for y, s in B.STAGE_BY_YEAR.items())
-LINE_ITEMS = f"""li as (select lower(n_name) as slug, n_name, p_name as description, lpad(p_partkey::varchar, 6, '0') as account,
+LINE_ITEMS = f"""li as (select lower(n_name) as slug, n_name, p_name as description, lpad(p_partkey::varchar, cast(greatest(6, length(p_partkey::varchar)) as integer), '0') as account,
     {LINE_STAGES}, l_orderkey, l_linenumber, l_returnflag, p_brand, p_type
   from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey)"""
 GROUPED = """select 'F' as budget_version, slug, n_name as dept_name, count(*) as line_count,

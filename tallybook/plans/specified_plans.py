@@ -115,7 +115,7 @@ def bordered_tables(spark, sf):
     out = [D.services(cells, kinds).select("doc", F.lit("services").alias("kind"), F.col("description").alias("label"), F.col("operating").cast("double").alias("value")),
            D.kpis(cells, kinds).select("doc", F.lit("kpis").alias("kind"), F.col("measure").alias("label"), F.lit(None).cast("double").alias("value")),
            D.position_changes(cells, kinds).select("doc", F.lit("position_changes").alias("kind"), F.col("title").alias("label"), F.col("positions").cast("double").alias("value"))]
-    return out[0].unionByName(out[1]).unionByName(out[2]).select(F.substring("doc", 2, 20).cast("long").alias("p_partkey"), "kind", "label", "value")
+    return out[0].unionByName(out[1]).unionByName(out[2]).select(F.expr("substring(doc, 2)").cast("long").alias("p_partkey"), "kind", "label", "value")
 
 
 @query("capital_items", """select p_partkey, upper(p_name[1]) || p_name[2:] as name, case p_type when 'PROMO' then p_size * 1000000::bigint when 'ECONOMY' then null else (p_size * 1000)::bigint end as amount,

@@ -205,10 +205,11 @@ def verdict_routes(spark, sf):
     return P.route_verdicts(items, judged, "m").select("id", "verdict", "stale")
 
 
-@query("dossiers", """select source, string_agg(text, chr(10) || chr(10) order by doc_id) as text, count(*) as passages from documents where n_chars < 400 group by source""")
+@query("dossiers", """select source, doc_id // 64 as section, string_agg(text, chr(10) || chr(10) order by doc_id) as text, count(*) as passages from documents group by all""")
 def dossiers(spark, sf):
-    d = table(spark, sf, "documents").where("n_chars < 400").select("source", F.col("doc_id").alias("ordinal"), F.col("doc_id").alias("id"), "text")
-    return P.dossier(d, ["source"])
+    """A source's documents as passages; 64 ids make a section, so no dossier grows with the table."""
+    d = table(spark, sf, "documents").select("source", F.expr("doc_id div 64").alias("section"), F.col("doc_id").alias("ordinal"), F.col("doc_id").alias("id"), "text")
+    return P.dossier(d, ["source", "section"])
 
 
 @query("version_difference", """with a as (select doc_id, text from documents where lang <> 'de'), b as (select doc_id, case when lang = 'fr' then text || '.' else text end as text from documents where lang <> 'es')

@@ -29,9 +29,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only when the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """The shared folder that spark.checkpoint.dir or the session's checkpoint directory names.  A session that names none, as
+    in tests, gets one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        assert df.columns
+        assert df.count() > 0
         return
     assert oracle_check.compare(df, duck, sql) == []
 
