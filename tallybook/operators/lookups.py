@@ -201,9 +201,10 @@ def movers(rows: DataFrame, change: Column, n: int = 5, keys: list[str] | None =
 
 
 def with_grand_total(rows: DataFrame, key: str, values: list[str], label: str = "Total") -> DataFrame:
-    """The table and its grand-total row."""
-    return rows.rollup(key).agg(*[F.sum(v).alias(v) for v in values], F.grouping(key).alias("is_total")).select(
-        F.when(F.col("is_total") == 1, label).otherwise(F.col(key)).alias(key), *values,
+    """The table of each budget version and its grand-total row."""
+    sets = rows.groupingSets([[VERSION, key], [VERSION]], VERSION, key)
+    return sets.agg(*[F.sum(v).alias(v) for v in values], F.grouping(key).alias("is_total")).select(
+        VERSION, F.when(F.col("is_total") == 1, label).otherwise(F.col(key)).alias(key), *values,
         (F.col("is_total") == 1).alias("is_total"))
 
 

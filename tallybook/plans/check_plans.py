@@ -73,8 +73,8 @@ def reconcile_units(spark, sf):
     return K.unit_reconciliation(book, ["section"], ["line_no"]).drop("unit")
 
 
-@query("summary_vs_units", """with u as (select l_suppkey::varchar as section, year(l_shipdate) as y, cast(sum(cast(l_quantity as bigint)) as bigint) as q,
-    cast(sum(case when l_linestatus = 'O' then cast(l_quantity as bigint) end) as bigint) as s from lineitem where year(l_shipdate) between 1995 and 1998 group by all)
+@query("summary_vs_units", f"""with u as (select l_suppkey::varchar as section, {B.STAGE_YEAR.format('l_shipdate')} as y, cast(sum(cast(l_quantity as bigint)) as bigint) as q,
+    cast(sum(case when l_linestatus = 'O' then cast(l_quantity as bigint) end) as bigint) as s from lineitem group by all)
 select section, case y when 1995 then 'actual_2025' when 1996 then 'adopted_2026' when 1997 then 'requested_2027' else 'proposed_2027' end as stage,
   'unit_totals' as "check", q as printed, coalesce(s, 0) as extracted from u
 union all select section, case y when 1995 then 'actual_2025' when 1996 then 'adopted_2026' when 1997 then 'requested_2027' else 'proposed_2027' end,
@@ -83,8 +83,8 @@ def summary_vs_units(spark, sf):
     """A supplier as a section.  Its sheet prints the operating total and the unit total of each year; the units print the
     operating totals of both line states but a unit total for open lines only."""
     li = table(spark, sf, "lineitem").select("l_suppkey", "l_linestatus", "l_quantity", "l_shipdate")
-    year, q = F.year("l_shipdate"), F.col("l_quantity").cast("long")
-    per = li.where(year.between(1995, 1998)).groupBy(F.col("l_suppkey").cast("string").alias("section"), "l_linestatus").agg(
+    year, q = B.stage_year("l_shipdate"), F.col("l_quantity").cast("long")
+    per = li.groupBy(F.col("l_suppkey").cast("string").alias("section"), "l_linestatus").agg(
         *B.stage_sums(year, q))
     stages = list(K.STAGES)
     sheet = per.groupBy("section").agg(*[F.sum(s).alias(s) for s in stages]).withColumn("block", F.lit("bcu_summary")).withColumn(

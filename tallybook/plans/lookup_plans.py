@@ -16,20 +16,20 @@ CENTS = "cast(floor({0} * 100 + 0.5) as bigint)"
 STAGE_SUMS = ", ".join(
     f"cast(sum(case when yr = {y} then amount end) as bigint) as {s}" for y, s in B.STAGE_BY_YEAR.items())
 SPEND = f"""spend as (select o_orderstatus as v, c_nationkey, c_mktsegment, o_orderpriority, o_orderkey,
-    year(o_orderdate) as yr, {CENTS.format('o_totalprice')} as amount
+    {B.STAGE_YEAR.format('o_orderdate')} as yr, {CENTS.format('o_totalprice')} as amount
   from orders join customer on o_custkey = c_custkey)"""
 METRIC = "case o_orderpriority " + " ".join(f"when '{p}' then '{m}'" for p, m in B.PRIORITY_METRIC.items()) + " end"
 DEPT_SUMMARY = f"""{SPEND}, ds as (
   select v, n_nationkey, lower(n_name) as dept, n_name, n_regionkey, metric, {STAGE_SUMS}
-  from (select *, {METRIC} as metric from spend where yr between 1995 and 1998
-        union all select *, 'total_expenditures' from spend where yr between 1995 and 1998) s
+  from (select *, {METRIC} as metric from spend
+        union all select *, 'total_expenditures' from spend) s
   join nation on n_nationkey = c_nationkey group by all)"""
 LETTER = "(['A', 'B', 'C', 'D', 'F'])[n_regionkey + 1]"
 SECTION_TOTALS = f"""parts as (
   select l_returnflag as v, {LETTER} as letter, case when l_linestatus = 'O' then 'levy' else 'non_levy' end as part,
-    year(l_shipdate) as yr, {CENTS.format('l_extendedprice')} as amount
+    {B.STAGE_YEAR.format('l_shipdate')} as yr, {CENTS.format('l_extendedprice')} as amount
   from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
-  where year(l_shipdate) in (1996, 1998)),
+  where {B.STAGE_YEAR.format('l_shipdate')} in (1996, 1998)),
 spread as (select v, unnest([letter, 'SUBTOTAL_ABCDF', 'TOTAL']) as section, part, yr, amount from parts),
 lined as (select v, section, unnest([part, 'budget']) as line, yr, amount from spread),
 st as (select v, section, line, cast(sum(case when yr = 1996 then amount end) as bigint) as adopted,
@@ -177,11 +177,11 @@ def top_shares_rest(spark, sf):
     return L.section_shares(brands, total)
 
 
-@query("section_grand_total", f"""with {SECTION_TOTALS}, s as (select section, adopted, proposed from st
+@query("section_grand_total", f"""with {SECTION_TOTALS}, s as (select v, section, adopted, proposed from st
   where line = 'budget' and length(section) = 1)
-select section, cast(sum(adopted) as bigint) as adopted_2026, cast(sum(proposed) as bigint) as proposed_2027, false as is_total
-from s group by section
-union all select 'Total', cast(sum(adopted) as bigint), cast(sum(proposed) as bigint), true from s""")
+select v as budget_version, section, cast(sum(adopted) as bigint) as adopted_2026, cast(sum(proposed) as bigint) as proposed_2027, false as is_total
+from s group by v, section
+union all select v, 'Total', cast(sum(adopted) as bigint), cast(sum(proposed) as bigint), true from s group by v""")
 def section_grand_total(spark, sf):
     rows = L.section_budgets(B.section_totals(spark, sf), names=FIVE)
     return L.with_grand_total(rows, "section", ["adopted_2026", "proposed_2027"])
@@ -211,7 +211,7 @@ def gcp_reconciliation(spark, sf):
             .withColumn("total_2027", F.col("special_purpose_proposed_2027") - F.col("fringe_offset_proposed_2027")))
 
 
-LINE_STAGES = ", ".join(f"case when year(l_shipdate) = {y} then {CENTS.format('l_extendedprice')} end as {s}"
+LINE_STAGES = ", ".join(f"case when {B.STAGE_YEAR.format('l_shipdate')} = {y} then {CENTS.format('l_extendedprice')} end as {s}"
                         for y, s in B.STAGE_BY_YEAR.items())
 LINE_ITEMS = f"""li as (select lower(n_name) as slug, n_name, p_name as description, lpad(p_partkey::varchar, cast(greatest(6, length(p_partkey::varchar)) as integer), '0') as account,
     {LINE_STAGES}, l_orderkey, l_linenumber, l_returnflag, p_brand, p_type
