@@ -194,7 +194,7 @@ def indent_paths(rows: Column, slack: float = 2.0) -> Column:
     """rows struct(i, indent, label, heading) in order.  Each valued row gets the labels of the headings it sits under: a
     heading drops every heading that is not clearly to its left."""
     empty = F.array().cast("array<struct<indent:double,label:string>>")
-    start = F.struct(empty.alias("path"), F.array().cast("array<struct<i:int,path:array<string>>>").alias("out"))
+    start = F.struct(empty.alias("path"), F.array().cast("array<struct<i:bigint,path:array<string>>>").alias("out"))
 
     def step(state: Column, r: Column) -> Column:
         outer = F.filter(state["path"], lambda p: p["indent"] < r["indent"] - slack)

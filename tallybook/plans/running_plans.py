@@ -166,7 +166,7 @@ where not r.heading group by r.p_partkey""")
 def indent_paths(spark, sf):
     """Fifty parts to a page; economy and promo parts are headings, indented by size."""
     p = table(spark, sf, "part")
-    row = F.struct(F.col("p_partkey").cast("int").alias("i"), ((F.col("p_size") % 5) * 10.0).alias("indent"),
+    row = F.struct(F.col("p_partkey").cast("long").alias("i"), ((F.col("p_size") % 5) * 10.0).alias("indent"),
                    F.col("p_name").alias("label"), F.col("p_type").isin("ECONOMY", "PROMO").alias("heading"))
     pages = p.groupBy(F.floor(F.col("p_partkey") / 50).alias("page")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     return pages.select(F.inline(R.indent_paths(F.col("rows")))).select(

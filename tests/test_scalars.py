@@ -15,6 +15,10 @@ def test_parse_decimal(each):
     assert got == [1234, -150644, Decimal("112.36"), 30000, None, None, -5, None]
 
 
+def test_account_codes_keep_their_digits(each):
+    assert each(["42", "123456", "1234567", None], X.zero_pad_account) == ["000042", "123456", "1234567", None]
+
+
 def test_parse_dollars_stops_on_cents(each):
     assert each(["$1,234", "-"], N.parse_dollars) == [1234, None]
     with pytest.raises(Exception, match="cents"):
