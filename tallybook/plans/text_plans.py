@@ -61,15 +61,13 @@ def reason_counts(spark, sf):
 
 
 @query("money_text", """with a as (select o_orderkey, cast(floor(o_totalprice * 100 + 0.5) as bigint) - 20000000 as d from orders)
-select o_orderkey, case when d > 0 then '+' when d < 0 then '−' else '' end || '$' || case when abs(d) >= 1000000 then format('{:.1f}', abs(d) / 1e6) || ' million' else format('{:,}', abs(d)) end as signed_big,
-  case when d < 0 then '−' when d > 0 then '+' else '' end || case when abs(d) / 1e6 < 0.1 and d <> 0 then format('{:,.2f}', abs(d) / 1e6) else format('{:,.1f}', abs(d) / 1e6) end as signed_millions,
-  case when d > 0 then '+' when d < 0 then '−' else '' end || '$' || format('{:,}', abs(d) // 100) || '.' || lpad((abs(d) % 100)::varchar, 2, '0') as signed_cents from a
-where abs(d) % 50000 not in (0) and abs(d) % 5000 <> 0""")
+select o_orderkey, case when d > 0 then '+' when d < 0 then '−' else '' end || '$' || case when abs(d) >= 1000000 then ((abs(d) + 50000) // 1000000) || '.' || ((abs(d) + 50000) // 100000 % 10) || ' million' else format('{:,}', abs(d)) end as signed_big,
+  case when d < 0 then '−' when d > 0 then '+' else '' end || case when abs(d) / 1e6 < 0.1 and d <> 0 then '0.' || lpad(((abs(d) + 5000) // 10000)::varchar, 2, '0') else format('{:,}', (abs(d) + 50000) // 1000000) || '.' || ((abs(d) + 50000) // 100000 % 10) end as signed_millions,
+  case when d > 0 then '+' when d < 0 then '−' else '' end || '$' || format('{:,}', abs(d) // 100) || '.' || lpad((abs(d) % 100)::varchar, 2, '0') as signed_cents from a""")
 def money_text(spark, sf):
-    """Amounts around zero.  Exact halves of the last printed digit are left to the unit tests: printing engines round them
-    either way."""
+    """Amounts around zero; an exact half of the last printed digit goes away from zero."""
     d = F.col("d")
-    o = table(spark, sf, "orders").select("o_orderkey", (B.cents("o_totalprice") - 20000000).alias("d")).where(F.abs(d) % 5000 != 0)
+    o = table(spark, sf, "orders").select("o_orderkey", (B.cents("o_totalprice") - 20000000).alias("d"))
     return o.select("o_orderkey", M.signed_big(d).alias("signed_big"), M.signed_millions(d).alias("signed_millions"),
                     M.signed_cents(d).alias("signed_cents"))
 
