@@ -91,15 +91,15 @@ def _heading(line: Column, heads: list[tuple]) -> Column:
 
 def narrative_passages(pages: DataFrame, page_departments: DataFrame, keys: list[str], page_offset: int = 10,
                        max_words: int = 320, front_matter: int = 10, last_department_page: int = 210) -> DataFrame:
-    """pages(keys..., page, text), page_departments(page, dept, dept_name): passages with id, place, region, department,
-    section, heading, ordinal, text, numbers and context header.
+    """pages(keys..., page, text), page_departments(keys..., page, dept, dept_name): passages with id, place, region,
+    department, section, heading, ordinal, text, numbers and context header.
 
     A document's pages are the buckets of its running state, so a long document spreads over tasks."""
     order = ["page", "pos"]
     # Each stage below reads its input several times, so lines and marked lines are written once.
     lines = materialize(drop_label_runs(page_lines(pages.where(F.col("page") > front_matter), keys), [*keys, "page"]))
     titles = lines.where("_title").select(*keys, "page", F.col("line").alias("title"))
-    titles = titles.join(page_departments, "page", "left").withColumn("region", region_of(F.col("title"), F.col("page")))
+    titles = titles.join(page_departments, [*keys, "page"], "left").withColumn("region", region_of(F.col("title"), F.col("page")))
     owned = F.col("region").isin("department", "special_fund", "capital")
     titles = titles.withColumns({"dept": F.when(owned, F.col("dept")).when(F.col("region") == "source_of_funds", "gcp-source-of-funds"),
                                  "dept_name": F.when(owned, F.col("dept_name"))})
@@ -135,7 +135,7 @@ def narrative_passages(pages: DataFrame, page_departments: DataFrame, keys: list
     islands = body.groupBy(*scope, "_island", "_kind", "region", "dept", "dept_name").agg(
         text_of(F.collect_list(F.when(F.col("_text").isNotNull(), F.struct("page", "pos", F.col("_text").alias("text"))))).alias("text"),
         F.min("page").alias("pdf_page"), F.max("page").alias("last_page"),
-        F.first(F.coalesce("heading", "title")).alias("heading"))
+        F.min_by(F.coalesce("heading", "title"), F.struct("page", "pos")).alias("heading"))
     whole = F.array(F.trim(F.regexp_replace("text", r"\s+", " ")))
     is_bullets = F.col("_kind").isin("n:service_highlight", "n:capital_project")
     kept = F.when(is_bullets & (word_count(F.col("text")) <= max_words * 1.5),
@@ -146,18 +146,18 @@ def narrative_passages(pages: DataFrame, page_departments: DataFrame, keys: list
 
 
 def with_passage_ids(chunks: DataFrame, keys: list[str], page_offset: int = 10) -> DataFrame:
-    """Ordinals per run of one region and department; ids stay unique when a region comes back later, taking the next free
-    number."""
+    """Ordinals per run of one region and department; ids stay unique when a region comes back later, taking the numbers
+    above those of its first run."""
     run = Window.partitionBy(*keys, "run").orderBy("_island", "_n")
     numbered = chunks.withColumn("ordinal", F.row_number().over(run)).withColumn(
         "base", F.concat_ws(":", "region", F.coalesce("dept", F.lit("-")), "section_type"))
     first_run = F.min("run").over(Window.partitionBy(*keys, "base"))
     marked = numbered.withColumn("_again", F.col("run") > first_run)
-    # Ordinals of a first run are free by construction; only later runs of the same base look for the next free number.
+    # Ordinals of a first run are free by construction; only later runs of the same base are numbered anew.
     again = marked.groupBy(*keys, "base").agg(
         F.max(F.when(~F.col("_again"), F.col("ordinal"))).alias("_top"), F.max("_again").alias("_any"))
     later = Window.partitionBy(*keys, "base", "_again").orderBy("run", "ordinal")
-    free = F.greatest(F.col("ordinal"), F.col("_top") + F.row_number().over(later))
+    free = F.col("_top") + F.row_number().over(later)
     ided = marked.join(again, [*keys, "base"]).withColumn("_no", F.when(F.col("_again"), free).otherwise(F.col("ordinal")))
     where = F.coalesce("dept_name", F.initcap(F.replace("region", F.lit("_"), F.lit(" "))))
     header = X.context_header(where, F.replace("section_type", F.lit("_"), F.lit(" ")),

@@ -232,10 +232,64 @@ def table_cards(spark, sf):
         "id", "printed_page", "page_end", "text")
 
 
-@query("narrative_passages")
+def sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+NARRATIVE_KINDS = [(h, f"n:{k}") for h, k in V.NARRATIVE_HEADS] + [(h, f"t:{k}") for h, k in V.TABLE_HEADS]
+HEAD_SQL = "case " + " ".join(f"when starts_with(line, {sql_text(h)}) then {{}}".format(sql_text(h)) for h, _ in NARRATIVE_KINDS) + " end"
+KIND_SQL = "case head " + " ".join(f"when {sql_text(h)} then {sql_text(k)}" for h, k in NARRATIVE_KINDS) + " end"
+SUB_SQL = rf"""lower(list_last(regexp_split_to_array(line, '\s+'))) not in ({', '.join(map(sql_text, V.SUBHEAD_TAIL))}) and len(line) - len(replace(line, ',', '')) < 2
+    and regexp_split_to_array(line, '\s+')[1] not in ({', '.join(map(sql_text, V.SUBHEAD_NOT_FIRST))}) and len(regexp_split_to_array(line, '\s+')) between 2 and 9
+    and not regexp_matches(line, '[.:,;]$') and regexp_matches(line, {sql_text(V.SUBHEAD)}) and line <> upper(line) and (prev is null or regexp_matches(rtrim(prev), '[.:”)]$'))"""
+SENTENCES = PACK.replace("text", "p.text")
+
+
+@query("narrative_passages", rf"""with recursive
+pg as (select source, source || '/' || (doc_id // 256) as doc, doc_id + 11 as page, concat_ws(chr(10), case when doc_id % 8 = 0 then 'SOURCE OF FUNDS' else upper(source) end,
+    case when doc_id % 4 = 1 then 'MISSION: to serve the people of ' || source || ' well and on time.' when doc_id % 4 = 2 then 'SERVICE HIGHLIGHTS' when doc_id % 12 = 3 then 'BUDGET SUMMARY' end,
+    case when doc_id % 4 = 2 then '•' || chr(10) || 'Repaired ' || doc_id || ' streets and bridges across all wards of the city this year.' || chr(10) || '•' end,
+    case when doc_id % 5 = 0 then 'Street Work and Lighting' end, coalesce(text, '')) as text from documents),
+{LINES.replace('doc_id', 'doc, page').replace('from documents', 'from pg')},
+ln as (select * from r where not short or run < 3),
+ti as (select distinct source, doc, page, case when line = 'SOURCE OF FUNDS' then 'source_of_funds' when page between 17 and 34 then 'summary_tables' else 'department' end as region, line as title from ln join pg using (doc, page) where title),
+td as (select *, case region when 'department' then source when 'source_of_funds' then 'gcp-source-of-funds' end as dept from ti),
+tr as (select *, sum(turn) over (partition by doc order by page) as rn from (select *, case when lag(region) over w = region and lag(coalesce(dept, '-')) over w = coalesce(dept, '-') then 0 else 1 end as turn from td window w as (partition by doc order by page))),
+tl as (select ln.doc, ln.page, pos, line, rn, region, dept, tr.title, {WORDS_OF.format('line')} as w from ln join tr on ln.doc = tr.doc and ln.page = tr.page where not ln.title),
+tb as (select *, len(w) > 0 and (len(list_filter(w, lambda x: regexp_matches(x, '^[\$\-\(]*[\d][\d,\.]*%?\)?$'))) * 2 >= len(w)
+    or (len(w) <= 3 and len(list_filter(w, lambda x: regexp_matches(x, '^[\$\-\(]*[\d][\d,\.]*%?\)?$'))) >= 1)) as tabular from tl),
+hd as (select *, {HEAD_SQL} as head from tb where region <> 'summary_tables' or (len(w) >= 10 and not tabular)),
+kd as (select *, coalesce(last_value({KIND_SQL} ignore nulls) over (partition by doc, rn order by page, pos), case when region = 'department' then 'n:other' else 'n:narrative' end) as kind from hd),
+pv as (select *, lag(line) over (partition by doc, rn, page order by pos) as prev from kd where head is not null or not (kind like 't:%' or tabular)),
+sb as (select *, coalesce(head is null and region = 'department' and kind not like 't:%' and {SUB_SQL}, false) as sub, kind in ('n:service_highlight', 'n:capital_project') as items from pv),
+il as (select *, sum(case when head is not null or sub or (items and line = '•') then 1 else 0 end) over w as isl,
+    coalesce(last_value(case when head is not null and kind not like 't:%' then head when sub then line end ignore nulls) over w, title) as heading,
+    case when head is not null then nullif(trim(substring(line, length(head) + 1)), '') when not sub and not (items and line = '•') and line <> 'o' then line end as rest
+  from sb window w as (partition by doc, rn order by page, pos)),
+p as (select doc, rn, isl, kind, items, region, dept, coalesce(string_agg(rest, ' ' order by page, pos), '') as text, min(page) as page, arg_min(heading, (page, pos)) as heading from il where kind not like 't:%' group by all),
+se as (select doc, rn, isl, whole, unnest(case when whole then [{WORDS_OF.format('p.text')}.array_to_string(' ')] else {SENTENCES} end) as t,
+    unnest(range(1, case when whole then 2 else len({SENTENCES}) + 1 end)) as i from (select *, items and len({WORDS_OF.format('text')}) <= 480 as whole from p) p),
+sn as (select *, len({WORDS_OF.format('t')}) as n from se),
+f as (select doc, rn, isl, i, n as cur, 1 as chunk from sn where i = 1
+  union all select sn.doc, sn.rn, sn.isl, sn.i, case when f.cur + sn.n > 320 then sn.n else f.cur + sn.n end, case when f.cur + sn.n > 320 then f.chunk + 1 else f.chunk end
+  from f join sn on sn.doc = f.doc and sn.rn = f.rn and sn.isl = f.isl and sn.i = f.i + 1),
+c as (select f.doc, f.rn, f.isl, chunk, string_agg(t, ' ' order by f.i) as text, sum(sn.n) as words from f join sn on sn.doc = f.doc and sn.rn = f.rn and sn.isl = f.isl and sn.i = f.i group by all),
+o as (select p.*exclude (text), c.text, substring(kind, 3) as section_type, row_number() over (partition by doc, rn order by isl, chunk) as ordinal from c join p using (doc, rn, isl) where words >= 8),
+b as (select *, concat_ws(':', region, coalesce(dept, '-'), section_type) as base from o),
+g as (select *, rn > min(rn) over (partition by doc, base) as again from b),
+q as (select *, max(case when not again then ordinal end) over (partition by doc, base) as top, row_number() over (partition by doc, base, again order by rn, ordinal) as k from g)
+select doc, base || ':' || case when again then top + k else ordinal end as id, cast(page as integer) as pdf_page, region, dept, section_type, heading, cast(ordinal as integer) as ordinal, text from q""")
 def narrative_passages(spark, sf):
-    """Documents of a source as the pages of a book, the source as the department."""
-    d = table(spark, sf, "documents")
-    pages = d.select(F.col("source").alias("doc"), (F.col("doc_id") + 11).cast("int").alias("page"), "text")
-    depts = d.select((F.col("doc_id") + 11).cast("int").alias("page"), F.col("source").alias("dept"), F.col("source").alias("dept_name"))
-    return P.narrative_passages(pages, depts, ["doc"]).select("doc", "id", "pdf_page", "region", "dept", "section_type", "ordinal", "text")
+    """Documents of a source as the pages of a book, 256 ids to a book.  Some pages print a funds title, a mission, items, a
+    table or a sub-heading above the text, so that regions come back and every kind of section occurs."""
+    n = F.col("doc_id")
+    title = F.when(n % 8 == 0, "SOURCE OF FUNDS").otherwise(F.upper("source"))
+    head = (F.when(n % 4 == 1, F.concat(F.lit("MISSION: to serve the people of "), "source", F.lit(" well and on time.")))
+            .when(n % 4 == 2, "SERVICE HIGHLIGHTS").when(n % 12 == 3, "BUDGET SUMMARY"))
+    items = F.when(n % 4 == 2, F.concat(F.lit("•\nRepaired "), n.cast("string"), F.lit(" streets and bridges across all wards of the city this year.\n•")))
+    sub = F.when(n % 5 == 0, "Street Work and Lighting")
+    book = F.concat("source", F.lit("/"), F.expr("doc_id div 256").cast("string")).alias("doc")
+    d = table(spark, sf, "documents").select(book, (n + 11).cast("int").alias("page"), "source",
+                                             F.concat_ws("\n", title, head, items, sub, F.coalesce("text", F.lit(""))).alias("text"))
+    depts = d.select("doc", "page", F.col("source").alias("dept"), F.col("source").alias("dept_name"))
+    return P.narrative_passages(d.drop("source"), depts, ["doc"]).select("doc", "id", "pdf_page", "region", "dept", "section_type", "heading", "ordinal", "text")
