@@ -283,10 +283,12 @@ def glossary_gaps(glossary: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def fee_revenue_gaps(fees: DataFrame, revenues: DataFrame, names: DataFrame) -> DataFrame:
-    """Fees whose stated revenue differs from the printed revenue line (names: fee, line)."""
-    lines = revenues.groupBy("line").agg(F.min_by("proposed_2027", position()).alias("printed"))
-    return mismatches(fees.join(names, "fee").join(lines, "line", "left").select(
-        "fee", "printed", F.col("revenue_2027").alias("extracted")))
+    """Fees whose stated revenue differs from the revenue line that the summary of the same version prints for the general
+    fund (names: fee, line)."""
+    general = revenues.where((F.col("source") == "summary") & (F.col("fund") == "general"))
+    lines = general.groupBy("budget_version", "line").agg(F.min_by("proposed_2027", position()).alias("printed"))
+    return mismatches(fees.join(names, "fee").join(lines, ["budget_version", "line"], "left").select(
+        "budget_version", "fee", "printed", F.col("revenue_2027").alias("extracted")))
 
 
 # --- Keys and counts --------------------------------------------------------------------------------------------------------

@@ -346,7 +346,8 @@ def capital_projects(projects: DataFrame, departments: DataFrame, slug: str | No
 
 def topic_figures(topics: DataFrame, headline_rows: DataFrame, sections: DataFrame, departments: DataFrame,
                   fees: DataFrame, projects: DataFrame) -> DataFrame:
-    """topics(topic, ordinal, label, source, key): one cited figure per entry from the table its source names."""
+    """topics(budget_version, topic, ordinal, label, source, key): one cited figure per entry from the table its source names.
+    A figure that a version lacks stops the job, also when another version has it."""
     def figures(df, source, key, adopted, proposed, kind):
         return df.select(VERSION, F.lit(source).alias("source"), key.alias("key"), F.lit(kind).alias("kind"),
                          adopted.cast("decimal(18,2)").alias("adopted_2026"),
@@ -364,7 +365,7 @@ def topic_figures(topics: DataFrame, headline_rows: DataFrame, sections: DataFra
         figures(projects, "project", c("name"), F.lit(None), c("amount"), "dollars"),
     ]
     found = reduce(DataFrame.unionByName, pool)
-    return topics.join(found, ["source", "key"], "left").select(
+    return topics.join(found, [VERSION, "source", "key"], "left").select(
         VERSION, "topic", "ordinal", "label", "key", "kind", "adopted_2026",
         required(F.col("proposed_2027"), "a topic figure").alias("proposed_2027"), "cite")
 

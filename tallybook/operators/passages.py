@@ -91,15 +91,15 @@ def _heading(line: Column, heads: list[tuple]) -> Column:
 
 def narrative_passages(pages: DataFrame, page_departments: DataFrame, keys: list[str], page_offset: int = 10,
                        max_words: int = 320, front_matter: int = 10, last_department_page: int = 210) -> DataFrame:
-    """pages(keys..., page, text), page_departments(keys..., page, dept, dept_name): passages with id, place, region,
-    department, section, heading, ordinal, text, numbers and context header.
+    """pages(keys..., page, text), page_departments(page, dept, dept_name, and those of the keys that tell its documents
+    apart): passages with id, place, region, department, section, heading, ordinal, text, numbers and context header.
 
     A document's pages are the buckets of its running state, so a long document spreads over tasks."""
     order = ["page", "pos"]
     # Each stage below reads its input several times, so lines and marked lines are written once.
     lines = materialize(drop_label_runs(page_lines(pages.where(F.col("page") > front_matter), keys), [*keys, "page"]))
     titles = lines.where("_title").select(*keys, "page", F.col("line").alias("title"))
-    titles = titles.join(page_departments, [*keys, "page"], "left").withColumn("region", region_of(F.col("title"), F.col("page")))
+    titles = titles.join(page_departments, [k for k in [*keys, "page"] if k in page_departments.columns], "left").withColumn("region", region_of(F.col("title"), F.col("page")))
     owned = F.col("region").isin("department", "special_fund", "capital")
     titles = titles.withColumns({"dept": F.when(owned, F.col("dept")).when(F.col("region") == "source_of_funds", "gcp-source-of-funds"),
                                  "dept_name": F.when(owned, F.col("dept_name"))})

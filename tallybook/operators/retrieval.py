@@ -62,19 +62,19 @@ def _normal(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(size == 0, 1, size)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """scores: rows by queries.  Keeps k per query, equal scores by id."""
-    if not len(ids):
-        return
-    for j, q in enumerate(query_ids):
-        column = scores[:, j]
-        if len(column) > k:
-            cut = np.partition(column, len(column) - k)[len(column) - k]
-            keep = np.flatnonzero(column >= cut)
-        else:
-            keep = np.arange(len(column))
-        keep = keep[np.lexsort((ids[keep], -column[keep]))][:k]
-        yield pd.DataFrame({"query_id": q, "id": ids[keep], "score": column[keep]})
+def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best, equal scores by id."""
+    keep = np.arange(len(scores))
+    if len(scores) > k:
+        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
+        keep = np.flatnonzero(scores >= cut)
+    keep = keep[np.lexsort((ids[keep], -scores[keep]))][:k]
+    return ids[keep], scores[keep]
+
+
+def _as_rows(query_ids: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": np.repeat(query_ids, [len(ids) for ids, _ in best]), "id": np.concatenate([ids for ids, _ in best]),
+                         "score": np.concatenate([scores for _, scores in best])})
 
 
 def vector_rank(queries: DataFrame, corpus: DataFrame, k: int = LIST_SIZE, max_queries: int = 4096,
@@ -82,7 +82,7 @@ def vector_rank(queries: DataFrame, corpus: DataFrame, k: int = LIST_SIZE, max_q
     """The k nearest corpus rows of each query by cosine, exactly.  queries(query_id long, embedding), corpus(id long,
     embedding).
 
-    A query set within max_queries goes to every task and the corpus is scanned once, k rows per query leaving each batch.
+    A query set within max_queries goes to every task and the corpus is scanned once, k rows per query leaving each partition.
     A larger one is cut into blocks, and so is the corpus; each pair of blocks is one bounded group."""
     schema = "query_id long, id long, score double"
     held = queries.select("query_id", "embedding").limit(max_queries + 1).collect()
@@ -92,11 +92,19 @@ def vector_rank(queries: DataFrame, corpus: DataFrame, k: int = LIST_SIZE, max_q
         matrix = _normal(np.array([r["embedding"] for r in held], dtype="float64")).T
         query_ids = np.array([r["query_id"] for r in held])
 
+        sent = queries.sparkSession.sparkContext.broadcast((query_ids, matrix))
+
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            query_ids, matrix = sent.value
+            best = [(np.empty(0, dtype="int64"), np.empty(0))] * len(query_ids)
             for batch in batches:
                 if len(batch):
-                    rows = _normal(np.stack(batch["embedding"].to_numpy()).astype("float64"))
-                    yield from _best(batch["id"].to_numpy(), rows @ matrix, query_ids, k)
+                    ids = batch["id"].to_numpy()
+                    scores = _normal(np.stack(batch["embedding"].to_numpy()).astype("float64")) @ matrix
+                    for j, held in enumerate(best):
+                        new = _top(ids, scores[:, j], k)
+                        best[j] = _top(np.r_[held[0], new[0]], np.r_[held[1], new[1]], k)
+            yield _as_rows(query_ids, best)
 
         near = corpus.select("id", "embedding").mapInPandas(scan, schema)
     else:
@@ -119,7 +127,8 @@ def _blocked(queries: DataFrame, corpus: DataFrame, k: int, max_queries: int, bl
             return empty
         m = _normal(np.stack(left["embedding"].to_numpy()).astype("float64")).T
         rows = _normal(np.stack(right["embedding"].to_numpy()).astype("float64"))
-        return pd.concat([empty, *_best(right["id"].to_numpy(), rows @ m, left["query_id"].to_numpy(), k)])
+        ids, scores = right["id"].to_numpy(), rows @ m
+        return _as_rows(left["query_id"].to_numpy(), [_top(ids, scores[:, j], k) for j in range(scores.shape[1])])
 
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(pair, schema)
 

@@ -177,14 +177,14 @@ def closing_points(rows: Column, values: int) -> Column:
     An anchor row adds its values to the running sum.  A candidate closes the unit when every value equals the sum and some
     sum is not zero, or at once when explicit; the sum then starts again."""
     zero = F.array(*[F.lit(0).cast("long") for _ in range(values)])
-    start = F.struct(zero.alias("acc"), F.array().cast("array<int>").alias("closed"))
+    start = F.struct(zero.alias("acc"), F.array().cast("array<long>").alias("closed"))
 
     def step(state: Column, r: Column) -> Column:
         added = F.zip_with(state["acc"], r["v"], lambda a, b: a + F.coalesce(b, F.lit(0)))
         equal = F.forall(F.zip_with(state["acc"], r["v"], lambda a, b: a == F.coalesce(b, F.lit(0))), lambda e: e)
         closes = r["candidate"] & (r["explicit"] | (equal & F.exists(state["acc"], lambda a: a != 0)))
         return (F.when(r["anchor"], F.struct(added.alias("acc"), state["closed"].alias("closed")))
-                .when(closes, F.struct(zero.alias("acc"), F.concat(state["closed"], F.array(r["i"])).alias("closed")))
+                .when(closes, F.struct(zero.alias("acc"), F.concat(state["closed"], F.array(r["i"].cast("long"))).alias("closed")))
                 .otherwise(state))
 
     return F.aggregate(rows, start, step)["closed"]

@@ -330,15 +330,14 @@ def topic_figures(spark, sf):
         "cite", B.cite("summary", F.lit(1), F.lit(1)))
     fees = projects.select("budget_version", F.col("name").alias("fee"), F.col("amount").alias("value_2026"),
                            F.col("amount").alias("value_2027"), "cite").where("false")
-    dept_topics = totals.select(F.lit("departments").alias("topic"), F.lit("department").alias("source"),
-                                F.col("slug").alias("key")).distinct()
-    topics = dept_topics.unionByName(sections.select(F.lit("sections").alias("topic"), F.lit("section").alias("source"),
-                                                     F.col("section").alias("key")).distinct())
-    topics = topics.unionByName(projects.select(F.lit("projects").alias("topic"), F.lit("project").alias("source"),
+    topics = totals.select("budget_version", F.lit("departments").alias("topic"), F.lit("department").alias("source"), F.col("slug").alias("key")).distinct()
+    topics = topics.unionByName(sections.select("budget_version", F.lit("sections").alias("topic"), F.lit("section").alias("source"),
+                                                F.col("section").alias("key")).distinct())
+    topics = topics.unionByName(projects.select("budget_version", F.lit("projects").alias("topic"), F.lit("project").alias("source"),
                                                 F.col("name").alias("key")))
-    fixed = spark.createDataFrame([("taxes-fees", "headline", "levy"), ("taxes-fees", "headline", "rate")],
-                                  "topic string, source string, key string")
-    topics = topics.unionByName(fixed).withColumn("ordinal", F.lit(1)).withColumn("label", F.col("key"))
+    topics = topics.unionByName(heads.select("budget_version", F.lit("taxes-fees").alias("topic"), F.lit("headline").alias("source"),
+                                             F.explode(F.array(F.lit("levy"), F.lit("rate"))).alias("key")))
+    topics = topics.withColumn("ordinal", F.lit(1)).withColumn("label", F.col("key"))
     out = L.topic_figures(topics, heads, sections, totals, fees, projects)
     return out.select("budget_version", "topic", "key", F.col("adopted_2026").cast(DOUBLE).alias("adopted_2026"),
                       F.col("proposed_2027").cast(DOUBLE).alias("proposed_2027"), "kind")

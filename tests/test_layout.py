@@ -95,3 +95,10 @@ def test_report_counts_orphans_and_skipped_pages(spark):
     words = spark.createDataFrame(page, "doc string, page int, text string, x0 double, x1 double, top double")
     got = {r["page"]: (r["skipped"], r["orphans"]) for r in L.extraction_report(words, L.page_geometry(words)).collect()}
     assert got == {7: (False, 1), 8: (True, 0)}
+
+
+def test_closing_places_past_the_int_range(spark):
+    far = 30_000_000 * 1_000_000
+    df = spark.sql(f"select array(struct({far}L as i, true as anchor, false as candidate, false as explicit, array(5L) as v), "
+                   f"struct({far + 1}L as i, false as anchor, true as candidate, false as explicit, array(5L) as v)) as r")
+    assert df.select(R.closing_points(F.col("r"), 1)).first()[0] == [far + 1]

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
 from tallybook.operators import lookups as L
 
 
@@ -14,3 +17,22 @@ def test_each_version_has_its_own_total(spark):
     rows = spark.createDataFrame([("P", "A", 1), ("P", "B", 2), ("F", "A", 5)], "budget_version string, section string, v long")
     got = sorted(tuple(r) for r in L.with_grand_total(rows, "section", ["v"]).collect())
     assert got == [("F", "A", 5, False), ("F", "Total", 5, True), ("P", "A", 1, False), ("P", "B", 2, False), ("P", "Total", 3, True)]
+
+
+def test_a_figure_missing_in_one_version_stops_the_job(spark):
+    cols = "budget_version string, {} string, adopted_2026 long, proposed_2027 long, cite string"
+    depts = spark.createDataFrame([("P", "a", 1, 2, "c"), ("F", "a", 3, 4, "c"), ("F", "b", 5, 6, "c")], cols.format("slug"))
+    none = depts.limit(0)
+    heads = none.select("budget_version", *[F.lit(0).alias(c) for c in ("levy_cite", "levy_adopted_2026", "levy_proposed_2027", "rate_2026", "rate_2027")])
+    heads = heads.withColumn("levy_cite", F.lit("c"))
+    fees = none.select("budget_version", F.col("slug").alias("fee"), F.col("adopted_2026").alias("value_2026"), F.col("proposed_2027").alias("value_2027"), "cite")
+    projects = none.select("budget_version", F.col("slug").alias("name"), F.col("adopted_2026").alias("amount"), "cite")
+
+    def figures(*topics):
+        asked = spark.createDataFrame([(v, "t", 1, k, "department", k) for v, k in topics], "budget_version string, topic string, ordinal int, label string, source string, key string")
+        out = L.topic_figures(asked, heads, none.withColumnRenamed("slug", "section"), depts, fees, projects)
+        return sorted((r["budget_version"], r["key"], int(r["proposed_2027"])) for r in out.collect())
+
+    assert figures(("P", "a"), ("F", "a"), ("F", "b")) == [("F", "a", 4), ("F", "b", 6), ("P", "a", 2)]
+    with pytest.raises(Exception, match="a topic figure"):
+        figures(("P", "a"), ("P", "b"), ("F", "b"))
