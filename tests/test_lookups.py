@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tallybook.operators import lookups as L
+from tallybook.operators import checks as C, lookups as L
 
 
 def test_articles_keep_the_order_of_the_claim(spark):
@@ -36,3 +36,14 @@ def test_a_figure_missing_in_one_version_stops_the_job(spark):
     assert figures(("P", "a"), ("F", "a"), ("F", "b")) == [("F", "a", 4), ("F", "b", 6), ("P", "a", 2)]
     with pytest.raises(Exception, match="a topic figure"):
         figures(("P", "a"), ("P", "b"), ("F", "b"))
+
+
+def test_fee_revenue_is_that_of_the_same_version_and_fund(spark):
+    fees = spark.createDataFrame([("P", "waste", 10), ("F", "waste", 12), ("F", "snow", 7)], "budget_version string, fee string, revenue_2027 long")
+    names = spark.createDataFrame([("waste", "Waste Fee"), ("snow", "Snow Fee")], "fee string, line string")
+    printed = [("P", "summary", "general", "Waste Fee", 10, 1), ("F", "summary", "general", "Waste Fee", 13, 1), ("F", "summary", "debt", "Snow Fee", 7, 1),
+               ("F", "detailed", "general", "Waste Fee", 12, 2)]
+    revenues = spark.createDataFrame(printed, "budget_version string, source string, fund string, line string, proposed_2027 long, at int").withColumn(
+        "cite", F.struct(F.lit("summary").alias("doc"), F.col("at").alias("pdf_page"), F.lit("1").alias("printed_page"), F.col("at").alias("line_no")))
+    got = sorted(tuple(r) for r in C.fee_revenue_gaps(fees, revenues, names).collect())
+    assert got == [("F", "snow", None, 7), ("F", "waste", 13, 12)]
