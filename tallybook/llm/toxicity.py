@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import with_arrays
+from tallybook.llm.common import with_arrays, written
 from tallybook.llm.samples import labelled_sample
 from tallybook.llm.textarrays import U, byte_values, octets, run_hasher
 
@@ -19,6 +19,7 @@ SLOTS = 1 << 17
 HEADS = (4, 5, 6, 7, 8)
 FEATURES = 1 + len(HEADS)
 SEGMENT = 256
+STRETCH = 128
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _INSIDE = np.zeros(256, dtype=np.int8)
@@ -106,8 +107,13 @@ class Field:
         return out[:n]
 
 
-def _gradient(field: Field, slots: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the log likelihood of sequences of one length (rows): gold minus marginal for each token, and for transitions."""
+#: Folds marginals where nothing was learnt.
+PLAIN = np.array([-4.0, 0.0, 0.0])
+
+
+def _gradient(field: Field, slots: np.ndarray, gold: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the log likelihood of sequences of one length (rows): gold minus marginal for each token, and for transitions,
+    each as often as `counts` says of the (right) token."""
     e = np.full(slots.shape[:2], field.bias)
     for i in range(FEATURES):
         e += field.own[slots[:, :, i]]
@@ -129,45 +135,57 @@ def _gradient(field: Field, slots: np.ndarray, gold: np.ndarray) -> tuple[np.nda
     both = alpha * beta
     marginal = both[:, :, 1] / both.sum(axis=2)
     right = up[:, 1:] * beta[:, 1:]
-    norm = ((alpha[:, :-1] @ psi) * right).sum(axis=2)
-    pair = np.array([[(alpha[:, :-1, i] * psi[i, j] * right[:, :, j] / norm).sum() for j in (0, 1)] for i in (0, 1)])
-    turns = np.bincount((gold[:, :-1] * 2 + gold[:, 1:]).ravel(), minlength=4).reshape(2, 2)
-    return gold - marginal, turns - pair
+    each = counts[:, 1:] / ((alpha[:, :-1] @ psi) * right).sum(axis=2)
+    pair = np.array([[(alpha[:, :-1, i] * psi[i, j] * right[:, :, j] * each).sum() for j in (0, 1)] for i in (0, 1)])
+    turns = np.bincount((gold[:, :-1] * 2 + gold[:, 1:]).ravel(), weights=counts[:, 1:].ravel(), minlength=4).reshape(2, 2)
+    return (gold - marginal) * counts, turns - pair
 
 
-def toxic_features(slots: list[np.ndarray], labels: np.ndarray, certain: float = 1.5) -> np.ndarray:
+def toxic_features(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int, certain: float = 1.5) -> np.ndarray:
     """Token labels from document labels: a table of the features whose log odds of standing in a toxic document are over
-    `certain`, less two standard errors."""
-    a, b = np.zeros(SLOTS), np.zeros(SLOTS)
-    for s, label in zip(slots, labels, strict=True):
-        (a if label else b)[np.unique(s)] += 1
-    odds = np.log((a + 0.5) / (labels.sum() + 1)) - np.log((b + 0.5) / ((1 - labels).sum() + 1))
-    table = odds - 2 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > certain
+    `certain`, less two standard errors.  toxic, other: how many of the documents of each label have a feature."""
+    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((other + 0.5) / (n_other + 1))
+    table = odds - 2 * np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5)) > certain
     table[0] = False
     return table
 
 
-def fit_field(hashes: list[np.ndarray], labels: np.ndarray, rounds: int = 40, ridge: float = 1e-4) -> Field:
-    """Field of the labelled tokens of whole documents, by gradient steps with a rate for each weight; then two weights
-    that turn a document's marginals into its score.  Without both labels every document scores as plain."""
-    zero = np.zeros(SLOTS)
-    plain = Field(zero, zero, zero, -8.0, np.zeros((2, 2)), np.array([-4.0, 0.0, 0.0]))
-    if len(labels) == 0 or labels.min() == labels.max():
-        return plain
-    slots = np.concatenate(hashes)
-    gold = toxic_features(hashes, labels)[slots].any(axis=1).astype(np.int64)
-    gold &= np.repeat(labels.astype(np.int64), [len(h) for h in hashes])
-    rows = len(slots) // 128
-    if rows == 0 or gold.sum() == 0:
-        return plain
-    slots_m, gold_m = slots[: rows * 128].reshape(rows, 128, FEATURES), gold[: rows * 128].reshape(rows, 128)
-    # stretches of 128 tokens without a toxic one are much alike: a quarter of them is enough
-    pick = (gold_m.sum(axis=1) > 0) | (np.arange(rows) % 4 == 0)
-    slots_m, gold_m = slots_m[pick], gold_m[pick]
+def _mixed(seed: int, count: int) -> np.ndarray:
+    """A hash of seed and place for each of `count` places."""
+    z = U(seed % 2**64) + np.arange(count, dtype=U) * U(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> U(shift))) * U(factor)
+    return z ^ (z >> U(31))
+
+
+def stretches(slots: np.ndarray, gold: np.ndarray, seed: int, most: int) -> list[np.ndarray]:
+    """Stretches of STRETCH tokens of one document to learn from, each as round, place, then rows of FEATURES places and
+    gold.  All with a toxic token, and a quarter of the others, which are much alike.  The rounds number either kind in the
+    order of a hash, up to `most`: taken round by round, no document has a second stretch before each other has a first."""
+    count = -(-len(slots) // STRETCH)
+    toxic = np.zeros(count, dtype=bool)
+    toxic[np.flatnonzero(gold) // STRETCH] = True
+    key = _mixed(seed, count)
+    rows = np.c_[slots, gold].astype(np.int32)
+    out = []
+    for kind in (np.flatnonzero(toxic), np.flatnonzero(~toxic & (key % U(4) == 0))):
+        for turn, k in enumerate(kind[np.argsort(key[kind], kind="stable")][:most]):
+            out.append(np.r_[np.array([turn, k], dtype=np.int32), rows[k * STRETCH:(k + 1) * STRETCH].ravel()])
+    return out
+
+
+def fit_weights(slots: np.ndarray, gold: np.ndarray, rounds: int = 40, ridge: float = 1e-4) -> Field:
+    """Field of labelled tokens, by gradient steps with a rate for each weight.  The last row of STRETCH tokens is filled up
+    with tokens that do not count."""
+    rows = -(-len(slots) // STRETCH)
+    fill = rows * STRETCH - len(slots)
+    counts = np.r_[np.ones(len(slots)), np.zeros(fill)].reshape(rows, STRETCH)
+    slots_m = np.r_[slots, np.zeros((fill, FEATURES), dtype=slots.dtype)].reshape(rows, STRETCH, FEATURES)
+    gold_m = np.r_[gold, np.zeros(fill, dtype=gold.dtype)].reshape(rows, STRETCH)
     weights = {k: np.zeros(SLOTS) for k in ("own", "before", "after")} | {"bias": np.array(-4.0), "turn": np.zeros((2, 2))}
     sums = {k: np.full_like(v, 1e-8) for k, v in weights.items()}
     for _ in range(rounds):
-        diff, turns = _gradient(Field(weights["own"], weights["before"], weights["after"], float(weights["bias"]), weights["turn"], plain.fold), slots_m, gold_m)
+        diff, turns = _gradient(Field(weights["own"], weights["before"], weights["after"], float(weights["bias"]), weights["turn"], PLAIN), slots_m, gold_m, counts)
         word = slots_m[:, :, 0]
         own = np.zeros(SLOTS)
         for i in range(FEATURES):
@@ -181,8 +199,7 @@ def fit_field(hashes: list[np.ndarray], labels: np.ndarray, rounds: int = 40, ri
             rate = 0.8 if k in ("own", "bias") else 0.15
             weights[k] = weights[k] + rate * g / np.sqrt(sums[k])
         weights["turn"] = np.clip(weights["turn"], -1.0, 1.0)
-    field = Field(weights["own"], weights["before"], weights["after"], float(weights["bias"]), weights["turn"], plain.fold)
-    return Field(field.own, field.before, field.after, field.bias, field.turn, _calibrated(field, hashes, labels))
+    return Field(weights["own"], weights["before"], weights["after"], float(weights["bias"]), weights["turn"], PLAIN)
 
 
 def evidence(field: Field, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -202,8 +219,8 @@ def evidence(field: Field, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return odds, out
 
 
-def _calibrated(field: Field, hashes: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    _, z = evidence(field, hashes)
+def calibrated(z: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Weights that turn a document's evidence into its log odds."""
     x = np.c_[np.ones(len(z)), z]
     w = np.zeros(3)
     for _ in range(30):
@@ -215,21 +232,57 @@ def _calibrated(field: Field, hashes: list[np.ndarray], labels: np.ndarray) -> n
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_label: int = PER_LABEL, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id",
                  text_col: str = "text") -> Field:
-    """Field fitted on whole documents, `per_label` labelled rows of each label and `max_tokens` tokens at most, in the
-    order of a hash.  Only table places come to the driver."""
-    def hashed(texts: pa.Array) -> dict[str, pa.Array]:
-        return {"h": pa.array([tokens(t)[3].ravel() for t in texts.to_pylist()], pa.list_(pa.int32()))}
+    """Field fitted on `per_label` labelled rows of each label at most.
 
-    sample = with_arrays(labelled_sample(docs, labels, label, usable, per_label, id_col, text_col), hashed, ["text"], {"h": "array<int>"})
-    before = F.sum(F.size("h") / FEATURES).over(_by_hash())
-    got = sample.withColumn("before", before).filter(F.col("before") <= max_tokens).select("id", "label", "h").toPandas().sort_values(["id", "label"])
-    return fit_field([np.asarray(h, dtype=np.int32).reshape(-1, FEATURES) for h in got["h"]], got["label"].to_numpy(dtype=np.float64))
+    Their whole texts say which words are toxic and how marginals become a score; both are worked out on the executors.
+    Token weights are learnt on the driver from stretches of `max_tokens` tokens at most, dealt evenly to the documents, so
+    that a text of any length neither crowds out others nor is left out.  Without both labels, or without a word that tells
+    them apart, every document scores as plain."""
+    sample = written(labelled_sample(docs, labels, label, usable, per_label, id_col, text_col))
+    zero = np.zeros(SLOTS)
+    plain = Field(zero, zero, zero, -8.0, np.zeros((2, 2)), PLAIN)
+    sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
+        return plain
+
+    def present(texts: pa.Array) -> dict[str, pa.Array]:
+        return {"h": pa.array([np.unique(tokens(t)[3]) for t in texts.to_pylist()], pa.list_(pa.int32()))}
 
+    held = with_arrays(sample.select("label", "text"), present, ["text"], {"h": "array<int>"}).select("label", F.explode("h").alias("h"))
+    held = held.groupBy("label", "h").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    counts = np.zeros((2, SLOTS))
+    counts[held["label"], held["h"]] = held["n"]
+    table = toxic_features(counts[1], counts[0], sizes[1], sizes[0])
+    if not table.any():
+        return plain
+    most = max_tokens // STRETCH
+    sent_table = docs.sparkSession.sparkContext.broadcast(table)
+
+    def cut(texts: pa.Array, labels: pa.Array, seeds: pa.Array) -> dict[str, pa.Array]:
+        out = []
+        for text, value, seed in zip(texts.to_pylist(), labels.to_pylist(), seeds.to_pylist(), strict=True):
+            slots = tokens(text)[3]
+            out.append(stretches(slots, sent_table.value[slots].any(axis=1) & bool(value), seed, most))
+        return {"s": pa.array(out, pa.list_(pa.list_(pa.int32())))}
+
+    seeded = sample.select("id", F.col("label").alias("of"), "label", "text", F.xxhash64("id", F.lit(9)).alias("seed"))
+    some = with_arrays(seeded, cut, ["text", "label", "seed"], {"s": "array<array<int>>"}, at_once=64).select("id", "of", F.explode("s").alias("s"))
+    got = some.orderBy(F.col("s")[0], F.xxhash64("id", F.lit(9)), "id", "of", F.col("s")[1]).limit(most).toPandas()
+    rows = [np.asarray(s, dtype=np.int32) for s in got["s"]]
+    order = sorted(range(len(rows)), key=lambda i: (got["id"][i], got["of"][i], rows[i][1]))
+    learnt = np.concatenate([rows[i][2:] for i in order] or [np.empty(0, dtype=np.int32)]).reshape(-1, FEATURES + 1)
+    if not learnt[:, -1].any():
+        raise ValueError(f"no toxic token among {max_tokens} tokens of {sum(sizes.values())} labelled documents")
+    field = fit_weights(learnt[:, :-1], learnt[:, -1].astype(np.int64))
+    sent = docs.sparkSession.sparkContext.broadcast(field)
 
-def _by_hash():
-    from pyspark.sql import Window as W
+    def weighed(texts: pa.Array) -> dict[str, pa.Array]:
+        z = evidence(sent.value, [tokens(t)[3] for t in texts.to_pylist()])[1]
+        return {"z": pa.array(list(z), pa.list_(pa.float64()))}
 
-    return W.partitionBy().orderBy(F.xxhash64("id", F.lit(9)), "id", "label").rowsBetween(W.unboundedPreceding, W.currentRow)
+    got = with_arrays(sample, weighed, ["text"], {"z": "array<double>"}).toPandas().sort_values(["id", "label"])
+    fold = calibrated(np.array(got["z"].to_list()), got["label"].to_numpy(dtype=np.float64))
+    return Field(field.own, field.before, field.after, field.bias, field.turn, fold)
 
 
 def score_toxicity(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:

@@ -184,6 +184,28 @@ def test_held_out(spark, name, label):
     assert n > 20 and right > 0.93
 
 
+def toxic_docs(spark, n, long_words=0):
+    """n plain and n toxic documents, ids 0 to 2n - 1, even ones plain; if asked for, the one first in the order of training
+    is a plain one of so many words."""
+    rows = [(i, " ".join(WORDS[(i * 37 + k) % 300] for k in range(60)) + (" vile scum" if i % 2 else ""), i % 2) for i in range(2 * n)]
+    if long_words:
+        first = spark.range(1000, 1200).orderBy(F.xxhash64("id", F.lit(9))).first().id
+        rows.append((first, " ".join(WORDS[k % 300] for k in range(long_words)), 0))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return table.select("doc_id", "text"), table.select("doc_id", "toxic")
+
+
+def test_toxicity_long_documents(spark):
+    # a labelled document longer than all that is learnt from takes nothing from the others
+    docs, labels = toxic_docs(spark, 40, long_words=12_000)
+    field = toxicity.fit_toxicity(docs, labels, "toxic", F.lit(True), max_tokens=10_240)
+    got = toxicity.score_toxicity(docs, field).join(labels, "doc_id").collect()
+    assert len(got) == 81 and all(r.predicted == r.toxic for r in got)
+    assert all((r.n_spans > 0) == bool(r.toxic) for r in got)
+    with pytest.raises(ValueError):
+        toxicity.fit_toxicity(docs, labels, "toxic", F.lit(True), max_tokens=0)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
