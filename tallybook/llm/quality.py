@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import with_arrays
-from tallybook.llm.samples import labelled_sample
+from tallybook.llm.samples import drawn_shares, labelled_sample, prior_shift
 from tallybook.llm.textarrays import grams, octets, word_borders, word_hashes
 
 PER_LABEL = 5000
@@ -119,11 +119,13 @@ def _measured(texts: pa.Array) -> dict[str, pa.Array]:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text") -> Trees:
-    """Trees fitted on `per_label` labelled rows at most of each label.  Only their statistics come to the driver."""
+    """Trees fitted on `per_label` labelled rows at most of each label.  Only their statistics come to the driver.  The
+    start value then takes back what the cut did to the share of label 1, so that scores do not move with table size."""
     sample = with_arrays(labelled_sample(docs, labels, label, usable, per_label, id_col, text_col), _measured, ["text"], {"x": "array<double>"})
     got = sample.select("id", "label", "x").toPandas().sort_values(["id", "label"])
     x = np.array(got["x"].to_list(), dtype=np.float64).reshape(len(got), FEATURES)
-    return boost(x, got["label"].to_numpy(dtype=np.float64))
+    trees = boost(x, got["label"].to_numpy(dtype=np.float64))
+    return replace(trees, start=trees.start + prior_shift(drawn_shares(labels, label, usable, per_label, id_col)))
 
 
 def score_quality(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:

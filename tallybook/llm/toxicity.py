@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import with_arrays, written
-from tallybook.llm.samples import labelled_sample
+from tallybook.llm.samples import drawn_shares, labelled_sample, prior_shift
 from tallybook.llm.textarrays import U, byte_values, octets, run_hasher
 
 PER_LABEL, MAX_TOKENS = 1500, 500_000
@@ -174,12 +174,12 @@ def stretches(slots: np.ndarray, gold: np.ndarray, seed: int, most: int) -> list
     return out
 
 
-def fit_weights(slots: np.ndarray, gold: np.ndarray, rounds: int = 40, ridge: float = 1e-4) -> Field:
-    """Field of labelled tokens, by gradient steps with a rate for each weight.  The last row of STRETCH tokens is filled up
-    with tokens that do not count."""
+def fit_weights(slots: np.ndarray, gold: np.ndarray, counts: np.ndarray, rounds: int = 40, ridge: float = 1e-4) -> Field:
+    """Field of labelled tokens, by gradient steps with a rate for each weight; counts: how many tokens each stands for, one
+    on average.  The last row of STRETCH tokens is filled up with tokens that do not count."""
     rows = -(-len(slots) // STRETCH)
     fill = rows * STRETCH - len(slots)
-    counts = np.r_[np.ones(len(slots)), np.zeros(fill)].reshape(rows, STRETCH)
+    counts = np.r_[counts, np.zeros(fill)].reshape(rows, STRETCH)
     slots_m = np.r_[slots, np.zeros((fill, FEATURES), dtype=slots.dtype)].reshape(rows, STRETCH, FEATURES)
     gold_m = np.r_[gold, np.zeros(fill, dtype=gold.dtype)].reshape(rows, STRETCH)
     weights = {k: np.zeros(SLOTS) for k in ("own", "before", "after")} | {"bias": np.array(-4.0), "turn": np.zeros((2, 2))}
@@ -236,8 +236,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str, usable: Column,
 
     Their whole texts say which words are toxic and how marginals become a score; both are worked out on the executors.
     Token weights are learnt on the driver from stretches of `max_tokens` tokens at most, dealt evenly to the documents, so
-    that a text of any length neither crowds out others nor is left out.  Without both labels, or without a word that tells
-    them apart, every document scores as plain."""
+    that a text of any length neither crowds out others nor is left out.  Rows count by how many usable rows of their label
+    they stand for, so that neither spans nor scores move with table size.  Without both labels, or without a word that
+    tells them apart, every document scores as plain."""
     sample = written(labelled_sample(docs, labels, label, usable, per_label, id_col, text_col))
     zero = np.zeros(SLOTS)
     plain = Field(zero, zero, zero, -8.0, np.zeros((2, 2)), PLAIN)
@@ -273,7 +274,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str, usable: Column,
     learnt = np.concatenate([rows[i][2:] for i in order] or [np.empty(0, dtype=np.int32)]).reshape(-1, FEATURES + 1)
     if not learnt[:, -1].any():
         raise ValueError(f"no toxic token among {max_tokens} tokens of {sum(sizes.values())} labelled documents")
-    field = fit_weights(learnt[:, :-1], learnt[:, -1].astype(np.int64))
+    shares = drawn_shares(labels, label, usable, per_label, id_col)
+    counts = np.repeat([shares[got["of"][i]] for i in order], [(len(rows[i]) - 2) // (FEATURES + 1) for i in order])
+    field = fit_weights(learnt[:, :-1], learnt[:, -1].astype(np.int64), counts / counts.mean())
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def weighed(texts: pa.Array) -> dict[str, pa.Array]:
@@ -282,6 +285,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str, usable: Column,
 
     got = with_arrays(sample, weighed, ["text"], {"z": "array<double>"}).toPandas().sort_values(["id", "label"])
     fold = calibrated(np.array(got["z"].to_list()), got["label"].to_numpy(dtype=np.float64))
+    fold[0] += prior_shift(shares)
     return Field(field.own, field.before, field.after, field.bias, field.turn, fold)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import re
 
 import pytest
@@ -16,7 +17,7 @@ from tallybook.llm.exact_dedup import exact_dedup
 from tallybook.llm.mixing import mix_sources
 from tallybook.llm.ngram_join import near_duplicates
 from tallybook.llm.queries import QUERIES
-from tallybook.llm.samples import fold
+from tallybook.llm.samples import drawn_shares, fold, prior_shift
 from tallybook.llm.substring_dedup import substring_dedup
 
 SF = "/root/testdata/sf0.001"
@@ -206,6 +207,27 @@ def test_toxicity_long_documents(spark):
         toxicity.fit_toxicity(docs, labels, "toxic", F.lit(True), max_tokens=0)
 
 
+def test_prior_of_larger_tables(spark):
+    # one row in thirty has label 1; all of them bear a mark, as do twice as many rows of label 0
+    text = {True: " ".join(WORDS[:40]) + " vile scum !!! ###", False: " ".join(WORDS[:40])}
+    rows = [(i, text[i % 30 == 0 or i % 15 == 1], int(i % 30 == 0)) for i in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    docs, labels = table.select("doc_id", "text"), table.select("doc_id", "label")
+    other = docs.filter("doc_id < 3")
+    assert drawn_shares(labels, "label", F.lit(True), 50) == {0: 5800 / 50, 1: 200 / 50}
+    assert prior_shift({0: 116.0, 1: 4.0}) == pytest.approx(math.log(200 / 5800)) and prior_shift({0: 1.0, 1: 1.0}) == prior_shift({}) == 0
+
+    def scores(per_label):
+        trees = quality.fit_quality(docs, labels, "label", F.lit(True), per_label=per_label)
+        field = toxicity.fit_toxicity(docs, labels, "label", F.lit(True), per_label=per_label)
+        made = [quality.score_quality(other, trees), toxicity.score_toxicity(other, field)]
+        return [[(r.predicted, r.score) for r in m.orderBy("doc_id").collect()] for m in made]
+
+    for few, every in zip(scores(180), scores(10_000), strict=True):
+        assert [p for p, _ in few] == [p for p, _ in every] == [0, 0, 0]
+        assert [s for _, s in few] == pytest.approx([s for _, s in every], abs=0.15)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
