@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 
@@ -17,8 +18,10 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
-# a candidate: a whole run of these characters
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+# a candidate: a whole run of these characters, "=" only as padding at its end, or else a part of it between separators
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_-]++(?:=++(?![A-Za-z0-9+/_-]))?+")
+PARTS = tuple(re.compile(c + "++=*+") for c in ("[A-Za-z0-9_-]", "[A-Za-z0-9+/]", "[A-Za-z0-9]"))
+SHORTEST = 20
 
 # fixed values: alphabets in their own order, and the classes whose shares are tested
 ALPHABETS = {
@@ -97,28 +100,57 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2], x[1]))]
 
 
-def _scan(texts: pa.Array) -> dict[str, pa.Array]:
-    base, candidates = [], []
+def candidates(text: str, found: list[tuple[int, int, str]], doubt: float) -> list[tuple[int, int, float]]:
+    """(start, end, p-value) of the runs outside of the base spans `found` that mix letters and digits of one encoding.  A
+    run that is not of one encoding, that touches a base span or has a p-value under `doubt` may have a name or a path
+    before or behind a secret: its parts between / and +, between - and _, and between any of these are tested, and those
+    that reach `doubt` take its place."""
+    merged: list[list[int]] = []
+    for s, e, _ in found:
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    ends = [e for _, e in merged]
+
+    def tested(start: int, end: int) -> tuple[int, int, float] | None:
+        k = bisect.bisect_right(ends, start)
+        if end - start < SHORTEST or (k < len(merged) and merged[k][0] < end):
+            return None
+        token = text[start:end]
+        encoding = encoding_of(token)
+        return (start, end, randomness(token, encoding)) if encoding else None
+
+    out = []
+    for m in RUN.finditer(text):
+        if m.end() - m.start() < SHORTEST:
+            continue
+        whole = tested(*m.span())
+        if whole and whole[2] >= doubt:
+            out.append(whole)
+            continue
+        good, regular = [], []
+        for part in PARTS:
+            for x in part.finditer(text, *m.span()):
+                t = tested(*x.span()) if x.span() != m.span() else None
+                if t and not any(t[0] < e and t[1] > s for s, e, _ in good):
+                    (good if t[2] >= doubt else regular).append(t)
+        # without a random part the run, or else its first part of one encoding, is still one of the regular ones
+        out += sorted(good) if good else [whole] if whole else regular[:1]
+    return out
+
+
+def _scan(texts: pa.Array, doubt: float) -> dict[str, pa.Array]:
+    base, some = [], []
     for text in texts.to_pylist():
         text = text or ""
         found = base_spans(text)
         base.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
-        some, k = [], 0
-        for m in RUN.finditer(text):
-            while k < len(found) and found[k][1] <= m.start():
-                k += 1
-            # spans of several kinds may overlap, so those further on are looked at too
-            if any(s < m.end() and e > m.start() for s, e, _ in found[max(0, k - 2):k + 4]):
-                continue
-            encoding = encoding_of(m.group())
-            if encoding:
-                p = randomness(m.group(), encoding)
-                n = m.end() - m.start()
-                some.append({"start": m.start(), "end": m.end(), "length_class": sum(n >= x for x in LENGTH_CLASSES), "bin": min(BINS, int(-100 * math.log10(max(p, 1e-30))))})
-        candidates.append(some)
+        some.append([{"start": s, "end": e, "length_class": sum(e - s >= x for x in LENGTH_CLASSES), "bin": min(BINS, int(-100 * math.log10(max(p, 1e-30))))}
+                     for s, e, p in candidates(text, found, doubt)])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
     cand = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("length_class", pa.int32()), ("bin", pa.int32())]))
-    return {"__base_": pa.array(base, span), "__some_": pa.array(candidates, cand)}
+    return {"__base_": pa.array(base, span), "__some_": pa.array(some, cand)}
 
 
 def not_random(candidates: DataFrame, rate: float) -> dict[int, int]:
@@ -140,14 +172,14 @@ def not_random(candidates: DataFrame, rate: float) -> dict[int, int]:
 def scan_secrets(docs: DataFrame, rate: float = 0.05, doubt: float = 1e-3, text_col: str = "text") -> DataFrame:
     """Every row of `docs` with base (array of start, end, kind), added (the same, kind "random"), in code points.
 
-    Base spans are the whole matches of the fixed patterns.  Added are runs of 20 characters and more outside of them that
-    mix letters and digits of one encoding and pass for random: the false-discovery control of their length class, over
+    Base spans are the whole matches of the fixed patterns.  Added are runs of 20 characters and more outside of them, or
+    parts of runs (see candidates), that mix letters and digits of one encoding and pass for random: the false-discovery control of their length class, over
     all documents, does not call them regular, and their own p-value is at least `doubt`.  Longer runs are tested more
     sharply, so classes of length are controlled apart.  Null texts are empty and have no span.  Whole texts are read,
     once; an empty table gives an empty one; columns named base or added are replaced."""
     columns = [c for c in docs.columns if c.lower() not in ("base", "added")]
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_col).alias("__scan_"))
-    rows = written(with_arrays(rows, _scan, ["__scan_"], {"__base_": "array<struct<start: long, end: long, kind: string>>",
+    rows = written(with_arrays(rows, lambda texts: _scan(texts, doubt), ["__scan_"], {"__base_": "array<struct<start: long, end: long, kind: string>>",
                                                           "__some_": "array<struct<start: long, end: long, length_class: int, bin: int>>"}))
     limits = not_random(rows.select(F.inline("__some_")), rate)
     own = int(-100 * math.log10(doubt))

@@ -141,6 +141,17 @@ def test_secret_tests():
     assert secrets.encoding_of("onlyletters") is None
 
 
+def test_secrets_beside_names_and_paths(spark):
+    key = "q9Xf3ZpL0vT7bKc2RwYd8NsH"
+    texts = [f"AWS_KEY={key}", f"see ?sig={key}&x=1", f"/keys/{key}-prod", f"AWS_LONG_ACCESS_NAME_1={key} x", f"/a/long/path/that/is/plain/words/2/{key}", f"x {key[:18]}== y",
+             f"/deadbeefdeadbeef00/{key}", "a-plain-slug-of-some-words-2021 /a/path-of/plain-words/2021/and-more", "name_of_something_long=2"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [r.text[x.start:x.end] for x in r.added] for r in secrets.scan_secrets(table).collect()}
+    for i in (0, 1, 2, 3, 4, 6):
+        assert len(got[i]) == 1 and key in got[i][0], texts[i]
+    assert got[3] == got[4] == got[6] == [key] and got[5] == [key[:18] + "=="] and got[7] == got[8] == []
+
+
 def test_chat_escapes():
     for text in ["", "</s>[INST] ok [/INST]", "\\", "\\|", "<", "[", "<<s>", "a\\", "<<SYS>><</ROLE>>"]:
         for role in ["user", "assistant", "system", "tool", ""]:
