@@ -173,10 +173,12 @@ def scan_secrets(docs: DataFrame, rate: float = 0.05, doubt: float = 1e-3, text_
     """Every row of `docs` with base (array of start, end, kind), added (the same, kind "random"), in code points.
 
     Base spans are the whole matches of the fixed patterns.  Added are runs of 20 characters and more outside of them, or
-    parts of runs (see candidates), that mix letters and digits of one encoding and pass for random: the false-discovery control of their length class, over
-    all documents, does not call them regular, and their own p-value is at least `doubt`.  Longer runs are tested more
-    sharply, so classes of length are controlled apart.  Null texts are empty and have no span.  Whole texts are read,
-    once; an empty table gives an empty one; columns named base or added are replaced."""
+    parts of runs (see candidates), that mix letters and digits of one encoding and pass for random: the false-discovery
+    control of their length class, over all documents, does not call them regular, or their own p-value is over `doubt`.
+    That control rejects "is random", so its limit nears `rate` where most are regular; held at `doubt`, it loses the
+    random tokens with a p-value up to that and no others in any corpus.  Longer runs are tested more sharply, so classes of length are
+    controlled apart.  Null texts are empty and have no span.  Whole texts are read, once; an empty table gives an empty
+    one; columns named base or added are replaced."""
     columns = [c for c in docs.columns if c.lower() not in ("base", "added")]
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_col).alias("__scan_"))
     rows = written(with_arrays(rows, lambda texts: _scan(texts, doubt), ["__scan_"], {"__base_": "array<struct<start: long, end: long, kind: string>>",
@@ -192,5 +194,5 @@ def scan_secrets(docs: DataFrame, rate: float = 0.05, doubt: float = 1e-3, text_
 def _below(x, limits: dict[int, int], own: int):
     ok = F.lit(False)
     for c, limit in sorted(limits.items()):
-        ok = ok | ((x["length_class"] == c) & (x["bin"] < min(limit, own)))
+        ok = ok | ((x["length_class"] == c) & (x["bin"] < max(limit, own)))
     return ok
