@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +80,11 @@ def with_arrays(df: DataFrame, work: Callable[..., dict[str, pa.Array]], inputs:
                 yield pa.RecordBatch.from_arrays(arrays, names + list(outputs))
 
     return df.mapInArrow(run, schema)
+
+
+def table_of_longs(counts: DataFrame, size: int) -> np.ndarray:
+    """(bucket, n) rows, `size` at most, as an array."""
+    out = np.zeros(size, dtype=np.int64)
+    for row in counts.collect():
+        out[row[0]] = row[1]
+    return out

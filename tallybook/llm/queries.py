@@ -13,8 +13,11 @@ from tallybook.llm.decontamination import contaminated
 from tallybook.llm.exact_dedup import exact_dedup
 from tallybook.llm.mixing import mix_sources
 from tallybook.llm.ngram_join import near_duplicates
+from tallybook.llm.resampling import importance_resample
 from tallybook.llm.samples import fold
 from tallybook.llm.substring_dedup import substring_dedup
+from tallybook.llm.target_ratio import BUCKETS, PAIR, target_ratio_filter
+from tallybook.llm.whitening import whiten
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +97,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", "n_items", "items")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_ratio_filter(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
@@ -105,11 +120,67 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_whitening": op12_whitening,
+    "op13_resampling": op13_resampling,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: The table of CRC-32 (reflected polynomial 0xEDB88320) and the CRC of each word of a relation `words` (word).
+CRC_TABLE = "crc_table as (select list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1))) as t)"
+CRC_OF = """crcs as (select word, xor(list_reduce(list_concat([4294967295::bigint], octets), lambda c, k: xor(c >> 8, t[1 + (xor(c, k) & 255)])), 4294967295) as crc
+                 from (select word, list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::bigint) as octets
+                       from (select word, hex(encode(word)) as h from words)), crc_table)"""
+
 ORACLES: dict[str, str] = {
+    "op11_quality_rules": rf"""
+        with {CRC_TABLE},
+             d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+             tokens as (select r, unnest(w) as word, unnest(range(len(w))) as i from d),
+             words as (select distinct word from tokens),
+             {CRC_OF},
+             c as (select r, i, word, crc, lead(crc) over by_place as crc2, lead(word) over by_place as w2, lead(word, 2) over by_place as w3
+                   from tokens join crcs using (word) window by_place as (partition by r order by i)),
+             runs as (select r, i, count(*) over (partition by r, word, w2, w3) as n from c where w3 is not null),
+             rep as (select r, count(distinct i + k) as n_repeat_words from runs, range(3) as x(k) where n > 1 group by r),
+             f as (select r, bucket, count(*) as k from (select r, crc % {BUCKETS} as bucket from c union all
+                                                        select r, (crc * {PAIR} + crc2) % {BUCKETS} from c where crc2 is not null) group by r, bucket),
+             good as (select doc_id from labels where doc_id is not null group by doc_id having min(quality) = 1),
+             g as (select d.r, d.doc_id in (select doc_id from good) as good from d),
+             fg as (select f.*, coalesce(g.good, false) as good from f join g using (r)),
+             counts as (select bucket, sum(k)::bigint as s, coalesce(sum(k) filter (where good), 0)::bigint as t from fg group by bucket),
+             sizes as (select sum(s)::bigint as all_s, sum(t)::bigint as all_t from counts),
+             n as (select r, sum(k)::bigint as n from f group by r),
+             ratios as (select fg.r, any_value(good) as good, (sum(k * floor(1000 * ln(((t - if(good, k, 0) + 1)::double * (all_s - n + {BUCKETS})::double)
+                                    / ((s - k + 1)::double * (all_t - if(good, n, 0) + {BUCKETS})::double)))::bigint) / any_value(n)) as mean
+                        from fg join counts using (bucket) join n using (r), sizes group by fg.r),
+             lines as (select r, count(*) - count(distinct line) as n_dup_lines from (select r, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+             s as (select d.r, d.doc_id, len(w) as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
+                          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+                          coalesce(n_repeat_words, 0) as n_repeat_words, floor(mean)::bigint as ratio, coalesce(good, false) as good
+                   from d left join lines using (r) left join rep using (r) left join ratios using (r)),
+             b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from s),
+             cut as (select list_sort(list(ratio))[1 + floor(count(*) * 0.002)::int] as least from b where good and not base_failed)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, coalesce(not base_failed and (least is null or ratio >= least), false) as kept from b, cut
+    """,
+    "op13_resampling": rf"""
+        with {CRC_TABLE},
+             d as (select row_number() over () as r, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+             b as (select unnest(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from benchmark),
+             tokens as (select r, unnest(w) as word from d),
+             words as (select word from tokens union select word from b),
+             {CRC_OF},
+             s as (select crc % 10000 as bucket, count(*) as s from tokens join crcs using (word) group by 1),
+             t as (select crc % 10000 as bucket, count(*) as t from b join crcs using (word) group by 1),
+             z as (select (select coalesce(sum(s), 0) from s)::double as all_s, (select coalesce(sum(t), 0) from t)::double as all_t),
+             gains as (select s.bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::bigint as gain from s left join t using (bucket), z),
+             sums as (select r, sum(gain)::bigint as weight from tokens join crcs using (word) join gains on gains.bucket = crcs.crc % 10000 group by r),
+             scored as (select doc_id, len(w)::bigint as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+                               (('0x' || substr(sha256('2024:' || coalesce(cast(doc_id as varchar), '')), 1, 8))::bigint::double + 0.5) / 4294967296)))::bigint as score from d left join sums using (r)),
+             ranked as (select *, case when n_features >= 20 then row_number() over (partition by n_features >= 20 order by score desc, doc_id) end as place from scored)
+        select doc_id, n_features, weight, score, case when place <= (select count(*) from scored where n_features >= 20) * 10 // 100 then place end as rank from ranked
+    """,
     "op8_exact_dedup": f"""
         with t as (select doc_id, {LOWER} as norm from documents),
              g as (select norm, max(doc_id) as keep_id, count(*) as group_size from t group by norm)
