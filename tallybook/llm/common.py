@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,26 +19,68 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names.  Only a session that names none, as in tests, gets one of its own."""
+    """The folder that spark.checkpoint.dir names.  Only a local session that names none, as in tests, gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         named = spark.sparkContext.getCheckpointDir()
     return named
 
 
+#: Where each written table lies; the folder of the stage at work, if any; those of stages whose result may still be read.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_at_work: list[str] = []
+_stages: list[str] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there, a lost executor repeats only what follows,
     and later joins know the table's size.  Spark drops the shuffle files of the write when it has ended."""
     spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    path = f"{_at_work[-1] if _at_work else shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for df in tables:
+        _remove(df.sparkSession, _paths.pop(df))
+
+
+@contextmanager
+def stage_tables(docs: DataFrame) -> Iterator[None]:
+    """Tables written inside lie in a folder of their own, which end_stage deletes; those of earlier stages are deleted now."""
+    end_stage(docs)
+    _at_work.append(f"{shared_folder(docs.sparkSession)}/llm-stage-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _stages.append(_at_work.pop())
+
+
+def end_stage(docs: DataFrame) -> None:
+    """Deletes the folders of all stages that have ended, but for those that `docs` still reads."""
+    files = docs.inputFiles() if _stages else []
+    for folder in list(_stages):
+        name = folder.rsplit("/", 1)[1]
+        if not any(f"/{name}/" in f for f in files):
+            _remove(docs.sparkSession, folder)
+            _stages.remove(folder)
 
 
 def matched(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import matched, own, with_arrays, written
+from tallybook.llm.common import forget, matched, own, with_arrays, written
 from tallybook.llm.textarrays import U, grams, mix, octets, runs_of, word_borders, word_hashes
 
 N_WORDS, SIMILARITY, RECALL, DEPTH = 5, 0.8, 0.999, 3
@@ -215,13 +215,14 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, similarity: float =
     drawn = matched(rows.select(rid, "__size_", "__paths_"), sets.select(F.col("sid").alias(rid), "copies"), rid).withColumnRenamed(rid, "sid")
 
     blocks = F.greatest(F.ceil(F.col("n") / bucket), F.ceil(F.col("tokens") / bucket_tokens)).cast("int")
-    level, met, kinds = drawn.select("sid", F.col("__size_").alias("size"), F.inline("__paths_").alias("node", "kids")), [], []
+    level, met, kinds, done = drawn.select("sid", F.col("__size_").alias("size"), F.inline("__paths_").alias("node", "kids")), [], [], []
     for depth in range(1, DEPTH + 1):
         groups = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"), F.bit_xor(F.xxhash64("sid")).alias("members"),
                                            F.min("size").alias("least"), F.max("size").alias("most"))
         # two sets of too different sizes cannot be alike
         groups = written(groups.filter((F.col("n") > 1) & ((F.col("n") > 2) | (F.col("least") >= similarity * F.col("most")))).select("node", "n", "members", blocks.alias("blocks")))
         level = written(matched(level, groups.select("node", "blocks"), "node"))
+        done += [groups, level]
         ends = F.col("blocks") == 1 if depth < DEPTH else F.lit(True)
         met.append(level.filter(ends).select("sid", "size", "node", "blocks"))
         kinds.append(groups.filter(ends))
@@ -231,6 +232,7 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, similarity: float =
             level = level.filter(~ends).select("sid", "size", F.explode("kids").alias("node"))
     once = written(reduce(DataFrame.unionByName, kinds).groupBy("n", "members").agg(F.min("node").alias("node")).select("node"))
     met = written(matched(reduce(DataFrame.unionByName, met), once, "node"))
+    forget(*done, once)
     # buckets are compared some at a time, about as many tokens in each shard
     shards = 1 + (met.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0) // SHARD_TOKENS
 

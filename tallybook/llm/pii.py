@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import with_arrays
@@ -23,9 +25,15 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 WINDOW, STRIDE, REACH = 64, 32, 24
-HIDDEN, TAGS = 12, 9  # plain, then first and further character of each kind
-_CLASS = {c: i + 4 for i, c in enumerate("@.-+() %_\n:,/")}
-CLASSES = 4 + len(_CLASS)
+HIDDEN, TAGS = 14, 9  # plain, then first and further character of each kind
+_CLASS = {c: i + 7 for i, c in enumerate("@.-+() %_\n:,/[]")}
+#: Digit, lower, upper, other, letters outside ASCII, the words "at" and "dot", single signs.
+CLASSES = 7 + len(_CLASS)
+AT_DOT = re.compile(r"(?<![^\W_])(?:([Aa][Tt])|[Dd][Oo][Tt])(?![^\W_])")
+#: An address in words: "at", a name, and a dot or "dot" that goes on.
+SPELLED = re.compile(r"[\s(\[][Aa][Tt][\s)\]]\s?[^\s.@()\[\]]+(?:\.[^\W\d_]|\s?[\s(\[][Dd][Oo][Tt][\s)\]])")
+#: Of the texts, one in so many, by a hash of the text, is never learnt from.
+HELD_OUT = 5
 
 
 def email_spans(text: str) -> list[tuple[int, int]]:
@@ -74,14 +82,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def classes_of(text: str) -> np.ndarray:
-    """Character classes: digit, lower, upper, other, and single signs."""
+    """Character classes, see CLASSES."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     out = np.full(len(points), 3, dtype=np.int64)
     out[(points >= 48) & (points <= 57)] = 0
     out[(points >= 97) & (points <= 122)] = 1
     out[(points >= 65) & (points <= 90)] = 2
+    wide = np.flatnonzero(points > 127)
+    out[wide[[chr(p).isalpha() for p in points[wide]]]] = 4
     for c, i in _CLASS.items():
         out[points == ord(c)] = i
+    for m in AT_DOT.finditer(text):
+        out[m.start():m.end()] = 5 if m.group(1) else 6
     return out
 
 
@@ -178,7 +190,7 @@ def _gradients(model: Tagger, chars: np.ndarray, gold: np.ndarray) -> dict[str,
     return {"xf": dxf, "hf": dhf, "xb": dxb, "hb": dhb, "out": states.reshape(-1, 2 * HIDDEN).T @ d.reshape(-1, TAGS), "bias": d.sum(axis=(0, 1)), "turn": turn}
 
 
-def train(chars: np.ndarray, gold: np.ndarray, steps: int = 220, batch: int = 96, seed: int = 3) -> Tagger | None:
+def train(chars: np.ndarray, gold: np.ndarray, steps: int = 300, batch: int = 96, seed: int = 3) -> Tagger | None:
     """Tagger of windows x WINDOW classes and tags; None without any tagged window."""
     if len(chars) == 0 or not gold.any():
         return None
@@ -214,10 +226,12 @@ def decode(model: Tagger, chars: np.ndarray) -> np.ndarray:
     return tags
 
 
-def window_starts(chars: np.ndarray) -> np.ndarray:
-    """Starts of the windows, STRIDE apart, that come within REACH of a digit or an @.  No kind can do without one, so the
-    tags of all other windows are plain."""
+def window_starts(text: str, chars: np.ndarray) -> np.ndarray:
+    """Starts of the windows, STRIDE apart, that come within REACH of a digit, an @ or an address in words.  No kind can do
+    without one, so the tags of all other windows are plain."""
     sign = (chars == 0) | (chars == _CLASS["@"])
+    for m in SPELLED.finditer(text):
+        sign[m.start():m.end()] = True
     seen = np.r_[0, np.cumsum(sign)]
     starts = np.arange(0, max(1, len(chars) - WINDOW + STRIDE), STRIDE)
     return starts[seen[np.minimum(starts + WINDOW + REACH, len(chars))] > seen[np.maximum(np.minimum(starts, len(chars)) - REACH, 0)]]
@@ -244,8 +258,9 @@ def reconciled(tags: np.ndarray, starts: np.ndarray, n: int) -> list[tuple[int,
 
 
 def plausible(text: str, start: int, end: int, kind: str) -> list[tuple[int, int]]:
-    """The parts of a tagged span that can be of their kind: cut digits are made whole, and a card must pass its check, alone
-    or as one of several numbers side by side; a wrong number is not personal data."""
+    """The parts of a tagged span that can be of their kind, judged by digits alone: cut numbers are made whole, a card must pass
+    its check, alone or as one of several numbers side by side, a network address is four numbers of 255 at most, a phone
+    number has 10 to 15 digits; a mail address needs an @ or "at" inside."""
     while start > 0 and text[start].isdigit() and text[start - 1].isdigit():
         start -= 1
     while end < len(text) and text[end - 1].isdigit() and text[end].isdigit():
@@ -258,48 +273,109 @@ def plausible(text: str, start: int, end: int, kind: str) -> list[tuple[int, int
         parts = [(start + m.start(), start + m.end()) for m in re.finditer(r"(?<![0-9-])[0-9](?:-?[0-9]){13,18}(?![0-9-])", said)]
         return [(s, e) for s, e in parts if luhn(text[s:e].replace("-", ""))]
     if kind == "email":
-        ok = re.fullmatch(r"[^\s@]+@[^\s@.]+(\.[^\s@.]+)+", said)
+        ok = re.search(r"\w\W{0,2}(?:@|(?<![^\W_])[Aa][Tt](?![^\W_]))\W{0,2}\w", said)
     elif kind == "ip":
-        ok = re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", said) and all(int(p) <= 255 for p in said.split("."))
+        numbers = re.findall("[0-9]+", said)
+        ok = len(numbers) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers)
     else:
         ok = 10 <= len(digits) <= 15
     return [(start, end)] if ok else []
 
 
+def changed(said: str, kind: str, r: random.Random) -> str:
+    """Another way to write a base span that the base patterns do not cover: a phone number without "+" and with other signs
+    between its groups; a mail address with "at" and "dot" in words, or with letters outside ASCII; a network address with
+    its dots in brackets or words; a card with other signs between its groups."""
+    digits = re.sub("[^0-9]", "", said)
+    if kind == "phone":
+        far, a, b, c = digits[:-10], digits[-10:-7], digits[-7:-4], digits[-4:]
+        sign = r.choice((" ", ".", "-", "/"))
+        near = r.choice((f"({a}) {b}-{c}", sign.join((a, b, c)), sign.join((a, b, c))))
+        return near if not far else f"{r.choice(('', '00'))}{far}{sign}{near}" if len(far) < 4 else sign.join((far, near))
+    if kind == "email":
+        name, host = said.rsplit("@", 1)
+        way = r.randrange(4)
+        if way == 3:
+            return f"{name[:-1]}{r.choice('äöüéèñçßø')}@{re.sub('[aeou]', lambda m: {'a': 'ä', 'e': 'é', 'o': 'ö', 'u': 'ü'}[m.group()], host, count=1)}"
+        at, dot = ((" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"))[way]
+        return name + at + (host.replace(".", dot) if r.random() < 0.7 else host)
+    if kind == "ip":
+        return said.replace(".", r.choice(("[.]", "(.)", " dot ", " . ")))
+    return r.choice((".", "/", "_", "  ", " - ")).join(digits[i:i + 4] for i in range(0, len(digits), 4))
+
+
+def varied(text: str, seed: int) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with its base spans changed, each by a draw that text and seed fix, and where they stand now."""
+    r = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")) * 31 + seed)
+    parts, spans, done, size = [], [], 0, 0
+    for s, e, kind in base_spans(text):
+        if s < done:
+            continue
+        new = changed(text[s:e], kind, r)
+        parts += [text[done:s], new]
+        size += s - done
+        spans.append((size, size + len(new), kind))
+        size, done = size + len(new), e
+    return "".join([*parts, text[done:]]), spans
+
+
+def labelled_windows(text: str, spans: list[tuple[int, int, str]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and tags of a text: those that touch a span, then others evenly, `most` in all."""
+    chars, gold = classes_of(text), np.zeros(len(text) + WINDOW, dtype=np.int64)
+    for s, e, kind in spans:
+        gold[s:e] = 2 + 2 * KINDS.index(kind)
+        gold[s] -= 1
+    starts = window_starts(text, chars)
+    tagged = np.array([gold[s:s + WINDOW].any() for s in starts], dtype=bool)
+    hit, rest = starts[tagged][:most], starts[~tagged]
+    rest = rest[np.linspace(0, len(rest) - 1, min(most - len(hit), len(rest))).astype(int)] if len(rest) else rest
+    starts = np.r_[hit, rest].astype(np.int64)
+    return padded(chars, starts), gold[starts[:, None] + np.arange(WINDOW)[None, :]]
+
+
+def held_out(text_hash: Column) -> Column:
+    return F.pmod(text_hash, F.lit(HELD_OUT)) == 0
+
+
 def training_windows(docs: DataFrame, rows: int = 1500, per_row: int = 8, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Windows and tags from `rows` texts that have a digit or an @ at most, the first by a hash of the text, `per_row`
-    windows of each at most: the labelled spans are the base spans of those texts."""
+    """Windows and tags from `rows` different texts that have a digit or an @ at most, the first by a hash of the text;
+    `per_row` windows at most of each, and of two versions of it whose base spans are changed.
+
+    Only hashes are ranked; the texts of the chosen ones are cut into windows where they lie, once in each task, and of the
+    copies in different tasks one is kept."""
+    h = F.xxhash64(text_col, F.lit(3))
+    known = docs.filter(F.col(text_col).rlike("[0-9@]")).select(h.alias("h"), F.col(text_col).alias("text"))
+    chosen = known.select("h").filter(~held_out(F.col("h"))).distinct().orderBy("h").limit(rows)
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for pdf in batches:
             out = []
-            for text in pdf["text"]:
-                chars, gold = classes_of(text), np.zeros(len(text) + WINDOW, dtype=np.int64)
-                for s, e, kind in base_spans(text):
-                    gold[s:e] = 2 + 2 * KINDS.index(kind)
-                    gold[s] -= 1
-                starts = window_starts(chars)
-                starts = starts[np.linspace(0, len(starts) - 1, min(per_row, len(starts))).astype(int)] if len(starts) else starts
-                for s, c in zip(starts, padded(chars, starts), strict=True):
-                    out.append((c.tolist(), gold[s:s + WINDOW].tolist()))
-            if out:
-                yield pd.DataFrame(out, columns=["chars", "gold"])
-
-    sample = docs.filter(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(text_col, F.lit(3)).alias("h"), F.col(text_col).alias("text")).orderBy("h", "text").limit(rows)
-    got = sample.select("text").mapInPandas(cut, "chars array<int>, gold array<int>").toPandas()
-    if got.empty:
-        return np.empty((0, WINDOW), dtype=np.int64), np.empty((0, WINDOW), dtype=np.int64)
-    got = got.assign(key=got["chars"].map(bytes)).sort_values("key")
-    return np.stack(got["chars"].to_list()).astype(np.int64), np.stack(got["gold"].to_list()).astype(np.int64)
+            for key, text in zip(pdf["h"], pdf["text"], strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    made = [labelled_windows(t, spans, per_row) for t, spans in ((text, base_spans(text)), varied(text, 1), varied(text, 2))]
+                    chars, gold = (np.concatenate([m[k] for m in made]).astype(np.uint8).tobytes() for k in (0, 1))
+                    out.append((key, chars, gold))
+            yield pd.DataFrame(out, columns=["h", "chars", "gold"])
+
+    got = known.join(F.broadcast(chosen), "h").mapInPandas(cut, "h long, chars binary, gold binary")
+    got = got.groupBy("h").agg(F.min(F.struct("chars", "gold")).alias("w")).select("h", "w.chars", "w.gold").toPandas().sort_values("h")
+    chars, gold = (np.frombuffer(b"".join(got[c]), dtype=np.uint8).astype(np.int64).reshape(-1, WINDOW) for c in ("chars", "gold"))
+    return chars, gold
 
 
 def find_personal_data(docs: DataFrame, model: Tagger | None, text_col: str = "text") -> DataFrame:
     """Every row of `docs` with base and added, arrays of (start, end, kind) in code points.
 
     Base spans are the matches of the fixed patterns.  Added are the plausible parts of the tagger's spans, kind "lstm_"
-    and the kind, that touch no base span.  Windows overlap, so a span at the edge of one lies inside
-    the next; characters further than REACH from any digit or @ are plain without a run.  A null text is an empty one; long
-    texts are decoded some windows at a time.  Without a model nothing is added.  An empty table gives an empty one;
-    columns named base or added are replaced."""
+    and the kind, that touch no base span: other ways to write what the patterns describe (see `changed`).  Windows overlap,
+    so a span at the edge of one lies inside the next; characters further than REACH from any digit, @ or address in words
+    are plain without a run.
+
+    A null text is an empty one and has no span; long texts are decoded whole, some windows at a time.  Equal texts, repeated
+    rows included, get equal spans; spans that start together stand in the order of their end.  Without a model nothing is
+    added.  An empty table gives an empty one; columns named base or added are replaced, all others come through."""
     columns = [c for c in docs.columns if c.lower() not in ("base", "added")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
@@ -312,9 +388,9 @@ def find_personal_data(docs: DataFrame, model: Tagger | None, text_col: str = "t
         if sent.value is not None:
             todo = []
             for i, t in enumerate(rows):
-                if _ANY.search(t):
+                if _ANY.search(t) or SPELLED.search(t):
                     chars = classes_of(t)
-                    todo.append((i, chars, window_starts(chars)))
+                    todo.append((i, chars, window_starts(t, chars)))
             windows = (padded(c, s[k:k + 2048]) for _, c, s in todo for k in range(0, len(s), 2048))
             tags = _decoded(sent.value, windows)
             for i, chars, starts in todo:

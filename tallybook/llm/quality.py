@@ -131,8 +131,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str, usable: Column,
 def score_quality(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
     """Every row of `docs` with score, the probability of label 1, and predicted.
 
-    Scores come from statistics of the whole text alone, so equal texts have equal scores; null is an empty text.  The
-    trees go along as small arrays.  An empty table gives an empty one; columns named score or predicted are replaced."""
+    Scores come from statistics of the whole text alone, of any length, so equal texts, repeated rows included, have equal
+    scores; null is an empty text, which has a score too.  A score of exactly 0.5 is predicted 1.  The trees go along as small
+    arrays.  An empty table gives an empty one; columns named score or predicted are replaced, all others come through."""
     columns = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
 
     def work(texts: pa.Array) -> dict[str, pa.Array]:

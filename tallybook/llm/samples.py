@@ -39,4 +39,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
         some = known.filter(F.col("label") == value).groupBy("id", "label").count().orderBy(F.xxhash64("id", F.lit(5)), "id").limit(per_label).select("id", "label")
         drawn = some if drawn is None else drawn.unionByName(some)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(drawn), "id").dropDuplicates(["id", "label"])
+    # of different texts under one id the one of the least hash, so that reruns learn the same
+    chosen = texts.join(F.broadcast(drawn), "id").groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    return chosen.select("id", "text", "label")

@@ -177,8 +177,11 @@ def scan_secrets(docs: DataFrame, rate: float = 0.05, doubt: float = 1e-3, text_
     control of their length class, over all documents, does not call them regular, or their own p-value is over `doubt`.
     That control rejects "is random", so its limit nears `rate` where most are regular; held at `doubt`, it loses the
     random tokens with a p-value up to that and no others in any corpus.  Longer runs are tested more sharply, so classes of length are
-    controlled apart.  Null texts are empty and have no span.  Whole texts are read, once; an empty table gives an empty
-    one; columns named base or added are replaced."""
+    controlled apart.
+
+    Null texts are empty and have no span.  Texts of any length are read whole, once.  Equal texts, repeated rows included,
+    get equal spans; each of them counts in the control.  An empty table gives an empty one; columns named base or added are
+    replaced, all others come through."""
     columns = [c for c in docs.columns if c.lower() not in ("base", "added")]
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_col).alias("__scan_"))
     rows = written(with_arrays(rows, lambda texts: _scan(texts, doubt), ["__scan_"], {"__base_": "array<struct<start: long, end: long, kind: string>>",

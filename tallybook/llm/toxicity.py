@@ -293,9 +293,11 @@ def score_toxicity(docs: DataFrame, field: Field, text_col: str = "text") -> Dat
     """Every row of `docs` with score, predicted, n_spans and spans (start:end of toxic spans in code points, end
     exclusive, comma-joined).
 
-    Whole texts are tagged; touching toxic tokens are one span.  A null or empty text has no span and the least score.
-    The field, three tables of SLOTS weights, goes to the executors as a broadcast.  An empty table gives an empty one;
-    columns with the new names are replaced."""
+    Whole texts of any length are tagged; touching toxic tokens are one span.  A null or empty text has no span and the least
+    score.  Equal texts, repeated rows included, get equal scores and spans; a score of exactly 0.5 is predicted 1.  Token labels
+    were made from document labels (see toxic_features), so spans are as good as those.  The field, three tables of SLOTS
+    weights, goes to the executors as a broadcast.  An empty table gives an empty one; columns with the new names are
+    replaced, all others come through."""
     new = ("score", "predicted", "n_spans", "spans")
     columns = [c for c in docs.columns if c.lower() not in new]
     sent = docs.sparkSession.sparkContext.broadcast(field)
