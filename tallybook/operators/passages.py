@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallybook import fixed_values as V
 from tallybook.functions import text as X
 from tallybook.functions.trigrams import let
-from tallybook.operators.running import carry_last, running_count, text_of
+from tallybook.operators.chains import greedy_starts
+from tallybook.operators.running import carry_last, numbered, previous, running_count, running_sums, text_of
 from tallybook.session import materialize
 
 
@@ -64,21 +65,34 @@ def is_subheading(line: Column, prev: Column) -> Column:
 # --- Sections and passages -------------------------------------------------------------------------------------------------
 
 
-def pack_sentences(text: Column, max_words: int = 320, min_words: int = 8) -> Column:
-    """Passages of whole sentences up to max_words; a longer sentence stands alone; under min_words is dropped."""
-    clean = F.trim(F.regexp_replace(text, r"\s+", " "))
-    sentences = F.transform(F.split(clean, V.SENTENCE_BREAK_PACK), lambda s: F.struct(s.alias("t"), word_count(s).alias("n")))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
+def squeezed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
-    def step(acc: Column, s: Column) -> Column:
-        full = (acc["n"] + s["n"] > max_words) & (acc["cur"] != "")
-        return F.when(full, F.struct(F.concat(acc["done"], F.array(acc["cur"])).alias("done"), s["t"].alias("cur"),
-                                     s["n"].alias("n"))).otherwise(F.struct(
-            acc["done"].alias("done"), F.when(acc["cur"] == "", s["t"]).otherwise(F.concat(acc["cur"], F.lit(" "), s["t"])).alias("cur"),
-            (acc["n"] + s["n"]).alias("n")))
 
-    packed = F.aggregate(sentences, start, step, lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
-    return F.filter(F.transform(packed, lambda p: F.trim(p)), lambda p: word_count(p) >= min_words)
+def packed_sentences(sentences: DataFrame, keys: list[str], max_words: int = 320, min_words: int = 8) -> DataFrame:
+    """sentences(keys..., i, t) in order: passages (keys..., n, text) of whole sentences up to max_words; a longer sentence stands
+    alone; a passage under min_words is dropped.  A key may hold any number of sentences: where passages start is a greedy
+    cut of the running count of words."""
+    s = materialize(sentences.select(*keys, F.col("i").cast("long").alias("i"), "t", word_count(F.col("t")).alias("_words"), F.floor(F.col("i") / 1024).alias("_part")))
+    s = materialize(running_sums(s, keys, ["i"], {"_after": F.col("_words")}, ["_part"]))
+    starts = greedy_starts(s, keys, "i", F.col("_after") - F.col("_words"), F.col("_after"), max_words, 1 << 16)
+    s = materialize(s.join(starts.withColumn("_starts", F.lit(True)), [*keys, "i"], "left"))
+    s = running_count(s, keys, ["i"], F.col("_starts"), "n", ["_part"])
+    packed = s.groupBy(*keys, "n").agg(F.trim(text_of(F.collect_list(F.struct("i", F.col("t").alias("text"))))).alias("text"), F.sum("_words").alias("_words"))
+    return packed.where(F.col("_words") >= min_words).drop("_words")
+
+
+def sentences_of_lines(lines: DataFrame, keys: list[str], order: list[str], bucket: str) -> DataFrame:
+    """lines(keys..., order..., t) of one running text as its sentences (keys..., i, t).  A line is cut at its own sentence ends;
+    its first piece goes on with the line before unless the seam between them is a sentence end."""
+    r = lines.select(*keys, *order, F.col(bucket).alias("_bucket"), squeezed(F.col("t")).alias("t")).where("t <> ''")
+    r = materialize(r)
+    r = previous(r, keys, order, F.substring("t", -1, 1), "_end", ["_bucket"])
+    seam = F.size(F.split(F.concat(F.coalesce("_end", F.lit("")), F.lit(" "), F.substring("t", 1, 1)), V.SENTENCE_BREAK_PACK)) > 1
+    pieces = r.select(*keys, *order, "_bucket", seam.alias("_seam"), F.posexplode(F.split("t", V.SENTENCE_BREAK_PACK)).alias("_k", "text"))
+    pieces = materialize(pieces.withColumn("_new", F.col("_seam") | (F.col("_k") > 0)))
+    pieces = running_count(pieces, keys, [*order, "_k"], F.col("_new"), "i", ["_bucket"])
+    return pieces.groupBy(*keys, "i").agg(text_of(F.collect_list(F.struct(*order, "_k", "text"))).alias("t"))
 
 
 def _heading(line: Column, heads: list[tuple]) -> Column:
@@ -107,9 +121,9 @@ def narrative_passages(pages: DataFrame, page_departments: DataFrame, keys: list
     titles = titles.withColumn("region", F.when(lost & (F.col("page") - page_offset > last_department_page), "appendix").when(
         lost, "section_intro").otherwise(F.col("region")))
     place = F.struct("region", F.coalesce("dept", F.lit("-")))
-    seq = Window.partitionBy(*keys).orderBy("page")
-    titles = titles.withColumn("_turn", F.when(~place.eqNullSafe(F.lag(place).over(seq)), 1).otherwise(0)).withColumn(
-        "run", F.sum("_turn").over(seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    titles = previous(materialize(titles), keys, ["page"], place, "_was", ["page"])
+    titles = materialize(titles.withColumn("_turn", ~place.eqNullSafe(F.col("_was"))).drop("_was"))
+    titles = running_count(titles, keys, ["page"], F.col("_turn"), "run", ["page"])
     body = lines.where(~F.col("_title")).join(titles.drop("_turn"), [*keys, "page"])
     body = body.where((F.col("region") != "summary_tables") | ((word_count(F.col("line")) >= 10) & ~X.is_tabular(F.col("line"))))
     heads = [(h, f"n:{k}") for h, k in V.NARRATIVE_HEADS] + [(h, f"t:{k}") for h, k in V.TABLE_HEADS]
@@ -132,32 +146,34 @@ def narrative_passages(pages: DataFrame, page_departments: DataFrame, keys: list
         ~F.col("_sub") & ~bullet & (F.col("line") != "o"), F.col("line"))
     body = body.where(~in_table).withColumn("_text", rest)
     # A buffer keeps bulleted items apart; prose runs on until a heading.
-    islands = body.groupBy(*scope, "_island", "_kind", "region", "dept", "dept_name").agg(
-        text_of(F.collect_list(F.when(F.col("_text").isNotNull(), F.struct("page", "pos", F.col("_text").alias("text"))))).alias("text"),
-        F.min("page").alias("pdf_page"), F.max("page").alias("last_page"),
-        F.min_by(F.coalesce("heading", "title"), F.struct("page", "pos")).alias("heading"))
-    whole = F.array(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    is_bullets = F.col("_kind").isin("n:service_highlight", "n:capital_project")
-    kept = F.when(is_bullets & (word_count(F.col("text")) <= max_words * 1.5),
-                  F.filter(whole, lambda t: word_count(t) >= 8)).otherwise(pack_sentences(F.col("text"), max_words))
-    out = islands.select(*scope, "_island", "region", "dept", "dept_name", F.expr("substring(_kind, 3)").alias("section_type"),
-                         "heading", "pdf_page", "last_page", F.posexplode(kept).alias("_n", "text"))
+    island = [*scope, "_island"]
+    body = materialize(body)
+    islands = body.groupBy(*island, "_kind", "region", "dept", "dept_name").agg(
+        F.min("page").alias("pdf_page"), F.max("page").alias("last_page"), F.min_by(F.coalesce("heading", "title"), F.struct("page", "pos")).alias("heading"),
+        F.sum(word_count(F.col("_text"))).alias("_words"))
+    islands = materialize(islands.withColumn("_whole", F.col("_kind").isin("n:service_highlight", "n:capital_project") & (F.coalesce("_words", F.lit(0)) <= max_words * 1.5)))
+    texts = body.where(F.col("_text").isNotNull()).join(islands.select(*island, "_whole"), island).select(*island, "page", "pos", F.col("_text").alias("t"), "_whole")
+    items = texts.where("_whole").groupBy(*island).agg(squeezed(text_of(F.collect_list(F.struct("page", "pos", F.col("t").alias("text"))))).alias("text")).where(
+        word_count(F.col("text")) >= 8).select(*island, F.lit(1).cast("long").alias("_n"), "text")
+    prose = packed_sentences(sentences_of_lines(texts.where("not _whole"), island, ["page", "pos"], "page"), island, max_words)
+    kept = items.unionByName(prose.withColumnRenamed("n", "_n"))
+    out = islands.join(kept, island).select(*island, "region", "dept", "dept_name", F.expr("substring(_kind, 3)").alias("section_type"), "heading", "pdf_page", "last_page", "_n", "text")
     return with_passage_ids(out, keys, page_offset)
 
 
 def with_passage_ids(chunks: DataFrame, keys: list[str], page_offset: int = 10) -> DataFrame:
     """Ordinals per run of one region and department; ids stay unique when a region comes back later, taking the numbers
     above those of its first run."""
-    run = Window.partitionBy(*keys, "run").orderBy("_island", "_n")
-    numbered = chunks.withColumn("ordinal", F.row_number().over(run)).withColumn(
-        "base", F.concat_ws(":", "region", F.coalesce("dept", F.lit("-")), "section_type"))
-    first_run = F.min("run").over(Window.partitionBy(*keys, "base"))
-    marked = numbered.withColumn("_again", F.col("run") > first_run)
+    chunks = materialize(chunks.withColumns({"_part": F.floor(F.col("_island") / 1024), "_runs": F.floor(F.col("run") / 1024)}))
+    marked = numbered(chunks, [*keys, "run"], ["_island", "_n"], "ordinal", ["_part"]).withColumns({
+        "ordinal": F.col("ordinal").cast("int"), "base": F.concat_ws(":", "region", F.coalesce("dept", F.lit("-")), "section_type")})
+    marked = materialize(marked)
+    first = marked.groupBy(*keys, "base").agg(F.min("run").alias("_first"))
+    marked = marked.join(first, [*keys, "base"]).withColumn("_again", F.col("run") > F.col("_first"))
     # Ordinals of a first run are free by construction; only later runs of the same base are numbered anew.
-    again = marked.groupBy(*keys, "base").agg(
-        F.max(F.when(~F.col("_again"), F.col("ordinal"))).alias("_top"), F.max("_again").alias("_any"))
-    later = Window.partitionBy(*keys, "base", "_again").orderBy("run", "ordinal")
-    free = F.col("_top") + F.row_number().over(later)
+    again = marked.groupBy(*keys, "base").agg(F.max(F.when(~F.col("_again"), F.col("ordinal"))).alias("_top"))
+    marked = numbered(materialize(marked), [*keys, "base", "_again"], ["run", "ordinal"], "_k", ["_runs"])
+    free = F.col("_top") + F.col("_k")
     ided = marked.join(again, [*keys, "base"]).withColumn("_no", F.when(F.col("_again"), free).otherwise(F.col("ordinal")))
     where = F.coalesce("dept_name", F.initcap(F.replace("region", F.lit("_"), F.lit(" "))))
     header = X.context_header(where, F.replace("section_type", F.lit("_"), F.lit(" ")),

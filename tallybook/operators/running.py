@@ -1,53 +1,96 @@
-"""Running state over ordered rows: carried values, island ids, row numbers, folds.
+"""Running state over ordered rows: carried values, running sums, island ids, row numbers, folds.
 
-A key may hold a large part of the table (one document, one visitor).  A running value is therefore worked out in two
-levels when a bucket column is given: inside each (key, bucket), then over one summary row per bucket.  Rows of a hot key
-spread over its buckets; only the summaries meet in one task.  A bucket must rise with the order (a page, a day, a block
-of positions).
+A key may hold a large part of the table (one document, one visitor).  With a bucket column a running value is a prefix scan
+over a tree: rows are summed up inside each (key, bucket), FAN neighbouring buckets into one node, FAN nodes into the next, as
+often as the span of the buckets needs, and what stands before each node is handed down again.  No task holds more than one
+bucket's rows or FAN summaries.  A bucket must rise with the order (a page, a day, a block of positions) and be a whole number
+or a date.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
+from tallybook.session import materialize
 
-def _frames(keys: list[str], bucket: list[str], order: list):
-    inside = Window.partitionBy(*keys, *bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*keys).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return inside, before
+FAN = 2048
+#: Heights in one bucket of a page.
+SPAN = 512.0
+
+
+def _before(parts: DataFrame, keys: list[str], totals: dict[str, str]) -> DataFrame:
+    """parts(keys, _at, totals), one row per bucket: the combination of all parts of smaller _at, in each column that `totals`
+    names, by "sum" or "last" (of those not NULL).  Parts are written once; their span says how deep the tree is."""
+    parts = materialize(parts)
+    low, high = parts.agg(F.min("_at"), F.max("_at")).first()
+    levels = 1
+    while low is not None and high - low >= FAN**levels:
+        levels += 1
+    return _scanned(parts, keys, totals, levels)
+
+
+def _scanned(parts: DataFrame, keys: list[str], totals: dict[str, str], levels: int) -> DataFrame:
+    combine = {"sum": F.sum, "last": lambda c: F.last(c, ignorenulls=True)}
+    order = Window.partitionBy(*keys, *(["_up"] if levels > 1 else [])).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_up", F.floor(F.col("_at") / FAN))
+    here = parts.select(*keys, "_at", "_up", *[combine[how](c).over(order).alias(c) for c, how in totals.items()])
+    if levels == 1:
+        return here.drop("_up")
+    whole = {"sum": F.sum, "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at")))}
+    nodes = parts.groupBy(*keys, "_up").agg(*[whole[how](c).alias(c) for c, how in totals.items()]).withColumnRenamed("_up", "_at")
+    above = _scanned(nodes, keys, totals, levels - 1).select(*keys, F.col("_at").alias("_up"), *[F.col(c).alias(f"{c}_up") for c in totals])
+    joined = {"sum": lambda c: F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"{c}_up"), F.lit(0)), "last": lambda c: F.coalesce(c, f"{c}_up")}
+    return here.join(above, [*keys, "_up"]).select(*keys, "_at", *[joined[how](c).alias(c) for c, how in totals.items()])
+
+
+def _bucket_number(df: DataFrame, bucket: str) -> Column:
+    return (F.unix_date(bucket) if isinstance(df.schema[bucket].dataType, T.DateType) else F.col(bucket)).cast("long")
+
+
+def _rows_so_far(keys: list[str], bucket: list[str], order: list, inclusive: bool):
+    return Window.partitionBy(*keys, *bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
 
 
 def carry_last(df: DataFrame, keys: list[str], order: list, value: Column, out: str, bucket: list[str] | None = None,
                inclusive: bool = True) -> DataFrame:
     """The last non-NULL value at or before each row (before it when not inclusive)."""
     bucket = bucket or []
-    inside, before = _frames(keys, bucket, order)
-    row = inside if inclusive else inside.rowsBetween(Window.unboundedPreceding, -1)
+    row = _rows_so_far(keys, bucket, order, inclusive)
     local = df.withColumn("_rv", value).withColumn("_rl", F.last("_rv", ignorenulls=True).over(row))
     if not bucket:
         return local.withColumn(out, F.col("_rl")).drop("_rv", "_rl")
     at = F.struct(*order)
-    tails = df.select(*keys, *bucket, value.alias("_rv"), at.alias("_ra")).groupBy(*keys, *bucket).agg(
-        F.max_by("_rv", F.when(F.col("_rv").isNotNull(), F.col("_ra"))).alias("_rt"))
-    carried = tails.withColumn("_rc", F.last("_rt", ignorenulls=True).over(before)).drop("_rt")
-    return local.join(carried, [*keys, *bucket]).withColumn(out, F.coalesce("_rl", "_rc")).drop(
-        "_rv", "_rl", "_rc")
+    tails = df.select(*keys, _bucket_number(df, *bucket).alias("_at"), value.alias("_rv"), at.alias("_ra")).groupBy(*keys, "_at").agg(
+        F.max_by("_rv", F.when(F.col("_rv").isNotNull(), F.col("_ra"))).alias("_rc"))
+    carried = _before(tails, keys, {"_rc": "last"})
+    return local.withColumn("_at", _bucket_number(df, *bucket)).join(carried, [*keys, "_at"]).withColumn(
+        out, F.coalesce("_rl", "_rc")).drop("_rv", "_rl", "_rc", "_at")
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list, values: dict[str, Column], bucket: list[str] | None = None,
+                 inclusive: bool = True) -> DataFrame:
+    """Sums of whole numbers at or before each row (before it when not inclusive), all columns in one pass; NULL adds nothing."""
+    bucket = bucket or []
+    row = _rows_so_far(keys, bucket, order, inclusive)
+    given = {f"_r{i}": F.coalesce(v, F.lit(0)).cast("long") for i, v in enumerate(values.values())}
+    names = dict(zip(given, values))
+    local = df.withColumns(given)
+    local = local.withColumns({f"{c}l": F.coalesce(F.sum(c).over(row), F.lit(0)) for c in given})
+    if not bucket:
+        return local.withColumns({out: F.col(f"{c}l") for c, out in names.items()}).drop(*given, *[f"{c}l" for c in given])
+    sums = df.select(*keys, _bucket_number(df, *bucket).alias("_at"), *[v.alias(c) for c, v in given.items()]).groupBy(*keys, "_at").agg(
+        *[F.sum(c).alias(f"{c}c") for c in given])
+    carried = _before(sums, keys, {f"{c}c": "sum" for c in given})
+    joined = local.withColumn("_at", _bucket_number(df, *bucket)).join(carried, [*keys, "_at"])
+    return joined.withColumns({out: F.col(f"{c}l") + F.coalesce(f"{c}c", F.lit(0)) for c, out in names.items()}).drop(
+        *[f"{c}{x}" for c in given for x in ("", "l", "c")], "_at")
 
 
 def running_count(df: DataFrame, keys: list[str], order: list, flag: Column, out: str, bucket: list[str] | None = None,
                   inclusive: bool = True) -> DataFrame:
     """How many flagged rows stand at or before each row (before it when not inclusive): the id of its island."""
-    bucket = bucket or []
-    inside, before = _frames(keys, bucket, order)
-    one = F.when(flag, 1).otherwise(0).cast("long")
-    row = inside if inclusive else inside.rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumn("_r1", one).withColumn("_rl", F.coalesce(F.sum("_r1").over(row), F.lit(0)))
-    if not bucket:
-        return local.withColumn(out, F.col("_rl")).drop("_r1", "_rl")
-    sums = df.select(*keys, *bucket, one.alias("_r1")).groupBy(*keys, *bucket).agg(F.sum("_r1").alias("_rs"))
-    carried = sums.withColumn("_rc", F.coalesce(F.sum("_rs").over(before), F.lit(0))).drop("_rs")
-    return local.join(carried, [*keys, *bucket]).withColumn(out, F.col("_rl") + F.col("_rc")).drop(
-        "_r1", "_rl", "_rc")
+    return running_sums(df, keys, order, {out: F.when(flag, 1)}, bucket, inclusive)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list, out: str, bucket: list[str] | None = None) -> DataFrame:
@@ -73,33 +116,26 @@ def text_of(items: Column, sep: str = " ") -> Column:
 
 
 def line_anchors(words: DataFrame, page: list[str], top: str = "top", tol: float = 3.0) -> DataFrame:
-    """page keys, top, anchor: the line each distinct word height belongs to.
-
-    A word joins a line when it is within tol of the line's first word.  A gap wider than tol always starts a line, so the
-    heights between two such gaps are folded on their own; only distinct heights take part."""
-    tops = words.select(*page, F.col(top).alias("top")).distinct()
-    order = Window.partitionBy(*page).orderBy("top")
-    gap = F.coalesce(F.col("top") - F.lag("top").over(order) > tol, F.lit(True))
-    islands = running_count(tops.withColumn("_gap", gap), page, ["top"], F.col("_gap"), "_island")
-    heights = F.array_sort(F.collect_list("top"))
+    """page keys, top, anchor, line: the line each distinct word height belongs to, and its number on the page.
 
-    def step(acc: Column, t: Column) -> Column:
-        joins = F.abs(t - acc["anchor"]) <= tol
-        anchor = F.when(joins, acc["anchor"]).otherwise(t)
-        return F.struct(anchor.alias("anchor"), F.concat(acc["out"], F.array(F.struct(
-            t.alias("top"), anchor.alias("anchor")))).alias("out"))
+    A word joins a line when it is within tol of the line's first word, so the heights that start a line are a greedy cut of
+    the page's heights; a page of any length is cut without being gathered."""
+    from tallybook.operators.chains import greedy_starts
 
-    start = F.struct(F.lit(-1e18).alias("anchor"), F.array().cast("array<struct<top:double,anchor:double>>").alias("out"))
-    folded = islands.groupBy(*page, "_island").agg(F.aggregate(heights, start, step)["out"].alias("out"))
-    return folded.select(*page, F.inline("out"))
+    tops = materialize(numbered(words.select(*page, F.col(top).cast("double").alias("top")).distinct().withColumn("_span", F.floor(F.col("top") / SPAN)),
+                                page, ["top"], "_n", ["_span"]))
+    starts = greedy_starts(tops, page, "_n", F.col("top"), F.col("top"), tol, SPAN).withColumn("_starts", F.lit(True))
+    marked = materialize(tops.join(starts, [*page, "_n"], "left"))
+    begins = F.coalesce("_starts", F.lit(False))
+    lined = carry_last(marked, page, ["top"], F.when(begins, F.col("top")), "anchor", ["_span"])
+    counted = running_count(marked, page, ["top"], begins, "line", ["_span"]).select(*page, "top", "line")
+    return lined.join(counted, [*page, "top"]).select(*page, "top", "anchor", "line")
 
 
 def visual_lines(words: DataFrame, page: list[str] | None = None, tol: float = 3.0) -> DataFrame:
     """Words with the anchor of their line and its number on the page."""
     page = page or ["doc", "page"]
-    anchors = line_anchors(words, page, tol=tol)
-    ordinal = F.dense_rank().over(Window.partitionBy(*page).orderBy("anchor"))
-    return words.join(anchors.withColumn("line", ordinal), [*page, "top"])
+    return words.join(line_anchors(words, page, tol=tol).withColumn("line", F.col("line").cast("int")), [*page, "top"])
 
 
 def line_text(lined: DataFrame, page: list[str] | None = None) -> DataFrame:
@@ -171,25 +207,6 @@ def keep_within_budget(items: Column, size, limit: int) -> Column:
     return F.aggregate(items, start, step)["kept"]
 
 
-def closing_points(rows: Column, values: int) -> Column:
-    """Indexes where a unit closes: rows are struct(i, anchor, candidate, explicit, v array<bigint>).
-
-    An anchor row adds its values to the running sum.  A candidate closes the unit when every value equals the sum and some
-    sum is not zero, or at once when explicit; the sum then starts again."""
-    zero = F.array(*[F.lit(0).cast("long") for _ in range(values)])
-    start = F.struct(zero.alias("acc"), F.array().cast("array<long>").alias("closed"))
-
-    def step(state: Column, r: Column) -> Column:
-        added = F.zip_with(state["acc"], r["v"], lambda a, b: a + F.coalesce(b, F.lit(0)))
-        equal = F.forall(F.zip_with(state["acc"], r["v"], lambda a, b: a == F.coalesce(b, F.lit(0))), lambda e: e)
-        closes = r["candidate"] & (r["explicit"] | (equal & F.exists(state["acc"], lambda a: a != 0)))
-        return (F.when(r["anchor"], F.struct(added.alias("acc"), state["closed"].alias("closed")))
-                .when(closes, F.struct(zero.alias("acc"), F.concat(state["closed"], F.array(r["i"].cast("long"))).alias("closed")))
-                .otherwise(state))
-
-    return F.aggregate(rows, start, step)["closed"]
-
-
 def indent_paths(rows: Column, slack: float = 2.0) -> Column:
     """rows struct(i, indent, label, heading) in order.  Each valued row gets the labels of the headings it sits under: a
     heading drops every heading that is not clearly to its left."""

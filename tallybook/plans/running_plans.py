@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tallybook.operators import running as R
+from tallybook.operators.chains import closing_rows
 from tallybook.plans import bindings as B
 from tallybook.plans.registry import query, table
 
@@ -144,16 +145,12 @@ def unit_close(spark, sf):
     unit = Window.partitionBy("l_orderkey", "unit").orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     printed = F.sum("q").over(unit) + F.when(F.col("l_linestatus") == "O", 0).otherwise(1)
     li = li.withColumn("printed", printed)
-    i = F.col("rn").cast("int")
-    value = F.struct((i * 2).alias("i"), F.lit(True).alias("anchor"), F.lit(False).alias("candidate"),
-                     F.lit(False).alias("explicit"), F.array("q").alias("v"))
-    total = F.struct((i * 2 + 1).alias("i"), F.lit(False).alias("anchor"), F.lit(True).alias("candidate"),
-                     F.lit(False).alias("explicit"), F.array("printed").alias("v"))
-    rows = li.select("l_orderkey", F.explode(F.when(F.col("l_returnflag") == "R", F.array(value, total)).otherwise(
-        F.array(value))).alias("r"))
-    folded = rows.groupBy(F.col("l_orderkey").alias("page")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    return folded.select("page", F.explode(R.closing_points(F.col("rows"), 1)).alias("at")).select(
-        "page", ((F.col("at") - 1) / 2).cast("int").alias("line"))
+    value, total = F.struct((F.col("rn") * 2).alias("i"), F.lit(True).alias("anchor"), F.col("q").alias("v")), F.struct(
+        (F.col("rn") * 2 + 1).alias("i"), F.lit(False).alias("anchor"), F.col("printed").alias("v"))
+    rows = li.select(F.col("l_orderkey").alias("page"), F.inline(F.when(F.col("l_returnflag") == "R", F.array(value, total)).otherwise(F.array(value))))
+    rows = rows.withColumn("part", F.floor(F.col("i") / 1024))
+    closed = closing_rows(rows, ["page"], ["i"], F.col("anchor"), ~F.col("anchor"), F.lit(False), [F.col("v")], "part")
+    return closed.select("page", ((F.col("i") - 1) / 2).cast("int").alias("line"))
 
 
 @query("indent_paths", """with r as (select p_partkey, p_partkey // 50 as page, (p_size % 5) * 10 as indent, p_name,

@@ -135,7 +135,8 @@ select doc_id, text from c where words >= 8""")
 def pack_sentences(spark, sf):
     """Whole documents cut into passages of at most 320 words at sentence ends."""
     d = table(spark, sf, "documents")
-    return d.select("doc_id", F.explode(P.pack_sentences(F.col("text"))).alias("text"))
+    sentences = d.select("doc_id", F.posexplode(F.split(P.squeezed(F.col("text")), V.SENTENCE_BREAK_PACK)).alias("i", "t"))
+    return P.packed_sentences(sentences, ["doc_id"]).select("doc_id", "text")
 
 
 LINES = f"""l as (select doc_id, trim(line) as line, pos from (select doc_id, unnest({SPLIT}) as line, generate_subscripts({SPLIT}, 1) - 1 as pos from documents)
@@ -246,7 +247,7 @@ SENTENCES = PACK.replace("text", "p.text")
 
 
 @query("narrative_passages", rf"""with recursive
-pg as (select source, source || '/' || (doc_id // 256) as doc, doc_id + 11 as page, concat_ws(chr(10), case when doc_id % 8 = 0 then 'SOURCE OF FUNDS' else upper(source) end,
+pg as (select source, source as doc, doc_id + 11 as page, concat_ws(chr(10), case when doc_id % 8 = 0 then 'SOURCE OF FUNDS' else upper(source) end,
     case when doc_id % 4 = 1 then 'MISSION: to serve the people of ' || source || ' well and on time.' when doc_id % 4 = 2 then 'SERVICE HIGHLIGHTS' when doc_id % 12 = 3 then 'BUDGET SUMMARY' end,
     case when doc_id % 4 = 2 then '•' || chr(10) || 'Repaired ' || doc_id || ' streets and bridges across all wards of the city this year.' || chr(10) || '•' end,
     case when doc_id % 5 = 0 then 'Street Work and Lighting' end, coalesce(text, '')) as text from documents),
@@ -280,7 +281,7 @@ g as (select *, rn > min(rn) over (partition by doc, base) as again from b),
 q as (select *, max(case when not again then ordinal end) over (partition by doc, base) as top, row_number() over (partition by doc, base, again order by rn, ordinal) as k from g)
 select doc, base || ':' || case when again then top + k else ordinal end as id, cast(page as integer) as pdf_page, region, dept, section_type, heading, cast(ordinal as integer) as ordinal, text from q""")
 def narrative_passages(spark, sf):
-    """Documents of a source as the pages of a book, 256 ids to a book.  Some pages print a funds title, a mission, items, a
+    """Documents of a source as the pages of a book.  Some pages print a funds title, a mission, items, a
     table or a sub-heading above the text, so that regions come back and every kind of section occurs."""
     n = F.col("doc_id")
     title = F.when(n % 8 == 0, "SOURCE OF FUNDS").otherwise(F.upper("source"))
@@ -288,7 +289,7 @@ def narrative_passages(spark, sf):
             .when(n % 4 == 2, "SERVICE HIGHLIGHTS").when(n % 12 == 3, "BUDGET SUMMARY"))
     items = F.when(n % 4 == 2, F.concat(F.lit("•\nRepaired "), n.cast("string"), F.lit(" streets and bridges across all wards of the city this year.\n•")))
     sub = F.when(n % 5 == 0, "Street Work and Lighting")
-    book = F.concat("source", F.lit("/"), F.expr("doc_id div 256").cast("string")).alias("doc")
+    book = F.col("source").alias("doc")
     d = table(spark, sf, "documents").select(book, (n + 11).cast("int").alias("page"), "source",
                                              F.concat_ws("\n", title, head, items, sub, F.coalesce("text", F.lit(""))).alias("text"))
     depts = d.select("doc", "page", F.col("source").alias("dept"), F.col("source").alias("dept_name"))

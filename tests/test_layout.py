@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from tallybook.operators import layout as L, running as R
+from tallybook.operators.chains import closing_rows
 from tallybook.session import materialize
 
 
@@ -27,12 +30,34 @@ def test_two_levels_equal_one(spark):
         assert one.exceptAll(two.select(one.columns)).count() == 0
 
 
+def _closed(spark, rows, part=4):
+    df = spark.createDataFrame([("k", i, i // part, a, c, e, v) for i, a, c, e, v in rows], "k string, i long, part long, a boolean, c boolean, e boolean, v long")
+    got = closing_rows(df, ["k"], ["i"], F.col("a"), F.col("c"), F.col("e"), [F.col("v")], "part")
+    return sorted(r["i"] for r in got.collect())
+
+
 def test_units_close_by_sum_or_by_name(spark):
     #            i  anchor candidate explicit values
-    rows = [(1, True, False, False, [10]), (2, True, False, False, [5]), (3, False, True, False, [14]),
-            (4, False, True, False, [15]), (5, True, False, False, [7]), (6, False, True, True, [99])]
-    df = spark.createDataFrame([(rows,)], "r array<struct<i:int,anchor:boolean,candidate:boolean,explicit:boolean,v:array<bigint>>>")
-    assert df.select(R.closing_points(F.col("r"), 1)).first()[0] == [4, 6]
+    rows = [(1, True, False, False, 10), (2, True, False, False, 5), (3, False, True, False, 14),
+            (4, False, True, False, 15), (5, True, False, False, 7), (6, False, True, True, 99)]
+    assert _closed(spark, rows) == [4, 6]
+    assert _closed(spark, [(30_000_000 * 1_000_000 + i, *x) for i, *x in rows]) == [30_000_000 * 1_000_000 + i for i in (4, 6)]
+
+
+def test_units_close_as_a_loop_says(spark):
+    r, rows, want, total = random.Random(3), [], [], 0
+    for i in range(1500):
+        if r.random() < 0.5:
+            v = r.choice([0, 1, 2, 3, -2])
+            rows.append((i, True, False, False, v))
+            total += v
+        else:
+            explicit, v = r.random() < 0.01, total if r.random() < 0.3 else r.choice([0, 1, 2, 5, 6, 7])
+            rows.append((i, False, True, explicit, v))
+            if explicit or (v == total and total != 0):
+                want.append(i)
+                total = 0
+    assert len(want) > 100 and _closed(spark, rows, 50) == want
 
 
 def _page(page, lines, dept="Fire Department", number="300.1"):
@@ -95,10 +120,3 @@ def test_report_counts_orphans_and_skipped_pages(spark):
     words = spark.createDataFrame(page, "doc string, page int, text string, x0 double, x1 double, top double")
     got = {r["page"]: (r["skipped"], r["orphans"]) for r in L.extraction_report(words, L.page_geometry(words)).collect()}
     assert got == {7: (False, 1), 8: (True, 0)}
-
-
-def test_closing_places_past_the_int_range(spark):
-    far = 30_000_000 * 1_000_000
-    df = spark.sql(f"select array(struct({far}L as i, true as anchor, false as candidate, false as explicit, array(5L) as v), "
-                   f"struct({far + 1}L as i, false as anchor, true as candidate, false as explicit, array(5L) as v)) as r")
-    assert df.select(R.closing_points(F.col("r"), 1)).first()[0] == [far + 1]
