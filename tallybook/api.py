@@ -34,6 +34,16 @@ class Budget:
     def department_breakdown(self, slug: str) -> DataFrame:
         return L.department_breakdown(self.t["dept_summary"], self.t["departments"], slug, self.version)
 
+    def breakdown_with_facts(self, slug: str) -> tuple[DataFrame, DataFrame]:
+        """A department's breakdown and the reviewed facts that match its name."""
+        depts = L.scoped(self.t["departments"], self.version).where(F.col("slug") == slug)
+        return self.department_breakdown(slug), R.facts_beside_departments(depts, L.scoped(self.t["budget_facts"], self.version), self.stop_words)
+
+    def facts_with_sales_tax(self, words: str, line: str = "Local Sales Tax") -> tuple[DataFrame, DataFrame]:
+        """Facts, and where one of them is about the sales tax the printed split of that line by fund."""
+        found = self.facts(words)
+        return found, R.sales_tax_beside(found, L.revenue_line_by_fund(self.t["revenues"], line, self.version))
+
     def search_text(self, words: str) -> tuple[DataFrame, DataFrame]:
         return (R.search_passages(self._ask(words).select("query_id", "text"), L.scoped(self.t["passages"], self.version), self.stop_words),
                 self.facts(words, 3))

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallybook import fixed_values as V
 from tallybook.functions.numbers import per_share, percent_change
-from tallybook.operators.joins import small_side
 from tallybook.operators.lookups import VERSION, position, required, scoped
 
 YEARS = ("2026", "2027")
@@ -102,12 +101,12 @@ def _both(rate: Column, cents_of) -> list[Column]:
 
 def with_receipt(inputs: DataFrame, rates: DataFrame, components: list[tuple] | None = None) -> DataFrame:
     """Each eligible input with its charge lines, tax split, totals and the assumptions made, as arrays and columns.
-    The tariff is one row per version; it is broadcast once its row count is checked."""
+    The tariff is one row per version; Spark broadcasts it by its size."""
     components = components or V.TAX_COMPONENTS
     for name, default in (("frontage_ft", F.lit(None).cast("long")), ("extra_carts", F.lit(0))):
         if name not in inputs.columns:
             inputs = inputs.withColumn(name, default)
-    rows = eligibility(inputs).where("kind = 'estimate'").join(small_side(rates), VERSION)
+    rows = eligibility(inputs).where("kind = 'estimate'").join(rates, VERSION)
     share = F.when(F.col("view") == "renter", F.greatest(F.col("units"), F.lit(1))).otherwise(F.lit(1)).cast("long")
     frontage = F.coalesce("frontage_ft", F.lit(V.DEFAULT_FRONTAGE_FT)).cast("long")
     year_value = {"2026": "assessed_2025", "2027": "assessed_2026"}

@@ -291,6 +291,34 @@ def fee_revenue_gaps(fees: DataFrame, revenues: DataFrame, names: DataFrame) ->
         "budget_version", "fee", "printed", F.col("revenue_2027").alias("extracted")))
 
 
+def table_pair_gaps(pairs: DataFrame, revenues: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """Facts whose number is also printed in a table: pairs(budget_version, id, source, lines array, section, value).  A revenue pair is the
+    sum of its lines of the general fund in the summary; a comparison pair is the change against the request of one line of
+    a section.  What is missing or different is a gap."""
+    general = revenues.where((F.col("source") == "summary") & (F.col("fund") == "general")).groupBy("budget_version", "line").agg(
+        F.min_by("proposed_2027", position()).alias("amount"))
+    lines = pairs.select("budget_version", "id", "source", "section", F.explode("lines").alias("line"))
+    from_revenues = lines.where("source = 'revenues'").join(general, ["budget_version", "line"], "left").groupBy("budget_version", "id").agg(
+        F.when(F.count("*") == F.count("amount"), F.sum("amount")).alias("printed"))
+    compared = comparisons.groupBy("budget_version", "section", "line").agg(F.min_by("change_vs_requested", position()).alias("printed"))
+    from_comparisons = lines.where("source = 'comparisons'").join(compared, ["budget_version", "section", "line"], "left").select("budget_version", "id", "printed")
+    found = from_revenues.unionByName(from_comparisons)
+    return mismatches(pairs.join(found, ["budget_version", "id"], "left").select("budget_version", "id", "printed", F.col("value").alias("extracted")))
+
+
+def extra_citation_gaps(glossary: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """glossary(term, aliases, cite_text, also_cite array<struct<keys..., cite_text>>), pages(keys..., page_text): further citations whose
+    page holds neither its own phrase, if it names one, nor else the term's cited words, an alias or the bare term."""
+    low = lambda c: F.replace(F.lower(c), F.lit("’"), F.lit("'"))
+    bare = F.get(F.split("term", r" \("), F.lit(0))
+    names = F.concat(F.array("cite_text"), F.coalesce("aliases", F.array().cast("array<string>")), F.array(bare))
+    cited = glossary.select("term", names.alias("_names"), F.posexplode("also_cite").alias("n", "_c")).select("term", "n", "_names", *[F.col(f"_c.{k}").alias(k) for k in keys],
+                                                                                                           F.col("_c.cite_text").alias("_own"))
+    want = F.when(F.col("_own").isNotNull(), F.array("_own")).otherwise(F.col("_names"))
+    rows = cited.join(pages, keys, "left").withColumn("_page", F.coalesce(low(F.col("page_text")), F.lit("")))
+    return rows.where(~F.exists(want, lambda x: F.coalesce(F.col("_page").contains(low(x)), F.lit(False)))).select("term", "n", *keys)
+
+
 # --- Keys and counts --------------------------------------------------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from tallybook import fixed_values as V
 from tallybook.functions import text as X
 from tallybook.functions.numbers import amount_in_words, is_number_token, parse_decimal
 from tallybook.operators.running import carry_last, column_of, indent_paths, running_count, text_of, visual_lines
+from tallybook.session import materialize
 
 PAGE = ["doc", "page"]
 STAGE_KEYS = ["actual_2025", "adopted_2026", "requested_2027", "proposed_2027"]
@@ -298,6 +299,108 @@ def position_changes(cells: DataFrame, kinds: DataFrame) -> DataFrame:
         "reason_category": F.when(~F.col("is_total"), X.reason_category(F.col("reason")))}).drop("_heading")
 
 
+def unknown_tables(kinds: DataFrame) -> DataFrame:
+    """Tables that no header signature names and no table before them goes on into, with the words of their first row."""
+    return kinds.where("kind = 'unknown'").select("doc", "page", "table_no", F.substring(F.array_join("head", " "), 1, 80).alias("head"))
+
+
+def borderless_position_changes(lines: DataFrame) -> DataFrame:
+    """Position changes printed without borders, from page_lines (doc, page, [dept,] line, top, ws, text).
+
+    A page is read where it prints the column header, or goes on (it has the introduction's words) with the layout of the last
+    page of its document and department that did.  The left edges of titles and reasons are the commonest places at which
+    words open a line or follow a gap, since headers are centred over their columns.  A row is anchored on its numbers; a
+    reason line between two anchors goes to the upper one until the sentence start nearest to the middle between them, and
+    to the lower one from there on; a title line joins the anchor near it, or else heads the rows beneath it.  Lines of a
+    row are read from top to bottom."""
+    scope = ["doc", *(["dept"] if "dept" in lines.columns else [])]
+    page, texts = [*scope, "page"], F.transform("ws", lambda w: w["text"])
+    number = lambda t: t.rlike(r"^(\(?-?[\d.,]+\)?|-)$")
+    middle = lambda w: (w["x0"] + w["x1"]) / 2
+    at = lambda i, name: F.struct(F.lit(i).alias("i"), middle(name).alias("x"))
+    lines = materialize(lines)
+
+    # where each page starts and how it is laid out
+    is_header = F.array_contains(texts, "Positions") & F.array_contains(texts, "Title") & F.array_contains(texts, "Reason")
+    ftes = F.filter("ws", lambda w: w["text"] == "FTEs")
+    layout = F.when(F.size(ftes) == 2, F.struct(F.get(ftes, F.lit(1))["x1"].alias("numbers_end"), _word(F.col("ws"), "Title")["x1"].alias("title_end"),
+                                                F.array(at(0, _word(F.col("ws"), "Positions")), at(1, F.get(ftes, F.lit(0))), at(2, F.get(ftes, F.lit(1)))).alias("centres")))
+    marks = lines.groupBy(*page).agg(F.min_by(F.struct("top", layout.alias("layout")), F.when(is_header, F.col("top"))).alias("h"),
+                                     F.min(F.when(F.col("text").startswith("Specific ADDITIONAL"), F.col("top"))).alias("intro"))
+    marks = carry_last(marks, scope, ["page"], F.col("h.layout"), "_layout", ["page"])
+    begins = F.when(F.col("h").isNotNull(), F.when(F.col("h.layout").isNotNull(), F.col("h.top"))).otherwise(F.col("intro"))
+    marks = marks.select(*page, begins.alias("_start"), "_layout").where("_start is not null and _layout is not null")
+    body = lines.join(marks, page).where((F.col("top") > F.col("_start")) & ~F.col("text").contains(FOOTER))
+
+    # left edges of titles and reasons
+    opening = F.filter(F.transform("ws", lambda w, i: F.struct(w["x0"].alias("x0"), w["text"].alias("text"), F.when(i > 0, F.get("ws", i - 1)["x1"]).alias("before"))),
+                       lambda w: (w["x0"] > F.col("_layout.numbers_end")) & ~number(w["text"]) & F.coalesce(w["x0"] - w["before"] > 25, F.lit(True)))
+    edges = body.select(*page, "_layout", F.explode(opening).alias("w")).groupBy(*page, "_layout", F.rint("w.x0").alias("x")).agg(F.count("*").alias("n"))
+    common = lambda cond: F.max_by("x", F.when(cond, F.struct("n", -F.col("x")))) - 3
+    edges = edges.groupBy(*page).agg(common(F.col("x") < F.col("_layout.title_end")).alias("_t"), common(F.col("x") >= F.col("_layout.title_end") - 30).alias("_r"))
+    body = body.join(edges, page, "left").withColumns({"_t": F.coalesce("_t", F.col("_layout.numbers_end") + 10), "_r": F.coalesce("_r", F.col("_layout.title_end") + 60)})
+    said = lambda cond: F.array_join(F.transform(F.filter("ws", cond), lambda w: w["text"]), " ")
+    body = body.select(*page, "line", "top", F.filter("ws", lambda w: (w["x1"] < F.col("_t")) & number(w["text"])).alias("nums"), F.col("_layout.centres").alias("centres"),
+                       said(lambda w: (w["x0"] >= F.col("_t")) & (w["x0"] < F.col("_r"))).alias("title"), said(lambda w: w["x0"] >= F.col("_r")).alias("reason"))
+    total = F.lower(F.trim("title")).isin("total", "totals")
+    ends = F.min(F.when(total, F.col("top"))).over(Window.partitionBy(*page))
+    body = body.withColumn("_end", ends).where(F.col("_end").isNull() | (F.col("top") <= F.col("_end")))
+
+    # anchors, and for every other line those above and below it
+    down = Window.partitionBy(*page).orderBy("top")
+    anchor = F.size("nums") > 0
+    body = body.withColumns({"_anchor": anchor, "_above": F.count_if(anchor).over(down.rowsBetween(Window.unboundedPreceding, -1))})
+    body = materialize(body.drop("_end"))
+    anchors = body.where("_anchor").withColumn("a", F.col("_above") + 1)
+    near = anchors.select(*page, "a", F.struct("top", "title", "reason").alias("near"))
+    rest = body.where("not _anchor").join(near.select(*page, F.col("a").alias("_above"), F.col("near").alias("up")), [*page, "_above"], "left")
+    rest = rest.join(near.select(*page, (F.col("a") - 1).alias("_above"), F.col("near").alias("low")), [*page, "_above"], "left")
+
+    between = Window.partitionBy(*page, "_above").orderBy("top")
+    all_between = Window.partitionBy(*page, "_above")
+    reasons = rest.where("reason <> '' and (up is not null or low is not null)")
+    before = F.coalesce(F.lag("reason").over(between), F.when(F.col("up.reason") == "", ".").otherwise(F.col("up.reason")), F.lit("."))
+    reasons = reasons.withColumn("_starts", F.rtrim(before).rlike(r"[.)]\z") & F.col("reason").rlike(r"^\p{Lu}"))
+    mid = (F.col("up.top") + F.col("low.top")) / 2
+    split = F.coalesce(F.min(F.when(F.col("_starts"), F.struct(F.abs(F.col("top") - mid).alias("d"), F.col("top").alias("t")))).over(all_between)["t"], mid)
+    to = F.when(F.col("up").isNull(), 1).when(F.col("low").isNull(), F.col("_above")).when(F.col("top") >= split, F.col("_above") + 1).otherwise(F.col("_above"))
+    reasons = reasons.select(*page, to.alias("a"), "top", F.col("reason").alias("text"))
+    reasons = reasons.unionByName(anchors.where("reason <> ''").select(*page, "a", "top", F.col("reason").alias("text")))
+    reasons = reasons.groupBy(*page, "a").agg(text_of(F.collect_list(F.struct("top", "text"))).alias("_reason"))
+
+    gap = lambda side: F.abs(F.col(f"{side}.top") - F.col("top"))
+    upper = F.col("low").isNull() | (F.col("up").isNotNull() & (gap("up") <= gap("low")))
+    titles = rest.where("title <> '' and (up is not null or low is not null)").withColumns({"a": F.when(upper, F.col("_above")).otherwise(F.col("_above") + 1), "_upper": upper})
+    side = lambda c: F.when(F.col("_upper"), F.col(f"up.{c}")).otherwise(F.col(f"low.{c}"))
+    joins = F.abs(side("top") - F.col("top")) <= F.when(side("title") == "", 20).otherwise(8)
+    titles = titles.withColumn("_joins", joins)
+    parts = titles.where("_joins").select(*page, "a", "top", F.col("title").alias("text")).unionByName(
+        anchors.where("title <> ''").select(*page, "a", "top", F.col("title").alias("text")))
+    parts = parts.groupBy(*page, "a").agg(text_of(F.collect_list(F.struct("top", "text"))).alias("_title"))
+    heads = titles.where("not _joins and not _upper").groupBy(*page, "a").agg(F.max_by("title", "top").alias("_head"))
+
+    def value(i: int) -> Column:
+        mine = F.filter("nums", lambda w: F.array_min(F.transform("centres", lambda c: F.struct(F.abs(middle(w) - c["x"]).alias("d"), c["i"].alias("i"))))["i"] == i)
+        return parse_decimal(_no_dash(F.try_element_at(mine, F.lit(-1))["text"])).cast("decimal(10,2)")
+
+    out = anchors.join(reasons, [*page, "a"], "left").join(parts, [*page, "a"], "left").join(heads, [*page, "a"], "left")
+    group = F.last("_head", ignorenulls=True).over(Window.partitionBy(*page).orderBy("a").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    title = F.coalesce("_title", F.lit(""))
+    return out.select(*page, "line", value(0).alias("positions"), value(1).alias("om_ftes"), value(2).alias("non_om_ftes"), title.alias("title"), F.col("_reason").alias("reason"), group.alias("group"),
+                      F.lower(F.trim(title)).isin("total", "totals").alias("is_total"))
+
+
+def all_position_changes(cells: DataFrame, lines: DataFrame) -> DataFrame:
+    """Position changes of bordered tables, and of pages that have none the rows printed without borders."""
+    kinds = table_kinds(cells)
+    bordered = position_changes(cells, kinds).withColumn("bordered", F.lit(True))
+    pages = kinds.where("kind = 'position_changes'").select("doc", "page").distinct()
+    free = borderless_position_changes(lines).join(pages, ["doc", "page"], "left_anti")
+    free = free.withColumns({"bordered": F.lit(False), "reason_category": F.when(~F.col("is_total"), X.reason_category(F.col("reason")))})
+    columns = ["doc", "page", "positions", "om_ftes", "non_om_ftes", "title", "reason", "reason_category", "is_total", "bordered"]
+    return bordered.select(*columns).unionByName(free.select(*columns))
+
+
 # --- Capital items ----------------------------------------------------------------------------------------------------------
 
 

@@ -4,29 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-
-def range_join(points: DataFrame, ranges: DataFrame, keys: list[str], point: str, low: str, high: str, width: int = 64,
-               how: str = "inner") -> DataFrame:
-    """Points inside [low, high] of a range with the same keys.  Ranges are cut into fixed-width cells, so the join is
-    an equi-join on the cell and a long range meets only the points of its own cells."""
-    cells = ranges.withColumn("_cell", F.explode(F.sequence(
-        F.floor(F.col(low) / width).cast("long"), F.floor(F.col(high) / width).cast("long"))))
-    located = points.withColumn("_cell", F.floor(F.col(point) / width).cast("long"))
-    same = [located[k] == cells[k] for k in [*keys, "_cell"]]
-    inside = same + [located[point] >= cells[low], located[point] <= cells[high]]
-    cond = inside[0]
-    for c in inside[1:]:
-        cond = cond & c
-    joined = located.join(cells, cond, how)
-    for k in [*keys, "_cell"]:
-        joined = joined.drop(cells[k])
-    return joined.drop("_cell")
-
-
-def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """A join side that is broadcast only when it is known to be small.  Beyond the bound the same join shuffles, and
-    Spark's skew handling splits heavy keys."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+from tallybook.operators.running import carry_last
+
+
+def range_join(points: DataFrame, ranges: DataFrame, keys: list[str], point: str, low: str, high: str) -> DataFrame:
+    """Points with the range [low, high] of the same keys that they lie in; a NULL high is open.  Ranges of one key do not
+    overlap, so a point can only lie in the last range that starts at or before it: points and range starts are put in one
+    order and each point takes the start carried down to it.  A range of any length stays one row."""
+    kept = [c for c in ranges.columns if c not in keys]
+    blank = lambda df, cols: F.lit(None).cast(df.select(F.struct(*cols).alias("s")).schema["s"].dataType)
+    rest = [c for c in points.columns if c not in keys]
+    starts = ranges.where(F.col(low).isNotNull()).select(*keys, F.col(low).cast("long").alias("_at"), F.lit(0).alias("_point"), F.struct(*kept).alias("_range"), blank(points, rest).alias("_row"))
+    placed = points.where(F.col(point).isNotNull()).select(*keys, F.col(point).cast("long").alias("_at"), F.lit(1).alias("_point"), blank(ranges, kept).alias("_range"), F.struct(*rest).alias("_row"))
+    both = starts.unionByName(placed).withColumn("_span", F.floor(F.col("_at") / 4096))
+    found = carry_last(both, keys, ["_at", "_point"], F.col("_range"), "_in", ["_span"]).where("_point = 1 and _in is not null")
+    inside = found.where(F.col(f"_in.{high}").isNull() | (F.col("_at") <= F.col(f"_in.{high}")))
+    return inside.select(*keys, "_row.*", "_in.*")
 
 
 def excused(findings: DataFrame, known_errors: DataFrame, keys: list[str]) -> DataFrame:

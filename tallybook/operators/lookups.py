@@ -385,9 +385,10 @@ def claim_articles(claims: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def topic_articles(topics: DataFrame, articles: DataFrame) -> DataFrame:
-    """Articles under each topic they name, newest first and then by outlet."""
+    """Articles under each topic they name with their place there: newest first, then by outlet."""
     tagged = articles.select("article", "date", "outlet", F.explode("topics").alias("topic"))
-    return topics.join(tagged, "topic").orderBy("topic", F.col("date").desc(), "outlet")
+    place = F.row_number().over(Window.partitionBy("topic").orderBy(F.col("date").desc(), "outlet", "article")).cast("long")
+    return topics.join(tagged, "topic").withColumn("place", place)
 
 
 # --- Vocabulary --------------------------------------------------------------------------------------------------------------
@@ -438,11 +439,11 @@ def concepts(line_items: DataFrame, departments: DataFrame, glosses: DataFrame |
         F.col("reviewed_by").isNotNull().alias("gloss_reviewed"))
 
 
-def page_ranges(departments: DataFrame, last_page: int = 214) -> DataFrame:
-    """slug, first and last printed page: from a title page up to the next one."""
+def page_ranges(departments: DataFrame, last_page: int | None = 214) -> DataFrame:
+    """slug, first and last printed page: from a title page up to the next one; without a last page the last range is open."""
     order = Window.partitionBy(VERSION).orderBy("summary_page", "slug")
     starts = departments.where(F.col("summary_page").isNotNull())
-    end = F.coalesce(F.lead("summary_page").over(order), F.lit(last_page + 1)) - 1
+    end = F.coalesce(F.lead("summary_page").over(order), F.lit(None if last_page is None else last_page + 1)) - 1
     return starts.withColumn("end", end).select(
         VERSION, "slug", F.col("summary_page").alias("first_page"),
         F.least("end", F.coalesce("summary_last_page", "end")).alias("last_page"))

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tallybook import fixed_values as V
 from tallybook.functions import address as A, text as X
 from tallybook.functions.trigrams import let, ordered_trigrams, run_similarity, trigrams
-from tallybook.operators.joins import small_side
 from tallybook.operators.running import keep_within_budget
 
 RRF_K = 60
@@ -46,7 +45,7 @@ def keyword_rank(queries: DataFrame, passages: DataFrame, stop_words: list[str],
     """Passages that hold any query word, by how often they hold them.  Words outside the queries never shuffle, and a
     passage's words are counted before they meet the queries."""
     wanted = query_terms(queries, stop_words)
-    vocabulary = small_side(wanted.select("term").distinct(), 200_000)
+    vocabulary = wanted.select("term").distinct()
     tokens = passages.select(F.col(passage_id).alias("id"), F.explode(X.words(F.col(text))).alias("w"))
     terms = tokens.where(~F.col("w").isin(stop_words)).select("id", X.light_stem(F.col("w")).alias("term"))
     counts = terms.join(vocabulary, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("n"))
@@ -186,6 +185,42 @@ def find_facts(queries: DataFrame, facts: DataFrame, stop_words: list[str], limi
     return keyword_rank(queries, body, stop_words, k=limit).join(pool, "id").drop("score")
 
 
+def facts_beside_departments(departments: DataFrame, facts: DataFrame, stop_words: list[str], limit: int = 4) -> DataFrame:
+    """departments(budget_version, slug, name): the reviewed facts of the same version that match a department's name, without the
+    words that all names share."""
+    name = F.regexp_replace("name", r"Department( of)?|Division|-", " ")
+    asked = departments.select(F.concat_ws("/", "budget_version", "slug").alias("query_id"), "budget_version", "slug", name.alias("text"))
+    pool = facts.withColumn("_fact", F.col("id")).withColumn("id", F.concat_ws("/", "budget_version", F.col("id").cast("string")))
+    found = find_facts_by_key(asked, pool, stop_words, limit)
+    return found.select("budget_version", "slug", "rank", F.col("_fact").alias("id"), "statement")
+
+
+def find_facts_by_key(asked: DataFrame, pool: DataFrame, stop_words: list[str], limit: int) -> DataFrame:
+    """find_facts where question and fact must be of one version: their words carry it."""
+    tagged = lambda version, term: F.concat_ws(":", version, term)
+    wanted = asked.select("query_id", "budget_version", "slug", F.explode(X.search_terms(F.col("text"), stop_words)).alias("t")).withColumn("term", tagged("budget_version", F.col("t")))
+    facts = pool.where(F.col("reviewed_by").isNotNull())
+    body = facts.select("id", "budget_version", F.explode(X.words(F.concat_ws(" ", F.replace("topic", F.lit("_"), F.lit(" ")), "statement"))).alias("w"))
+    terms = body.where(~F.col("w").isin(stop_words)).select("id", tagged("budget_version", X.light_stem(F.col("w"))).alias("term"))
+    counts = terms.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("n"))
+    scored = counts.join(wanted, "term").groupBy("query_id", "slug", "id").agg(F.sum("n").alias("score"))
+    top = ranked(scored, ["query_id"], [F.col("score").desc(), "id"], limit)
+    return top.drop("score", "query_id").join(facts, "id")
+
+
+def sales_tax_beside(found: DataFrame, revenue_lines: DataFrame, topic: str = "sales_tax") -> DataFrame:
+    """found(query_id, budget_version, topic, ...): for each question that met a fact on the topic, the revenue line split by fund
+    (revenue_lines of lookups.revenue_line_by_fund) of that version."""
+    met = found.where(F.col("topic") == topic).select("query_id", "budget_version").distinct()
+    return met.join(revenue_lines, "budget_version")
+
+
+def nearest_concepts(queries: DataFrame, concepts: DataFrame, k: int = 3) -> DataFrame:
+    """The k concepts nearest to each question by vector.  queries(query_id, embedding), concepts(id, label, kind, embedding)."""
+    near = vector_rank(queries, concepts.where("embedding is not null"), k=k)
+    return near.join(concepts.drop("embedding"), "id").select("query_id", "rank", "id", "kind", "label")
+
+
 def recall_and_mrr(ranks: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
     """Share of queries with an expected row in the first k, and the mean reciprocal rank of the first one."""
     hit = expected.join(ranks.where(F.col("rank") <= k), ["query_id", "id"], "left").groupBy("query_id").agg(
@@ -211,7 +246,7 @@ def similar_pairs(phrases: DataFrame, texts: DataFrame, threshold: float, strict
     need = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
     probes = exploded.withColumn("_r", F.row_number().over(rarity)).where(F.col("_r") <= need).where("df is not null").select(
         "p", "g")
-    useful = small_side(probes.select("g").distinct(), 200_000)
+    useful = probes.select("g").distinct()
     pairs = grams.join(useful, "g", "left_semi").join(probes, "g").select("p", "t").distinct()
     met = pairs.join(phrases, "p").join(texts, "t")
     enough = let(trigrams(F.col("phrase")), lambda a: F.size(F.array_intersect(a, trigrams(F.col("text"))))

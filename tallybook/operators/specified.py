@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallybook.functions.numbers import percent_change
-from tallybook.operators.joins import small_side
 from tallybook.operators.lookups import VERSION, movers
 
 BASES = {"adopted": "adopted_2026", "requested": "requested_2027", "actual": "actual_2025"}
@@ -39,7 +38,7 @@ def title_costs(position_lines: DataFrame, stage: str = "proposed_2027", categor
 def per_resident(amounts: DataFrame, population: DataFrame, amount: str, keys: list[str]) -> DataFrame:
     """Dollars per resident, per year and per day; population(version, residents) has one row per version."""
     yearly = F.col(amount).cast("double") / F.col("residents")
-    return amounts.join(small_side(population), VERSION).select(*keys, amount, "residents", yearly.alias("per_resident"),
+    return amounts.join(population, VERSION).select(*keys, amount, "residents", yearly.alias("per_resident"),
                                                                 (yearly / 365).alias("per_resident_day"))
 
 
@@ -47,7 +46,7 @@ def tax_by_department(receipts: DataFrame, departments: DataFrame, keys: list[st
     """The general part of each household's tax spread over departments by their share of spending.  Illustrative: the
     budget does not earmark the general levy."""
     share = F.col("proposed_2027").cast("double") / F.sum("proposed_2027").over(Window.partitionBy(VERSION))
-    shares = small_side(departments.select(VERSION, "slug", share.alias("share")))
+    shares = departments.select(VERSION, "slug", share.alias("share"))
     general = receipts.select(*keys, VERSION, F.inline("split")).where(F.col("section") == section)
     cents = F.floor(F.col("c2027") * F.col("share") + 0.5).cast("long")
     return general.join(shares, VERSION).select(*keys, "slug", cents.alias("c2027"), F.lit(True).alias("illustrative"))

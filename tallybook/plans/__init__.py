@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("lookup_plans", "charge_plans", "running_plans", "grounding_plans", "retrieval_plans", "check_plans", "text_plans", "source_plans", "layout_plans", "specified_plans")
+MODULES = ("lookup_plans", "charge_plans", "running_plans", "grounding_plans", "retrieval_plans", "check_plans", "text_plans", "source_plans", "layout_plans", "specified_plans", "answer_plans")
 
 
 def load_all() -> None:

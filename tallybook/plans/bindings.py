@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallybook.functions.text import zero_pad_account
-from tallybook.operators.joins import range_join
 from tallybook.plans.registry import table
 from tallybook.schema import STAGES
 
@@ -187,9 +186,6 @@ def typed_addresses(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_departments(spark: SparkSession, sf: str) -> DataFrame:
     """A source as a department whose title page is its first document."""
-    return table(spark, sf, "documents").groupBy("source").agg(F.min("doc_id").cast("int").alias("summary_page")).select(
+    return table(spark, sf, "documents").groupBy("source").agg(F.min("doc_id").alias("summary_page")).select(
         F.lit("d").alias("budget_version"), F.col("source").alias("slug"), "summary_page",
-        F.lit(None).cast("int").alias("summary_last_page"))
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["range_join"]
+        F.lit(None).cast("long").alias("summary_last_page"))

@@ -300,16 +300,13 @@ def crosswalk(spark, sf):
 
 
 @query("page_ranges", """with s as (select source, min(doc_id) as first_page from documents group by source),
-r as (select source as slug, first_page, coalesce(lead(first_page) over (order by first_page, source), 1000000000) - 1 as last_page from s)
-select doc_id, slug, cast(first_page as integer) as first_page from documents join r on doc_id between first_page and last_page""")
+r as (select source as slug, first_page, lead(first_page) over (order by first_page, source) - 1 as last_page from s)
+select doc_id, slug, first_page from documents join r on doc_id >= first_page and (last_page is null or doc_id <= last_page)""")
 def page_ranges(spark, sf):
+    """Documents in the range of the source whose first document comes last before them; the last range is open."""
     pages = table(spark, sf, "documents").select("doc_id", F.lit("d").alias("budget_version"))
-    last = 1_000_000_000 - 1
-    ranges = L.page_ranges(B.document_departments(spark, sf), last)
-    # The open last range ends at the last page there is; a range join walks only pages that exist.
-    closed = ranges.withColumn("last_page", F.least("last_page", pages.agg(F.max("doc_id")).scalar()))
-    return range_join(pages, closed, ["budget_version"], "doc_id", "first_page", "last_page").select(
-        "doc_id", "slug", "first_page")
+    ranges = L.page_ranges(B.document_departments(spark, sf), None)
+    return range_join(pages, ranges, ["budget_version"], "doc_id", "first_page", "last_page").select("doc_id", "slug", "first_page")
 
 
 @query("topic_figures", f"""with {DEPT_SUMMARY}, x as (select v, dept, adopted_2026, proposed_2027 from ds where metric = 'total_expenditures'

@@ -179,12 +179,14 @@ def recall_mrr(spark, sf):
     run = lambda t, i, n: F.array_join(F.slice(t, i, n), " ")
     tokens = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     qw = q.select("query_id", F.col("text").alias("passage"), tokens(F.col("text")).alias("w"))
-    qw = qw.withColumn("n", F.least(F.greatest(F.size("w") - 2, F.lit(0)), F.lit(8)))
-    qw = qw.select("query_id", "passage", "n", run(F.col("w"), 2, F.col("n")).alias("key"))
-    # Lengths from nothing to eight words: nine rows at most.
-    lengths = F.broadcast(qw.select("n").distinct())
-    dw = d.select("id", tokens(F.col("text")).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("n")).join(lengths, "n")
-    starts = F.when(F.col("n") == 0, F.array(F.lit(1))).when(F.size("w") >= F.col("n"), F.sequence(F.lit(1), F.size("w") - F.col("n") + 1))
+    # A passage of one or two words has no inner ones and is expected where it stands as whole words.
+    short = F.size("w") <= 2
+    qw = qw.where(F.size("w") > 0).withColumn("n", F.when(short, F.size("w")).otherwise(F.least(F.size("w") - 2, F.lit(8))))
+    qw = qw.select("query_id", "passage", "n", F.when(short, F.array_join("w", " ")).otherwise(run(F.col("w"), 2, F.col("n"))).alias("key"))
+    # The lengths that occur, eight at most, are known before any document is cut.
+    lengths = qw.agg(F.collect_set("n")).scalar()
+    dw = d.select("id", tokens(F.col("text")).alias("w"), F.explode(lengths).alias("n"))
+    starts = F.when(F.size("w") >= F.col("n"), F.sequence(F.lit(1), F.size("w") - F.col("n") + 1))
     shingles = dw.select("id", "n", "w", F.explode(starts).alias("i")).select("id", "n", run(F.col("w"), F.col("i"), F.col("n")).alias("key"))
     pairs = shingles.join(qw, ["n", "key"]).select("query_id", "id", "passage").distinct().join(d.select("id", "text"), "id")
     expected = pairs.where(F.col("text").contains(F.col("passage"))).select("query_id", "id")
@@ -201,6 +203,26 @@ def search_passages(spark, sf):
     return R.search_passages(benchmark_queries(spark, sf), pool, STOP_WORDS).select("query_id", "rank", "id", "context")
 
 
+@query("hybrid_search", rf"""with {TERMS}, e as (select vec_id as id, embedding::double[] as v from embeddings),
+vs as (select q.id as query_id, e.id, row_number() over (partition by q.id order by list_cosine_similarity(e.v, q.v) desc, e.id) as rank
+  from e q join benchmark on item_id = q.id, e join documents on doc_id = e.id),
+f as (select coalesce(k.query_id, v.query_id) as query_id, coalesce(k.id, v.id) as id, coalesce(1.0::double / (60 + k.rank), 0.0) + coalesce(1.0::double / (60 + v.rank), 0.0) as score
+  from (select * from kw where rank <= 20) k full join (select * from vs where rank <= 20) v on k.query_id = v.query_id and k.id = v.id),
+r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from f)
+select query_id, cast(rank as integer) as rank, r.id, score, d.source as context, length({CLEAN.replace('text', 'd.text')}) <= 1200 as whole,
+  case when length({CLEAN.replace('text', 'd.text')}) <= 1200 then {CLEAN.replace('text', 'd.text')} end as text from r join documents d on d.doc_id = r.id where r.rank <= 5""")
+def hybrid_search(spark, sf):
+    """Benchmark texts as questions, with the vector of their number, against documents with the vectors of theirs: keyword and
+    vector lists fused over one id space.  Texts that are not cut are compared whole."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    pool = documents(spark, sf).join(vectors, "id", "left").select("id", "text", F.lit("narrative").alias("kind"), F.lit(None).cast("string").alias("heading"),
+                                                                  F.concat_ws(" — ", F.lit("City"), "source").alias("context_header"), F.lit(1).alias("cite"), "embedding")
+    asked = benchmark_queries(spark, sf).join(vectors.withColumnRenamed("id", "query_id"), "query_id", "left")
+    found = R.search_passages(asked, pool, STOP_WORDS)
+    whole = found.join(documents(spark, sf).select("id", F.length(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("_n")), "id")
+    return whole.select("query_id", "rank", "id", "score", "context", (F.col("_n") <= 1200).alias("whole"), F.when(F.col("_n") <= 1200, F.col("text")).alias("text"))
+
+
 REVIEWED = TERMS.replace("from documents)", "from documents join labels using (doc_id) where quality = 1)")
 
 

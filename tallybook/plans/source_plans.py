@@ -65,15 +65,63 @@ def parent_departments(spark, sf):
 @query("version_replace", f"""with {DEPT_SUMMARY} select v as budget_version, dept, metric,
   case when v = 'F' then proposed_2027 + 1 else proposed_2027 end as proposed_2027 from ds""")
 def version_replace(spark, sf):
-    """Three versions loaded one after the other into the shared folder, then one of them loaded again with other figures."""
+    """All versions loaded in one write, then one of them again with other figures."""
     root = f"{checkpoint_root(spark)}/versions-{uuid.uuid4().hex}"
     rows = B.dept_summary(spark, sf).select("budget_version", "dept", "metric", "proposed_2027")
-    for v in B.versions(spark):
-        S.replace_version(spark, root, v, {"dept_summary": rows})
+    S.replace_versions(spark, root, {"dept_summary": rows})
     S.replace_version(spark, root, "F", {"dept_summary": rows.withColumn("proposed_2027", F.col("proposed_2027") + 1)})
     return S.read_version(spark, root, "dept_summary").select("budget_version", "dept", "metric", "proposed_2027")
 
 
+@query("snapshot_replace", """select c_custkey, c_name, '2026-09-24' as budget_version from customer
+union all select c_custkey, c_name, '2026-09-23' from customer where c_custkey % 2 = 0""")
+def snapshot_replace(spark, sf):
+    """A snapshot of the even customers, one whose row count is wrong and is not switched to, and one of all."""
+    root = f"{checkpoint_root(spark)}/snapshots-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name")
+    even = rows.where(F.col("c_custkey") % 2 == 0)
+    S.replace_snapshot(spark, root, "2026-09-23", even, even.count())
+    try:
+        S.replace_snapshot(spark, root, "2026-09-23", rows, even.count())
+    except ValueError:
+        pass
+    S.replace_snapshot(spark, root, "2026-09-24", rows, rows.count())
+    return S.read_version(spark, root, "parcels")
+
+
+@query("table_round_trip", """select 'parquet' as form, o_orderkey as key, cast(floor(o_totalprice * 100 + 0.5) as bigint) as value from orders
+union all select 'lines', o_orderkey, cast(floor(o_totalprice * 100 + 0.5) as bigint) from orders
+union all select 'document', c_custkey, cast(c_nationkey as bigint) from customer""")
+def table_round_trip(spark, sf):
+    """Orders as revenues written with declared types as parquet and as JSON lines, customers as JSON documents of 512 at most,
+    read back."""
+    root = f"{checkpoint_root(spark)}/forms-{uuid.uuid4().hex}"
+    o = table(spark, sf, "orders")
+    rows = o.select(F.lit("F").alias("budget_version"), F.lit("summary").alias("source"), F.col("o_orderkey").cast("string").alias("line"), B.cents("o_totalprice").alias("proposed_2027"))
+    T.write_table(rows, f"{root}/revenues", "revenues", ["budget_version"])
+    T.write_lines(T.conform(rows, "revenues"), f"{root}/lines")
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    packs = c.groupBy(F.floor(F.col("c_custkey") / 512).alias("pack")).agg(F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("id"), F.array("c_nationkey").alias("refs"))).alias("rows"))
+    packs.select("pack", F.to_json("rows").alias("value")).write.partitionBy("pack").text(f"{root}/documents")
+    pick = lambda df, form: df.select(F.lit(form).alias("form"), F.col("line").cast("long").alias("key"), F.col("proposed_2027").alias("value"))
+    docs = T.read_document(spark, f"{root}/documents", "id string, refs array<bigint>").select(F.lit("document").alias("form"), F.col("id").cast("long").alias("key"), F.get("refs", F.lit(0)).alias("value"))
+    return pick(T.read_table(spark, f"{root}/revenues", "revenues"), "parquet").unionByName(pick(T.read_lines(spark, f"{root}/lines", "revenues"), "lines")).unionByName(docs)
+
+
+@query("property_csv", """select lpad(c_custkey::varchar, 10, '0') as taxkey, case when c_acctbal > 0 then cast(floor(c_acctbal * 100 + 0.5) as bigint) end as c_a_total, cast(c_custkey % 7 as integer) as nr_units,
+  case when c_nationkey > 11 then 'O' end as own_ocpd from customer""")
+def property_csv(spark, sf):
+    """Customers written as the property file, a text column each with blanks around and owners' names in it, and read back."""
+    from tallybook import fixed_values as V
+
+    path = f"{checkpoint_root(spark)}/csv-{uuid.uuid4().hex}"
+    p = B.parcels(spark, sf)
+    given = {"TAXKEY": F.col("taxkey"), "C_A_TOTAL": F.col("c_a_total").cast("string"), "NR_UNITS": F.col("nr_units").cast("string"), "OWN_OCPD": F.col("own_ocpd"), "YR_ASSMT": F.col("yr_assmt")}
+    p.select(*[F.concat(F.lit(" "), F.coalesce(given.get(k, F.lit("")), F.lit("")), F.lit(" ")).alias(k) for k in V.PARCEL_KEEP], F.lit("A Person").alias("OWNER_NAME_1")).write.option(
+        "header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return T.read_property_csv(spark, path, "2026-09-24").select("taxkey", "c_a_total", "nr_units", "own_ocpd")
+
+
 def requests(spark, sf):
     return table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
 

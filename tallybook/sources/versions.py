@@ -1,82 +1,48 @@
-"""Replacing one version of the tables, all or nothing, on plain parquet.
+"""Replacing versions of the tables on plain parquet: staged first, checked, then written over the old partitions.
 
-A load writes every table of a version under a run of its own and then adds one numbered manifest file.  Readers follow
-the newest manifest, so they see the old run until the new one is complete; a failed load leaves only unread files.
-The manifest is created exclusively: of two loads that race for the same number, one fails.
+A table is one folder partitioned by version.  A load writes all its versions in one job into a staging folder, compares the
+rows with what was expected, and only then overwrites the partitions it brings, in one dynamic partition overwrite a table;
+Spark commits each of them when all its files are there.  A failed load leaves the tables as they were.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 KEY = "budget_version"
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-
-def _manifests(spark: SparkSession, root: str) -> list[str]:
-    fs, path = _fs(spark, root)
-    folder = path(f"{root}/manifest")
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return sorted(n for n in names if n.endswith(".json"))
-
-
-def current(spark: SparkSession, root: str) -> dict[str, str]:
-    """version -> run of the newest manifest."""
-    names = _manifests(spark, root)
-    if not names:
-        return {}
-    row = spark.read.text(f"{root}/manifest/{names[-1]}", wholetext=True).first()
-    return json.loads(row["value"])
-
-
-def _publish(spark: SparkSession, root: str, runs: dict[str, str]) -> None:
-    names = _manifests(spark, root)
-    number = int(names[-1].split(".")[0]) + 1 if names else 1
-    fs, path = _fs(spark, root)
-    out = fs.create(path(f"{root}/manifest/{number:09d}.json"), False)
-    try:
-        out.write(bytearray(json.dumps(runs), "utf-8"))
-    finally:
-        out.close()
-
-
-def replace_version(spark: SparkSession, root: str, version: str, tables: dict[str, DataFrame],
-                    expected: dict[str, int] | None = None) -> dict[str, int]:
-    """Write every table of one version and switch to them together.  Returns rows per table, counted while writing; a
-    count that differs from the expected one stops the load before the switch."""
-    run, counts = uuid.uuid4().hex, {}
+def replace_versions(spark: SparkSession, root: str, tables: dict[str, DataFrame], expected: dict[tuple[str, str], int] | None = None) -> dict[tuple[str, str], int]:
+    """Write every version that the tables hold and switch to them.  Returns rows by (table, version); a count that differs
+    from the expected one stops the load before any table is switched."""
+    stage, counts, staged = f"{root}/staged/{uuid.uuid4().hex}", {}, {}
     for name, df in tables.items():
-        seen = Observation()
-        rows = df.where(F.col(KEY) == version).drop(KEY).observe(seen, F.count(F.lit(1)).alias("rows"))
-        rows.write.mode("errorifexists").parquet(f"{root}/data/{name}/{KEY}={version}/run={run}")
-        counts[name] = seen.get["rows"]
-    for name, want in (expected or {}).items():
-        if counts.get(name) != want:
-            raise ValueError(f"{name}: wrote {counts.get(name)} rows, expected {want}; the version was not switched")
-    _publish(spark, root, {**current(spark, root), version: run})
+        rows = df.withColumn(KEY, F.col(KEY).cast("string"))
+        rows.write.mode("errorifexists").parquet(f"{stage}/{name}")
+        staged[name] = spark.read.schema(rows.schema).parquet(f"{stage}/{name}")
+        counts |= {(name, r[KEY]): r["n"] for r in staged[name].groupBy(KEY).agg(F.count("*").alias("n")).collect()}  # one row per version
+    for (name, version), want in (expected or {}).items():
+        if counts.get((name, version), 0) != want:
+            raise ValueError(f"{name}: wrote {counts.get((name, version), 0)} rows of {version}, expected {want}; the version was not switched")
+    for name, df in staged.items():
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(KEY).parquet(f"{root}/data/{name}")
     return counts
 
 
+def replace_version(spark: SparkSession, root: str, version: str, tables: dict[str, DataFrame], expected: dict[str, int] | None = None) -> dict[str, int]:
+    """One version of tables that may hold more."""
+    rows = {name: df.where(F.col(KEY) == version) for name, df in tables.items()}
+    counts = replace_versions(spark, root, rows, {(name, version): n for name, n in (expected or {}).items()})
+    return {name: counts.get((name, version), 0) for name in tables}
+
+
 def read_version(spark: SparkSession, root: str, table: str, version: str | None = None) -> DataFrame:
-    """A table over all current versions, or one.  The version is a partition column: a filter on it prunes files."""
-    runs = current(spark, root)
-    if version is not None:
-        runs = {version: runs[version]}
-    if not runs:
-        raise ValueError(f"nothing loaded under {root}")
-    base = f"{root}/data/{table}"
-    paths = [f"{base}/{KEY}={v}/run={r}" for v, r in sorted(runs.items())]
-    return spark.read.option("basePath", base).parquet(*paths).withColumn(KEY, F.col(KEY).cast("string")).drop("run")
+    """A table over all versions, or one: a filter on the version prunes folders."""
+    rows = spark.read.parquet(f"{root}/data/{table}")
+    rows = rows.withColumn(KEY, F.col(KEY).cast("string"))
+    return rows if version is None else rows.where(F.col(KEY) == version)
 
 
 def replace_snapshot(spark: SparkSession, root: str, snapshot_date: str, parcels: DataFrame, meta_rows: int) -> int:
