@@ -147,15 +147,19 @@ def line_text(lined: DataFrame, page: list[str] | None = None) -> DataFrame:
 
 def merge_split_numbers(words: DataFrame, row: list[str], max_gap: float = 1.5,
                         pattern: str = r"^[\d,().-]+$") -> DataFrame:
-    """Rejoin numbers cut mid-value: numeric fragments less than max_gap apart on the same row."""
+    """Rejoin numbers cut mid-value: numeric fragments less than max_gap apart on the same row.  Only fragments are gathered; all
+    other words pass as they are."""
     order = Window.partitionBy(*row).orderBy("x0", "x1")
     frag = F.col("text").rlike(pattern)
-    glued = frag & F.lag(frag).over(order) & (F.col("x0") - F.lag("x1").over(order) < max_gap)
-    islands = running_count(words.withColumn("_new", ~F.coalesce(glued, F.lit(False))), row, ["x0", "x1"],
-                            F.col("_new"), "_island")
-    return islands.groupBy(*row, "_island").agg(
+    marked = words.withColumn("_frag", frag)
+    marked = marked.withColumn("_glued", F.coalesce(F.col("_frag") & F.lag("_frag").over(order) & (F.col("x0") - F.lag("x1").over(order) < max_gap), F.lit(False)))
+    marked = materialize(marked.select(*row, "text", "x0", "x1", "_glued", F.coalesce(F.lead("_glued").over(order), F.lit(False)).alias("_goes_on")))
+    alone = ~F.col("_glued") & ~F.col("_goes_on")
+    islands = running_count(marked.where(~alone), row, ["x0", "x1"], ~F.col("_glued"), "_island")
+    joined = islands.groupBy(*row, "_island").agg(
         text_of(F.collect_list(F.struct("x0", "x1", "text")), "").alias("text"), F.min("x0").alias("x0"),
         F.max_by("x1", F.struct("x0", "x1")).alias("x1")).drop("_island")
+    return marked.where(alone).select(*row, "text", "x0", "x1").unionByName(joined)
 
 
 def words_from_glyphs(glyphs: DataFrame, page: list[str] | None = None, gap: float = 1.0, line_tol: float = 2.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,10 +30,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir or the session's checkpoint directory names.  A session that names none, as
-    in tests, gets one of its own."""
+    """The shared folder that spark.checkpoint.dir or the session's checkpoint directory names.  Only a local session that names
+    none, as in tests, gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         named = spark.sparkContext.getCheckpointDir()
     return named

@@ -8,6 +8,8 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
+#: What SQL cannot express; each has tests of its own against plain versions.
+WITHOUT_SQL = {"op1_toxicity", "op2_ngram_join", "op3_secrets", "op5_quality", "op6_pii", "op7_chat", "op10_decontamination", "op12_whitening", "pipeline"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +22,7 @@ def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        assert df.count() > 0
+        assert name in WITHOUT_SQL and df.count() > 0
         return
     assert oracle_check.compare(df, duck, sql) == []
 
