@@ -51,8 +51,10 @@ def any_words(query: Column) -> Column:
 
 
 def light_stem(token: Column) -> Column:
-    """Plural, -ing and -ed endings removed.  Spark ships no Snowball stemmer; this rule is ours."""
-    return F.regexp_replace(F.regexp_replace(token, r"(?<=[a-z]{3})(ies)$", "y"), r"(?<=[a-z]{3})(ing|ed|es|s)$", "")
+    """Plural, -ing and -ed endings removed.  Spark ships no Snowball stemmer; this rule is ours.  Most words have another last
+    letter and meet no pattern."""
+    short = F.regexp_replace(F.regexp_replace(token, r"(?<=[a-z]{3})(ies)$", "y"), r"(?<=[a-z]{3})(ing|ed|es|s)$", "")
+    return F.when(F.right(token, F.lit(1)).isin("s", "g", "d"), short).otherwise(token)
 
 
 def search_terms(text: Column, stop_words: list[str]) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tallybook import fixed_values as V
 from tallybook.functions import address as A, text as X
 from tallybook.functions.trigrams import let, ordered_trigrams, run_similarity, trigrams
+from tallybook.operators.postings import shard_ranks
 from tallybook.operators.running import keep_within_budget
 
 RRF_K = 60
@@ -42,15 +43,12 @@ def query_terms(queries: DataFrame, stop_words: list[str], text: str = "text") -
 
 def keyword_rank(queries: DataFrame, passages: DataFrame, stop_words: list[str], k: int = LIST_SIZE, text: str = "text",
                  passage_id: str = "id") -> DataFrame:
-    """Passages that hold any query word, by how often they hold them.  Words outside the queries never shuffle, and a
-    passage's words are counted before they meet the queries."""
-    wanted = query_terms(queries, stop_words)
-    vocabulary = wanted.select("term").distinct()
+    """Passages that hold any query word, by how often they hold them.  Words outside the queries never shuffle, and a shard of
+    passages passes on its k best rows of a query."""
     tokens = passages.select(F.col(passage_id).alias("id"), F.explode(X.words(F.col(text))).alias("w"))
     terms = tokens.where(~F.col("w").isin(stop_words)).select("id", X.light_stem(F.col("w")).alias("term"))
-    counts = terms.join(vocabulary, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("n"))
-    scored = counts.join(wanted, "term").groupBy("query_id", "id").agg(F.sum("n").alias("score"))
-    return ranked(scored, ["query_id"], [F.col("score").desc(), "id"], k)
+    near = shard_ranks(query_terms(queries, stop_words), terms, k, passages.count(), queries.count())
+    return ranked(near, ["query_id"], [F.col("score").desc(), "id"], k)
 
 
 # --- Vector rank -----------------------------------------------------------------------------------------------------------
@@ -202,9 +200,8 @@ def find_facts_by_key(asked: DataFrame, pool: DataFrame, stop_words: list[str],
     facts = pool.where(F.col("reviewed_by").isNotNull())
     body = facts.select("id", "budget_version", F.explode(X.words(F.concat_ws(" ", F.replace("topic", F.lit("_"), F.lit(" ")), "statement"))).alias("w"))
     terms = body.where(~F.col("w").isin(stop_words)).select("id", tagged("budget_version", X.light_stem(F.col("w"))).alias("term"))
-    counts = terms.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("n"))
-    scored = counts.join(wanted, "term").groupBy("query_id", "slug", "id").agg(F.sum("n").alias("score"))
-    top = ranked(scored, ["query_id"], [F.col("score").desc(), "id"], limit)
+    top = ranked(shard_ranks(wanted.select("query_id", "term"), terms, limit, facts.count(), asked.count()), ["query_id"], [F.col("score").desc(), "id"], limit)
+    top = top.join(asked.select("query_id", "slug"), "query_id")
     return top.drop("score", "query_id").join(facts, "id")
 
 
