@@ -147,9 +147,10 @@ def admission_stream(spark, sf):
     schema = table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     asked = events.select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    run = R.admission_stream(asked, LIMIT, WINDOW).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option(
-        "path", f"{root}/out").trigger(availableNow=True).start()
-    run.awaitTermination()
+    with R.rocksdb_state(spark):
+        run = R.admission_stream(asked, LIMIT, WINDOW).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option(
+            "path", f"{root}/out").trigger(availableNow=True).start()
+        run.awaitTermination()
     return spark.read.schema(R.ADMITTED).parquet(f"{root}/out").select("key", "event_id", "allowed")
 
 

@@ -8,81 +8,161 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallybook import fixed_values as V
 from tallybook.functions.dates import local_day
-from tallybook.operators.running import previous, running_count
+from tallybook.operators.chains import whole_groups
+from tallybook.operators.running import previous, running_sums
+from tallybook.session import materialize
 
+BLOCK = 65_536
 ADMITTED = "key string, event_id long, ts timestamp, allowed boolean"
 
 
-def _admit(times: list[int], recent: deque, limit: int, window_us: int) -> list[bool]:
-    """times in order, microseconds.  recent holds the admitted times still inside the window; rejected ones leave no trace."""
-    out = []
-    for t in times:
-        while recent and t - recent[0] >= window_us:
-            recent.popleft()
-        ok = len(recent) < limit
-        if ok:
-            recent.append(t)
-        out.append(ok)
+def _admit(times: np.ndarray, limit: int, window_us: int) -> np.ndarray:
+    """times in order, microseconds.  A request is admitted unless the limit-th admitted one before it is less than a window old;
+    what lies in between is passed over in one step, and rejected requests leave no trace."""
+    out, recent, i = np.zeros(len(times), dtype=bool), deque(maxlen=limit), 0
+    while i < len(times):
+        if len(recent) == limit and times[i] - recent[0] < window_us:
+            i = int(np.searchsorted(times, recent[0] + window_us))
+            continue
+        out[i] = True
+        recent.append(int(times[i]))
+        i += 1
     return out
 
 
-def admission(requests: DataFrame, limit: int, window_seconds: int) -> DataFrame:
+def _judged(times: np.ndarray, group: np.ndarray, limit: int, window_us: int) -> np.ndarray:
+    """Whole groups of rows, in order, at once.  A group without `limit` + 1 requests inside a window is admitted without a look
+    at its rows."""
+    if limit == 0:
+        return np.zeros(len(times), dtype=bool)
+    out, dense = np.ones(len(times), dtype=bool), np.zeros(len(times), dtype=bool)
+    dense[limit:] = (group[limit:] == group[:-limit]) & (times[limit:] - times[:-limit] < window_us)
+    for g in np.unique(group[dense]):
+        a, b = np.searchsorted(group, [g, g + 1])
+        out[a:b] = _admit(times[a:b], limit, window_us)
+    return out
+
+
+def admission(requests: DataFrame, limit: int, window_seconds: int, block: int = BLOCK) -> DataFrame:
     """requests(key, event_id, ts): was each request under the limit, counting only admitted ones in the window?
 
-    A pause of a whole window forgets everything, so a key's requests are cut there and each stretch is judged on its own,
-    in order, with at most `limit` times in memory.  Rows are read from sorted partitions, never gathered."""
-    order, bucket = ["ts", "event_id"], ["_bucket"]
-    rows = requests.withColumn("_bucket", F.to_date("ts"))
+    A pause of a whole window forgets everything, so a key's requests are cut there.  A longer stretch is cut into blocks of
+    `block` requests, all judged at once: first as if nothing had been admitted before, then again where the admitted requests
+    that a block starts from turn out to be others, until none changes.  The first block is right from the start and each round
+    makes one more right at least.  A task holds one block and `limit` times.  Keys are not NULL."""
+    order, bucket, window_us = ["ts", "event_id"], ["_bucket"], window_seconds * 1_000_000
+    rows = requests.select("key", "event_id", "ts").withColumn("_bucket", F.to_date("ts"))
     rows = previous(rows, ["key"], order, F.col("ts"), "_before", bucket)
     us = lambda c: F.unix_micros(c)
-    pause = F.coalesce(us(F.col("ts")) - us(F.col("_before")) >= window_seconds * 1_000_000, F.lit(True))
-    cut = running_count(rows, ["key"], order, pause, "_stretch", bucket)
-    placed = cut.select("key", "event_id", "ts", "_stretch").repartition("key", "_stretch").sortWithinPartitions(
-        "key", "_stretch", *order)
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stretch, recent = None, deque()
-        for batch in batches:
-            micros = batch["ts"].astype("int64").to_numpy() // (1000 if str(batch["ts"].dtype) == "datetime64[ns]" else 1)
-            allowed = []
-            for key, n, t in zip(batch["key"], batch["_stretch"], micros):
-                if (key, n) != stretch:
-                    stretch, recent = (key, n), deque()
-                allowed += _admit([int(t)], recent, limit, window_seconds * 1_000_000)
-            yield batch[["key", "event_id", "ts"]].assign(allowed=allowed)
-
-    return placed.mapInPandas(judge, ADMITTED)
+    pause = F.coalesce(us(F.col("ts")) - us(F.col("_before")) >= window_us, F.lit(True))
+    cut = running_sums(rows.withColumn("_pause", pause), ["key"], order, {"_stretch": F.when(F.col("_pause"), 1), "_n": F.lit(1)}, bucket)
+    place = F.col("_n") - 1
+    keys = ["key", "_stretch", "_block"]
+    placed = materialize(cut.select("key", "_stretch", F.floor(place / block).alias("_block"), "event_id", "ts", us(F.col("ts")).alias("us"),
+                                    F.lit(False).alias("given"), ((place % block == 0) & ~F.col("_pause")).alias("_goes_on")))
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
+    names = ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    def sorted_rows(some: DataFrame, entries: DataFrame | None) -> DataFrame:
+        """The rows of blocks behind the admitted requests that they start from."""
+        if entries is not None:
+            held = entries.select(*keys, F.explode("entry").alias("us"))
+            some = some.unionByName(held.withColumns({"event_id": F.lit(None).cast(kinds["event_id"]), "ts": F.timestamp_micros("us"), "given": F.lit(True)}))
+        return some.repartition(*keys).sortWithinPartitions(*keys, "us", F.col("given").desc(), "event_id")
+
+    def leaves(pdf: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        """The admitted requests inside the window at the end of each block: the next one starts from them."""
+        times = pdf["us"].to_numpy()
+        allowed = _judged(times, group, limit, window_us)
+        ends = np.flatnonzero(np.r_[group[1:] != group[:-1], True])
+        begins = np.r_[0, ends[:-1] + 1]
+        held = [times[a:b + 1][allowed[a:b + 1]][-limit:] for a, b in zip(begins, ends)] if limit else [times[:0]] * len(ends)
+        out = pdf.loc[ends, keys].assign(entry=[h[times[b] - h < window_us] for h, b in zip(held, ends)])
+        return out.assign(_block=out["_block"] + 1)
+
+    def judge(pdf: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        return pdf.assign(allowed=_judged(pdf["us"].to_numpy(), group, limit, window_us)).loc[~pdf["given"].to_numpy(), ["key", "event_id", "ts", "allowed"]]
+
+    def left_by(some: DataFrame, entries: DataFrame | None) -> DataFrame:
+        return materialize(sorted_rows(some, entries).mapInPandas(lambda b: whole_groups(b, keys, leaves), f"{names}, entry array<bigint>"))
+
+    entries, more = None, placed.where("_goes_on").select(*keys)
+    placed = placed.drop("_goes_on")
+    if not more.isEmpty():
+        # the blocks that another one follows
+        led = placed.join(more.withColumn("_block", F.col("_block") - 1), keys, "left_semi")
+        known = entries = left_by(led, None)
+        changed = known.where(F.size("entry") > 0)
+        while not changed.isEmpty():
+            again = left_by(led.join(changed, keys, "left_semi"), changed)
+            old = known.withColumnRenamed("entry", "_old")
+            turned = again.join(old, keys).where(F.col("entry") != F.col("_old")).drop("_old")
+            known = materialize(known.join(turned.select(*keys), keys, "left_anti").unionByName(turned))
+            changed = known.join(turned.select(*keys), keys, "left_semi")
+        entries = known
+    return sorted_rows(placed, entries).mapInPandas(lambda b: whole_groups(b, keys, judge), ADMITTED)
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB; the session's own setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class Admission(StatefulProcessor):
+    """A key's admitted times inside the window, as a list; a timer drops them a window after the last of them."""
+
+    def __init__(self, limit: int, window_seconds: int):
+        self.limit, self.window_us = limit, window_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recent = handle.getListState("recent", "ts long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # The requests of one key in one micro-batch; the source's rate limit bounds them.
+        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        before = np.array([t[0] for t in self.recent.get()] if self.recent.exists() else [], dtype="int64")
+        times = np.r_[before, batch["us"].to_numpy()]
+        allowed = _judged(times, np.zeros(len(times), dtype="int64"), self.limit, self.window_us)
+        allowed[:len(before)] = True
+        kept = times[allowed][-self.limit:] if self.limit else times[:0]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if len(kept):
+            self.recent.put([(int(t),) for t in kept])
+            self.handle.registerTimer(max(int(kept[-1] + self.window_us) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({"key": key[0], "event_id": batch["event_id"], "ts": batch["ts"], "allowed": allowed[len(before):]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.recent.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
 def admission_stream(requests: DataFrame, limit: int, window_seconds: int, watermark: str = "1 hour") -> DataFrame:
-    """The same rule on a stream.  State per key: the admitted times inside the window, dropped when the watermark passes
-    the last of them by a window."""
-    window_us = window_seconds * 1_000_000
-
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # One micro-batch of one key; its size is set by the source's rate limit.
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        micros = rows["ts"].astype("datetime64[us]").astype("int64").tolist()
-        recent = deque(state.get[0] if state.exists else [])
-        allowed = _admit(micros, recent, limit, window_us)
-        state.update((list(recent),))
-        if recent:
-            due = recent[-1] // 1000 + window_seconds * 1000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "allowed": allowed})
-
-    return requests.withWatermark("ts", watermark).groupBy("key").applyInPandasWithState(
-        judge, ADMITTED, "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    """The same rule on a stream.  State per key: the admitted times inside the window, dropped when the watermark passes the last
+    of them by a window.  Start it inside rocksdb_state, which sets the state store that lists and timers need."""
+    return requests.withWatermark("ts", watermark).withColumn("us", F.unix_micros("ts")).groupBy("key").transformWithStateInPandas(
+        Admission(limit, window_seconds), ADMITTED, "append", "eventTime")
 
 
 def daily_cap(requests: DataFrame, limit: int, zone: str = V.LOCAL_ZONE) -> DataFrame:

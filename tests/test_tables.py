@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,13 +56,41 @@ def test_admission_ignores_rejected_requests(spark):
     assert got == [True, True, False, False, True, True, False]
 
 
+def _by_turns(times, limit, window):
+    """The rule row by row."""
+    recent, out = [], []
+    for t in times:
+        recent = [r for r in recent if t - r < window]
+        out.append(len(recent) < limit)
+        recent += [t] * out[-1]
+    return out
+
+
+@pytest.mark.parametrize("limit,window,block", [(0, 60, 64), (1, 60, 64), (5, 40, 33), (2, 300, 1000)])
+def test_admission_over_blocks(spark, limit, window, block):
+    """One visitor without a pause over many blocks, among small ones; equal times, and a session far from UTC."""
+    rng = np.random.default_rng(limit + block)
+    seconds = {"busy": np.sort(rng.integers(0, 3000, 500)), "one": np.array([5]), "two": np.array([7, 7, 7, 4000])}
+    rows = [(k, i * 10 + j, int(t)) for j, (k, ts) in enumerate(seconds.items()) for i, t in enumerate(ts)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Chicago")
+    try:
+        df = spark.createDataFrame(rows, "key string, event_id long, s long").select("key", "event_id", F.timestamp_seconds(F.col("s") + 1793516400).alias("ts"))
+        got = {(r["key"], r["event_id"]): r["allowed"] for r in Q.admission(df, limit, window, block).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    want = {(k, i * 10 + j): a for j, (k, ts) in enumerate(seconds.items()) for i, a in enumerate(_by_turns(ts.tolist(), limit, window))}
+    assert got == want
+
+
 def _streamed(spark, tmp_path, df, build, columns):
     for i, part in enumerate(df):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(df[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = build(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option(
-        "path", str(tmp_path / "out")).trigger(availableNow=True).start()
-    run.awaitTermination()
+    with Q.rocksdb_state(spark):
+        run = build(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option(
+            "path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        run.awaitTermination()
     return spark.read.parquet(str(tmp_path / "out")).select(*columns)
 
 
