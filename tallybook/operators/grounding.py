@@ -17,14 +17,33 @@ _STATED = (r"((?i:over\s{0,10}|more than\s{0,5}|above\s{0,9}|nearly\s{0,8}|almos
 
 
 def stated_figures(text: Column) -> Column:
-    """array<struct<figure, bound>>: dollar amounts and percentages with the bound word before them, if any."""
+    """array<struct<figure, bound, value, step, scale, unit>>: dollar amounts and percentages with the bound word before them, if any,
+    the number as stated, its last stated place, and what its unit multiplies by.  All figures of a text are read in one pass."""
     clean = F.regexp_replace(text, V.RATE_UNIT, "")
-    pattern = F.lit(_STATED)
-    words = F.regexp_extract_all(clean, pattern, F.lit(1))
-    found = F.regexp_extract_all(clean, pattern, F.lit(2))
-    bound = lambda w: (F.when(F.lower(F.trim(w)).isin("over", "more than", "above"), "over")
-                       .when(F.trim(w) != "", "under"))
-    return F.zip_with(found, words, lambda f, w: F.struct(f.alias("figure"), bound(w).alias("bound")))
+    found = let(clean, lambda c: F.struct(F.regexp_extract_all(c, F.lit(_STATED), F.lit(2)).alias("figures"),
+                                          F.regexp_extract_all(c, F.lit(_STATED), F.lit(1)).alias("words")))
+    shape = F.lit(r"([\d.]+)(%| million| billion|[MBK])?(?:\||$)")
+
+    def bare(figures: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.array_join(figures, "|"), r"\s+", " "), "[$,]", "")
+
+    def read(g: Column, numbers: Column, units: Column) -> Column:
+        def figure(f: Column, i: Column) -> Column:
+            word, number, unit = F.lower(F.trim(F.get(g["words"], i))), F.get(numbers, i), F.trim(F.get(units, i))
+            point = F.instr(number, ".")
+            return F.struct(
+                f.alias("figure"), F.when(word.isin("over", "more than", "above"), "over").when(word != "", "under").alias("bound"),
+                number.try_cast("double").alias("value"), F.pow(F.lit(10.0), F.when(point > 0, point - F.length(number)).otherwise(0)).alias("step"),
+                F.when(unit.isin("billion", "B"), 1e9).when(unit.isin("million", "M"), 1e6).when(unit == "K", 1e3).otherwise(1.0).alias("scale"),
+                unit.alias("unit"))
+
+        return F.transform(g["figures"], figure)
+
+    def parts(g: Column) -> Column:
+        split = let(bare(g["figures"]), lambda b: F.struct(F.regexp_extract_all(b, shape, F.lit(1)).alias("n"), F.regexp_extract_all(b, shape, F.lit(2)).alias("u")))
+        return let(split, lambda h: read(g, h["n"], h["u"]))
+
+    return let(found, parts)
 
 
 def evidence_text(tool_data: Column, earlier_data: Column, question: Column, before: Column) -> Column:
@@ -36,46 +55,35 @@ def evidence_text(tool_data: Column, earlier_data: Column, question: Column, bef
 
 def evidence_numbers(text: Column) -> Column:
     """Numbers read whole; 'x million' and 'x billion' at full size."""
-    plain = F.regexp_replace(text, r"(\d),(?=\d{3})", "$1")
     pattern = F.lit(r"(?i)(\d+(?:\.\d+)?)(?:\s*(million|billion))?")
-    units = F.regexp_extract_all(plain, pattern, F.lit(2))
     scale = lambda u: F.when(F.lower(u) == "million", 1e6).when(F.lower(u) == "billion", 1e9).otherwise(1.0)
-    return F.zip_with(F.regexp_extract_all(plain, pattern, F.lit(1)), units,
-                      lambda n, u: n.try_cast("double") * scale(u))
+    return let(F.regexp_replace(text, r"(\d),(?=\d{3})", "$1"), lambda plain: F.zip_with(
+        F.regexp_extract_all(plain, pattern, F.lit(1)), F.regexp_extract_all(plain, pattern, F.lit(2)), lambda n, u: n.try_cast("double") * scale(u)))
 
 
-def rounds_from(numbers: Column, figure: Column, bound: Column) -> Column:
-    """Does a number round to the figure at the precision it was stated?  Dollars may be stored as dollars or cents,
+def rounds_to(p: Column, n: Column) -> Column:
+    """Does the number n round to the stated figure p at the precision it was stated?  Dollars may be stored as dollars or cents,
     percentages as 8.9 or 0.089; a year is never read as cents; a bound word widens the match one step its way."""
-    bare = F.regexp_replace(F.regexp_replace(figure, r"\s+", " "), r"[$,]", "")
-    shape = r"^([\d.]+)(%| million| billion|[MBK])?$"
-    number, unit = F.regexp_extract(bare, shape, 1), F.trim(F.regexp_extract(bare, shape, 2))
-    value = number.try_cast("double")
-    step = F.pow(F.lit(10.0), -F.length(F.regexp_extract(number, r"\.(\d+)", 1)))
-    scale = (F.when(unit.isin("billion", "B"), 1e9).when(unit.isin("million", "M"), 1e6).when(unit == "K", 1e3)
-             .otherwise(1.0))
-
-    def same(p: Column, n: Column) -> Column:
-        return (F.when(bound == "over", (n >= p["value"]) & (n < p["value"] + p["step"]))
-                .when(bound == "under", (n <= p["value"]) & (n > p["value"] - p["step"]))
+    def same(n: Column) -> Column:
+        return (F.when(p["bound"] == "over", (n >= p["value"]) & (n < p["value"] + p["step"]))
+                .when(p["bound"] == "under", (n <= p["value"]) & (n > p["value"] - p["step"]))
                 .otherwise(F.abs(n - p["value"]) <= p["step"] / 2 + 1e-9))
 
-    def hit(p: Column, n: Column) -> Column:
-        year = (n == F.floor(n)) & n.between(1990, 2040)
-        return same(p, n / p["scale"]) | ((p["scale"] == 1.0) & ~year & same(p, n / 100)) | (
-            (p["unit"] == "%") & same(p, n * 100))
-
-    parsed = F.struct(value.alias("value"), step.alias("step"), scale.alias("scale"), unit.alias("unit"))
-    return let(parsed, lambda p: F.when(p["value"].isNull(), F.lit(False)).otherwise(F.exists(numbers, partial(hit, p))))
+    year = (n == F.floor(n)) & n.between(1990, 2040)
+    return same(n / p["scale"]) | ((p["scale"] == 1.0) & ~year & same(n / 100)) | ((p["unit"] == "%") & same(n * 100))
 
 
 def unsupported_figures(answers: DataFrame) -> DataFrame:
-    """answers with 'unsupported': figures of the text found neither in lookups, earlier lookups, nor questions."""
+    """answers with 'unsupported': figures of the text found neither in lookups, earlier lookups, nor questions.  Text and evidence
+    are read once an answer."""
     evidence = evidence_text(F.col("tool_data"), F.col("earlier_data"), F.col("q"), F.col("before"))
-    staged = answers.withColumns({"_numbers": evidence_numbers(evidence), "_said": stated_figures(F.col("text"))})
-    missing = F.filter("_said", lambda s: ~rounds_from(F.col("_numbers"), s["figure"], s["bound"]))
-    return staged.withColumn("unsupported", F.array_distinct(F.transform(missing, lambda s: s["figure"]))).drop(
-        "_numbers", "_said")
+    both = F.struct(stated_figures(F.col("text")).alias("said"), F.array_distinct(let(evidence, evidence_numbers)).alias("numbers"))
+
+    def missing(g: Column) -> Column:
+        from_data = lambda p: F.coalesce(F.exists(g["numbers"], partial(rounds_to, p)), F.lit(False))
+        return F.array_distinct(F.transform(F.filter(g["said"], lambda p: ~from_data(p)), lambda p: p["figure"]))
+
+    return answers.withColumn("unsupported", let(both, missing))
 
 
 def has_figure(haystack: Column, figure: Column) -> Column:

@@ -27,6 +27,8 @@ CASES = [
     (Q, "Water Works is over $33 million.", '{"a":32675272}', "", ["$33 million"]),
     (Q, "Proposed: $7.16 million.", '{"a":7165000}', "", []),
     (Q, "Proposed: $7.15 million.", '{"a":7165000}', "", ["$7.15 million"]),
+    (Q, "$5\nmillion of $6K, 2\tbillion, $3B and more than $1.5M.", '{"a":5000000,"b":6100,"c":1990000000}', "", ["$3B", "$1.5M"]),
+    (Q, "No figures.", "", None, []),
 ]
 
 
