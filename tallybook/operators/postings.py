@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
+
+from tallybook.operators.blocks import block_count, meet
 
 SHARD_PASSAGES = 4096
 BLOCK_QUERIES = 4096
@@ -49,22 +51,13 @@ class Lists:
         return held, scores[held]
 
 
-def _blocks(rows: int, size: int) -> int:
-    """Blocks that keys are dealt to by hash; twice as many as needed, so that an uneven one stays near the size."""
-    return 1 if rows <= size else -(-rows // size) * 2
-
-
 def shard_ranks(wanted: DataFrame, terms: DataFrame, k: int, passages: int, queries: int, shard_passages: int = SHARD_PASSAGES,
                 block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, id, score of the k best passages of each query in every shard.
 
     wanted(query_id, term): distinct words of the queries; terms(id, term): a row for each word a passage holds.  `passages` and
     `queries` are the numbers of distinct ids, which set the number of shards and blocks."""
-    n_s, n_b = _blocks(passages, shard_passages), _blocks(queries, block_queries)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    lists = terms.join(wanted.select("term").distinct(), "term", "left_semi").select("id", "term", dealt("id", n_s).alias("_shard"), every(n_b).alias("_block"))
-    asked = wanted.select("query_id", "term", dealt("query_id", n_b).alias("_block"), every(n_s).alias("_shard"))
+    lists = terms.join(wanted.select("term").distinct(), "term", "left_semi").select("id", "term")
     kind = {f.name: f.dataType.simpleString() for f in (*wanted.schema, *terms.schema)}
 
     def rank(held: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
@@ -78,6 +71,5 @@ def shard_ranks(wanted: DataFrame, terms: DataFrame, k: int, passages: int, quer
         return pd.DataFrame({"query_id": np.repeat(np.array([f[0] for f in found]), [len(f[1]) for f in found]),
                              "id": np.concatenate([lists.ids[f[1]] for f in found]), "score": np.concatenate([f[2] for f in found])})
 
-    keys = ["_block", "_shard"]
-    return lists.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
-        rank, f"query_id {kind['query_id']}, id {kind['id']}, score long")
+    return meet(lists, "id", block_count(passages, shard_passages), wanted.select("query_id", "term"), "query_id", block_count(queries, block_queries),
+                rank, f"query_id {kind['query_id']}, id {kind['id']}, score long")

@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tallybook import fixed_values as V
 from tallybook.functions import address as A, text as X
 from tallybook.functions.trigrams import let, ordered_trigrams, run_similarity, trigrams
+from tallybook.operators.containment import held_phrases
 from tallybook.operators.postings import shard_ranks
 from tallybook.operators.running import keep_within_budget
+from tallybook.session import materialize
 
 RRF_K = 60
 LIST_SIZE = 20
@@ -300,23 +302,13 @@ def _similar_addresses(phrases: DataFrame, places: DataFrame, threshold: float)
 def lookup_glossary(queries: DataFrame, glossary: DataFrame, limit: int = 3,
                     threshold: float = V.WORD_SIMILARITY_TERM) -> DataFrame:
     """Glossary entries for typed terms (query_id, typed): one holds the other, an alias is equal, or the words are alike;
-    most alike first.  Containment candidates meet on the first two characters of the shorter text."""
+    most alike first.  Containment is one reading of each text, in either direction."""
     asked = queries.select("query_id", F.lower(F.trim("typed")).alias("phrase")).where(F.col("phrase") != "")
-    phrases = asked.select(F.col("phrase").alias("p"), "phrase").distinct()
-    texts = glossary.select(F.lower("term").alias("t"), F.lower("term").alias("text")).distinct()
+    phrases = materialize(asked.select(F.col("phrase").alias("p"), "phrase").distinct())
+    texts = materialize(glossary.select(F.lower("term").alias("t"), F.lower("term").alias("text")).distinct())
 
-    def keys(c: str) -> Column:
-        at = F.sequence(F.lit(1), F.length(c))
-        return F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(F.substring(F.col(c), i, F.lit(2)),
-                                                                            F.substring(F.col(c), i, F.lit(1))))))
-
-    def inside(inner: DataFrame, i: str, outer: DataFrame, o: str) -> DataFrame:
-        a = inner.select(i, F.substring(i, 1, 2).alias("key"))
-        b = outer.where(F.length(o) > 0).select(o, F.explode(keys(o)).alias("key"))
-        return a.join(b, "key").where(F.col(o).contains(F.col(i))).select("p", "t").distinct()
-
-    held = inside(phrases.select("p"), "p", texts.select("t"), "t")
-    holds = inside(texts.select("t"), "t", phrases.select("p"), "p")
+    held = held_phrases(phrases.select("phrase"), texts.select("text")).toDF("p", "t")
+    holds = held_phrases(texts.select(F.col("text").alias("phrase")), phrases.select(F.col("phrase").alias("text"))).toDF("t", "p").select("p", "t")
     alias = glossary.select(F.lower("term").alias("t"), F.explode("aliases").alias("a")).select("t", F.lower("a").alias("p"))
     alias = alias.join(phrases.select("p"), "p", "left_semi").select("p", "t")
     alike = similar_pairs(phrases, texts, threshold, strict=True).select("p", "t")

@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tallybook.operators import postings as P, retrieval as R
+from tallybook.operators import containment as C, postings as P, retrieval as R
+from tallybook.operators.blocks import block_count
 
 
 def plain_ranks(queries, texts, k):
@@ -46,7 +47,7 @@ def test_keyword_rank_over_shards(spark, shard, block):
     wanted = spark.createDataFrame([(q, w) for q, asked in queries for w in asked], "query_id long, term string")
     terms = spark.createDataFrame([(i, w) for i, ws in texts for w in ws], "id string, term string")
     near = P.shard_ranks(wanted, terms, 4, len(texts), len(queries), shard, block)
-    assert near.groupBy("query_id").count().agg({"count": "max"}).first()[0] <= 4 * P._blocks(len(texts), shard)
+    assert near.groupBy("query_id").count().agg({"count": "max"}).first()[0] <= 4 * block_count(len(texts), shard)
     got = R.ranked(near, ["query_id"], [near.score.desc(), "id"], 4)
     assert {tuple(r) for r in got.select("query_id", "id", "score", "rank").collect()} == plain_ranks(queries, texts, 4)
 
@@ -57,3 +58,15 @@ def test_keyword_rank_without_rows(spark):
     rows = lambda a, b: [tuple(r) for r in R.keyword_rank(a, b, ["the"]).select("query_id", "id", "score", "rank").collect()]
     assert rows(q, p) == [(1, 9, 3, 1)]
     assert rows(q, p.limit(0)) == [] and rows(q.limit(0), p) == []
+
+
+@pytest.mark.parametrize("phrases,texts", [(50_000, 50_000), (9, 5)])
+def test_held_phrases(spark, phrases, texts):
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("ab é😀"), n))
+    some, whole = {word(n) for n in rng.integers(0, 5, 60)} | {""}, {word(n) for n in rng.integers(0, 30, 40)} | {""}
+    p = spark.createDataFrame([(x,) for x in some] + [(None,)], "phrase string")
+    t = spark.createDataFrame([(x,) for x in whole] + [(None,)], "text string")
+    got = [tuple(r) for r in C.held_phrases(p, t, phrases, texts).collect()]
+    assert sorted(got) == sorted((a, b) for a in some for b in whole if a and a in b)
+    assert C.held_phrases(p.limit(0), t).count() == C.held_phrases(p, t.limit(0)).count() == 0
