@@ -60,15 +60,15 @@ def validated_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.col(name).isNotNull() & bad if optional else bad
 
     by_key = F.col("taxkey").isNotNull()
-    reason = (F.when(~F.coalesce(F.col("view").isin(V.VIEWS), F.lit(False)), "view must be owner, renter or landlord.")
-              .when(outside("frontage_ft", 1, 2000), "frontageFt must be a whole number of feet, 1 to 2,000.")
-              .when(outside("extra_carts", 0, 10), "extraCarts must be 0 to 10.")
-              .when(by_key & ~F.col("taxkey").rlike(r"^\d{10}$"), "taxkey must be 10 digits.")
+    reason = (F.when(~F.coalesce(F.col("view").isin(V.VIEWS), F.lit(False)), "view is none of owner, renter, landlord")
+              .when(outside("frontage_ft", 1, 2000), "frontage_ft is no whole number from 1 to 2000")
+              .when(outside("extra_carts", 0, 10), "extra_carts is no whole number from 0 to 10")
+              .when(by_key & ~F.col("taxkey").rlike(r"^\d{10}$"), "taxkey has not ten digits")
               .when(~by_key & outside("assessed_2026", 1, 1_000_000_000, optional=False),
-                    "Send a taxkey, or assessed2026 as whole dollars.")
+                    "no taxkey, and assessed_2026 is not in whole dollars")
               .when(~by_key & (outside("assessed_2025", 1, 1_000_000_000) | outside("units", 1, 999)
                                | outside("building_units", 1, 5000)),
-                    "assessed2025, units and buildingUnits must be whole numbers."))
+                    "assessed_2025, units or building_units is out of range"))
     judged = requests.withColumn("error", reason)
     units = F.coalesce(whole("units"), F.lit(1))
     usable = judged.where("error is null").withColumns({

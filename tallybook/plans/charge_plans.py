@@ -173,12 +173,12 @@ def charge_distribution(spark, sf):
     case when c_mktsegment = 'AUTOMOBILE' then lpad(c_custkey::varchar, case when c_nationkey % 2 = 0 then 10 else 9 end, '0') end as taxkey,
     cast(floor(c_acctbal) as bigint) as a26, c_nationkey * 50 as units from customer)
 select c_custkey, case
-  when view = 'tenant' then 'view must be owner, renter or landlord.'
-  when ft not between 1 and 2000 then 'frontageFt must be a whole number of feet, 1 to 2,000.'
-  when carts not between 0 and 10 then 'extraCarts must be 0 to 10.'
-  when taxkey is not null and length(taxkey) <> 10 then 'taxkey must be 10 digits.'
-  when taxkey is null and a26 not between 1 and 1000000000 then 'Send a taxkey, or assessed2026 as whole dollars.'
-  when taxkey is null and units not between 1 and 999 then 'assessed2025, units and buildingUnits must be whole numbers.'
+  when view = 'tenant' then 'view is none of owner, renter, landlord'
+  when ft not between 1 and 2000 then 'frontage_ft is no whole number from 1 to 2000'
+  when carts not between 0 and 10 then 'extra_carts is no whole number from 0 to 10'
+  when taxkey is not null and length(taxkey) <> 10 then 'taxkey has not ten digits'
+  when taxkey is null and a26 not between 1 and 1000000000 then 'no taxkey, and assessed_2026 is not in whole dollars'
+  when taxkey is null and units not between 1 and 999 then 'assessed_2025, units or building_units is out of range'
   else 'ok' end as outcome from r""")
 def charge_requests(spark, sf):
     """Typed requests, one per customer: valid inputs and rejects with their reason (the whole request table)."""
