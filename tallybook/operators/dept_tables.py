@@ -13,7 +13,7 @@ from tallybook import fixed_values as V
 from tallybook.functions import text as X
 from tallybook.functions.numbers import amount_in_words, is_number_token, parse_decimal
 from tallybook.operators.running import carry_last, column_of, indent_paths, running_count, text_of, visual_lines
-from tallybook.session import materialize
+from tallybook.session import by_key, materialize
 
 PAGE = ["doc", "page"]
 STAGE_KEYS = ["actual_2025", "adopted_2026", "requested_2027", "proposed_2027"]
@@ -192,7 +192,7 @@ def department_list(lines: DataFrame, label_x: float = 235.0, reach: float = 8.0
     nums = F.filter("ws", lambda w: w["text"].rlike(number))
     full = _first(lines, F.size(nums) == 5, "f")
     geo = full.select(*PAGE, F.transform(F.filter("f.ws", lambda w: w["text"].rlike(number)), lambda w: w["x1"]).alias("edges"))
-    body = lines.join(geo, PAGE).where(~F.col("text").contains(FOOTER)).withColumn("raw_label", label(F.col("ws"), label_x))
+    body = by_key(lines, geo, PAGE).where(~F.col("text").contains(FOOTER)).withColumn("raw_label", label(F.col("ws"), label_x))
     body = body.withColumn("label", F.regexp_replace("raw_label", r"[ *]+\z", "")).where((F.col("label") != "") & ~F.col("label").startswith("*"))
 
     def nearest(w: Column) -> Column:

@@ -100,3 +100,12 @@ def test_capital_names(each):
     assert each(["$150,000 for general IT upgrades", "Pump Facilities: The fund pays.", "Compliance Loan Program (CLP) - The program", "Costs rise."],
                 D.capital_name) == ["General IT upgrades", "Pump Facilities", "Compliance Loan Program (CLP)", None]
     assert F is not None
+
+
+def test_department_list_collects_nothing_for_a_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    words = spark.range(40).select(F.lit("b").alias("doc"), (F.col("id") % 2).cast("int").alias("page"), F.lit("1").alias("text"),
+                                   F.lit(60.0).alias("x0"), F.lit(70.0).alias("x1"), (F.col("id") * 10.0).alias("top"))
+    plan = D.department_list(D.page_lines(words))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
