@@ -241,7 +241,7 @@ def table_kinds(cells: DataFrame) -> DataFrame:
 
 def services(cells: DataFrame, kinds: DataFrame) -> DataFrame:
     """Columns found by header word, not by place."""
-    rows = cells.join(kinds.where("kind = 'services'"), ["doc", "page", "table_no"]).where("row_no > 0")
+    rows = by_key(cells, kinds.where("kind = 'services'"), ["doc", "page", "table_no"]).where("row_no > 0")
 
     def cell(word: str) -> Column:
         at = F.array_position(F.transform("head", lambda x: F.lower(x).contains(word)), True)
@@ -258,7 +258,7 @@ def services(cells: DataFrame, kinds: DataFrame) -> DataFrame:
 def kpis(cells: DataFrame, kinds: DataFrame) -> DataFrame:
     """One row per measure.  A cell that packs bullets is split when every value cell holds one value per bullet; otherwise the
     row stays as printed, flagged."""
-    rows = cells.join(kinds.where("kind = 'kpis'"), ["doc", "page", "table_no"]).where((F.col("row_no") > 0) & (F.get("cells", F.lit(0)) != ""))
+    rows = by_key(cells, kinds.where("kind = 'kpis'"), ["doc", "page", "table_no"]).where((F.col("row_no") > 0) & (F.get("cells", F.lit(0)) != ""))
     parts = F.transform(F.split(F.get("cells", F.lit(0)), "•"), lambda x: F.trim(x))
     tail = F.slice("cells", 2, F.size("cells"))
     split = F.transform(tail, lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != ""))
@@ -278,7 +278,7 @@ def kpis(cells: DataFrame, kinds: DataFrame) -> DataFrame:
 def position_changes(cells: DataFrame, kinds: DataFrame) -> DataFrame:
     """Position rows; a row without title and reason takes those of the row above.  Heading rows become the section of the
     rows beneath them, over page breaks."""
-    rows = cells.join(kinds.where("kind = 'position_changes'"), ["doc", "page", "table_no"]).where((F.col("row_no") > 0) | F.col("headerless"))
+    rows = by_key(cells, kinds.where("kind = 'position_changes'"), ["doc", "page", "table_no"]).where((F.col("row_no") > 0) | F.col("headerless"))
     at = lambda i: F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
     number = lambda i: parse_decimal(_no_dash(at(i))).cast("decimal(10,2)")
     r = rows.select("doc", "page", "table_no", "row_no", number(0).alias("positions"), number(1).alias("om_ftes"), number(2).alias("non_om_ftes"),

@@ -109,3 +109,12 @@ def test_department_list_collects_nothing_for_a_broadcast(spark):
                                    F.lit(60.0).alias("x0"), F.lit(70.0).alias("x1"), (F.col("id") * 10.0).alias("top"))
     plan = D.department_list(D.page_lines(words))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_bordered_tables_collect_nothing_for_a_broadcast(spark):
+    cells = spark.createDataFrame([("d", 1, 1, 0, ["Description of Services Provided", "Operating"]), ("d", 1, 1, 1, ["Mowing", "5"])],
+                                  "doc string, page int, table_no int, row_no int, cells array<string>")
+    kinds = D.table_kinds(cells)
+    for read in (D.services, D.kpis, D.position_changes):
+        assert "Broadcast" not in read(cells, kinds)._jdf.queryExecution().executedPlan().toString().replace("AdaptiveSpark", "")
+    assert [r.description for r in D.services(cells, kinds).collect()] == ["Mowing"]
