@@ -120,3 +120,13 @@ def test_report_counts_orphans_and_skipped_pages(spark):
     words = spark.createDataFrame(page, "doc string, page int, text string, x0 double, x1 double, top double")
     got = {r["page"]: (r["skipped"], r["orphans"]) for r in L.extraction_report(words, L.page_geometry(words)).collect()}
     assert got == {7: (False, 1), 8: (True, 0)}
+
+
+def test_note_before_a_row_over_pages(spark):
+    from pyspark.sql import functions as F
+    from tallybook.operators.running import following
+
+    rows = spark.createDataFrame([("d", 1, 1, None), ("d", 1, 2, "a"), ("d", 1, 3, None), ("d", 4, 1, "b"), ("d", 4, 2, None), ("e", 5, 1, "c")],
+                                 "doc string, page long, line_no int, note string")
+    got = following(rows, ["doc"], ["page", "line_no"], F.col("note"), "after", ["page"]).orderBy("doc", "page", "line_no").collect()
+    assert [r.after for r in got] == ["a", None, "b", None, None, None]
