@@ -44,6 +44,10 @@ ok as (select *, coalesce(list_bool_or([case when kind = 'over' then x / scale >
       or (kind = 'pct' and abs(x * 100 - v) <= step / 2 + 1e-9) for x in nums if x is not null]), false) as found from fg)"""
 
 
+#: An amount in millions with one decimal, half up in whole numbers as the answers print it; printf rounds a double, where a half goes either way.
+HALF_UP = "((amount + 50000) // 1000000 || '.' || (amount + 50000) // 100000 % 10)"
+
+
 @query("unsupported_figures", f"""with {FIGURES}
 select o_orderkey as id, coalesce(string_agg(case when not found then fig end, ' | ' order by ord), '') as unsupported from ok group by 1""")
 def unsupported_figures(spark, sf):
@@ -60,8 +64,8 @@ def answer_outcomes(spark, sf):
     return G.outcome_summary(G.graded(answers(spark, sf)))
 
 
-@query("required_figures", r"""with a as (select *, cast(floor(o_totalprice * 100 + 0.5) as bigint) as amount from orders),
-f as (select o_orderkey, unnest(['$' || format('{:,}', amount), '$' || printf('%.1f', amount / 1000000.0) || ' million',
+@query("required_figures", """with a as (select *, cast(floor(o_totalprice * 100 + 0.5) as bigint) as amount from orders),
+f as (select o_orderkey, unnest(['$' || format('{:,}', amount), '$' || """ + HALF_UP + """ || ' million',
     (o_custkey % 40) || '.0%', '$' || format('{:,}', amount + 1)]) as figure, unnest([1, 2, 3, 4]) as ord, o_orderpriority, o_custkey from a)
 select o_orderkey as id, figure, ord in (1, 2, 3) as found from f""")
 def required_figures(spark, sf):

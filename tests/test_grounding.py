@@ -57,3 +57,18 @@ def test_split_requirements(spark):
     df = spark.createDataFrame([("a", ["or the levy", "fine (both)"], ["broken (half"])], "id string, must_include array<string>, must_not array<string>")
     assert sorted(r["item"] for r in G.split_requirements(df).collect()) == ["broken (half", "or the levy"]
     assert G.selected_cases(df, ["b"]).count() == 0 and G.selected_cases(df, []).count() == 1
+
+
+def test_halves_of_a_tenth_of_a_million_in_both_engines(spark, tmp_path):
+    import duckdb
+    import oracle_check
+
+    import __spark_entry__ as entry
+
+    cents = [250000, 350000, 1050000, 1150000, 1249999, 1650000, 8450000, 9950000]
+    rows = ", ".join(f"({i}::bigint, {i * 3}::bigint, '{'FO'[i % 2]}', {c / 100}::double, '{'1-URGENT' if i % 3 else '2-HIGH'}')" for i, c in enumerate(cents))
+    con = duckdb.connect()
+    con.execute(f"copy (select * from (values {rows}) v(o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority)) to '{tmp_path}/orders.parquet' (format parquet)")
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    for name in ("required_figures",):
+        assert oracle_check.compare(entry.queries()[name](spark, str(tmp_path)), con, entry.oracle_sql()[name]) == []
