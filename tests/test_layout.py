@@ -130,3 +130,20 @@ def test_note_before_a_row_over_pages(spark):
                                  "doc string, page long, line_no int, note string")
     got = following(rows, ["doc"], ["page", "line_no"], F.col("note"), "after", ["page"]).orderBy("doc", "page", "line_no").collect()
     assert [r.after for r in got] == ["a", None, "b", None, None, None]
+
+
+def test_report_reads_words_once(spark):
+    page = _page(7, [(None, "A LINE", None, {2: "5"})]) + [("book", 7, "stray", 400.0, 420.0, 500.0), ("book", 7, "12", 400.0, 420.0, 520.0), ("book", 7, "3", 10.0, 15.0, 540.0),
+                                                           ("book", 8, "cover", 10.0, 20.0, 300.0)]
+    words = spark.createDataFrame(page, "doc string, page int, text string, x0 double, x1 double, top double").repartition(3, "page")
+    alone = L.extraction_report(words)
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan  # words dealt by page are grouped where they are
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, L.extraction_report(words, L.page_geometry(words)).collect())) == [("book", 7, False, False, 2), ("book", 8, True, False, 0)]
+
+
+def test_book_words_are_written_in_no_file(spark):
+    from tallybook.plans import layout_plans as LP
+
+    files = lambda df: {f for f in df.inputFiles() if "/stage-" in f}
+    assert not files(LP.extraction_report(spark, "/root/testdata/sf0.001")) and not files(LP.page_geometry(spark, "/root/testdata/sf0.001"))
