@@ -11,7 +11,7 @@ from tallybook.functions import text as X
 from tallybook.functions.trigrams import let
 from tallybook.operators.chains import greedy_starts
 from tallybook.operators.running import carry_last, numbered, previous, running_count, running_sums, text_of
-from tallybook.session import materialize
+from tallybook.session import by_key, materialize
 
 
 
@@ -73,12 +73,13 @@ def packed_sentences(sentences: DataFrame, keys: list[str], max_words: int = 320
     """sentences(keys..., i, t) in order: passages (keys..., n, text) of whole sentences up to max_words; a longer sentence stands
     alone; a passage under min_words is dropped.  A key may hold any number of sentences: where passages start is a greedy
     cut of the running count of words."""
-    s = materialize(sentences.select(*keys, F.col("i").cast("long").alias("i"), "t", word_count(F.col("t")).alias("_words"), F.floor(F.col("i") / 1024).alias("_part")))
-    s = materialize(running_sums(s, keys, ["i"], {"_after": F.col("_words")}, ["_part"]))
-    starts = greedy_starts(s, keys, "i", F.col("_after") - F.col("_words"), F.col("_after"), max_words, 1 << 16)
-    s = materialize(s.join(starts.withColumn("_starts", F.lit(True)), [*keys, "i"], "left"))
-    s = running_count(s, keys, ["i"], F.col("_starts"), "n", ["_part"])
-    packed = s.groupBy(*keys, "n").agg(F.trim(text_of(F.collect_list(F.struct("i", F.col("t").alias("text"))))).alias("text"), F.sum("_words").alias("_words"))
+    s = materialize(sentences.select(*keys, F.col("i").cast("long").alias("i"), "t", word_count(F.col("t")).alias("_words")))
+    # The cut is found on counts alone; the sentences themselves move when they are brought together.
+    counts = materialize(running_sums(s.select(*keys, "i", "_words", F.floor(F.col("i") / 1024).alias("_part")), keys, ["i"], {"_after": F.col("_words")}, ["_part"]))
+    starts = greedy_starts(counts, keys, "i", F.col("_after") - F.col("_words"), F.col("_after"), max_words, 1 << 16)
+    counts = materialize(by_key(counts.select(*keys, "i", "_part"), starts.withColumn("_starts", F.lit(True)), [*keys, "i"], "left"))
+    n = running_count(counts, keys, ["i"], F.col("_starts"), "n", ["_part"]).select(*keys, "i", "n")
+    packed = by_key(s, n, [*keys, "i"]).groupBy(*keys, "n").agg(F.trim(text_of(F.collect_list(F.struct("i", F.col("t").alias("text"))))).alias("text"), F.sum("_words").alias("_words"))
     return packed.where(F.col("_words") >= min_words).drop("_words")
 
 
