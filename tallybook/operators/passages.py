@@ -132,7 +132,7 @@ def narrative_passages(pages: DataFrame, page_departments: DataFrame, keys: list
     scope = [*keys, "run"]
     default = F.when(F.col("region") == "department", "n:other").otherwise("n:narrative")
     body = carry_last(body, scope, order, F.col("_head.kind"), "_kind", ["page"])
-    body = materialize(body.withColumn("_kind", F.coalesce("_kind", default)))
+    body = body.withColumn("_kind", F.coalesce("_kind", default))
     in_table = F.col("_kind").startswith("t:")
     bullets = F.col("_kind").isin("n:service_highlight", "n:capital_project")
     body = body.where(F.col("_head").isNotNull() | ~(in_table | X.is_tabular(F.col("line"))))
@@ -140,9 +140,13 @@ def narrative_passages(pages: DataFrame, page_departments: DataFrame, keys: list
     sub = F.col("_head").isNull() & (F.col("region") == "department") & ~in_table & is_subheading(F.col("line"), F.col("_prev"))
     body = body.withColumn("_prev", prev).withColumn("_sub", F.coalesce(sub, F.lit(False)))
     bullet = bullets & (F.col("line") == "•")
-    body = running_count(body, scope, order, F.col("_head").isNotNull() | F.col("_sub") | bullet, "_island", ["page"])
     title_text = F.when(F.col("_head").isNotNull() & ~in_table, F.col("_head.head")).when(F.col("_sub"), F.col("line"))
-    body = carry_last(body, scope, order, title_text, "heading", ["page"])
+    # Islands and headings are scanned without the lines' text, which then meets them once.
+    body = materialize(body.drop("_prev").withColumn("_row", F.monotonically_increasing_id()))
+    marks = materialize(body.select(*scope, *order, "_row", (F.col("_head").isNotNull() | F.col("_sub") | bullet).alias("_opens"), title_text.alias("_heads")))
+    marks = running_count(marks, scope, order, F.col("_opens"), "_island", ["page"])
+    marks = carry_last(marks, scope, order, F.col("_heads"), "heading", ["page"])
+    body = by_key(body, marks.select("_row", "_island", "heading"), ["_row"]).drop("_row")
     rest = F.when(F.col("_head").isNotNull(), F.nullif(F.trim(F.expr("substring(line, length(_head.head) + 1)")), F.lit(""))).when(
         ~F.col("_sub") & ~bullet & (F.col("line") != "o"), F.col("line"))
     body = body.where(~in_table).withColumn("_text", rest)

@@ -179,3 +179,17 @@ def test_glossary_and_fee_gaps(spark):
     pages = spark.createDataFrame([(1, "The city’s levy")], "page int, page_text string")
     assert sorted((r["term"], r["problem"]) for r in K.glossary_gaps(g, pages).collect()) == [
         ("FTE", "states an amount"), ("FTE", "term not on page")]
+
+
+def test_islands_are_scanned_without_text(spark, monkeypatch):
+    from tallybook.operators import passages as P
+
+    pages = spark.createDataFrame([("d", p, "FIRE DEPARTMENT\nMISSION: to serve the people of this city well and always on time.") for p in (11, 12)], "doc string, page int, text string")
+    depts = spark.createDataFrame([("d", p, "fire", "Fire") for p in (11, 12)], "doc string, page int, dept string, dept_name string")
+    scanned = []
+    for name in ("running_count", "carry_last"):
+        monkeypatch.setattr(P, name, lambda df, keys, order, value, out, *a, f=getattr(P, name): scanned.append((out, set(df.columns))) or f(df, keys, order, value, out, *a))
+    rows = P.narrative_passages(pages, depts, ["doc"]).collect()
+    assert sorted(r["pdf_page"] for r in rows) == [11, 12]
+    assert [c for out, c in scanned if out == "heading" and "line" in c] == []
+    assert [c for out, c in scanned if out == "_island" and "run" in c and "line" in c] == []
