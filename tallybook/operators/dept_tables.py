@@ -20,6 +20,7 @@ STAGE_KEYS = ["actual_2025", "adopted_2026", "requested_2027", "proposed_2027"]
 CHANGE_KEYS = ["change_vs_adopted", "change_vs_requested"]
 FIVE_KEYS = STAGE_KEYS[1:] + CHANGE_KEYS
 BLOCK_TITLES = {"SUMMARY OF EXPENDITURES": "expenditures", "SOURCE OF FUNDS": "source of funds"}
+PART_LINES = 50_000  # lines whose position changes one task reads
 FOOTER = "PROPOSED PLAN AND EXECUTIVE"
 
 
@@ -319,6 +320,8 @@ def borderless_position_changes(lines: DataFrame) -> DataFrame:
     middle = lambda w: (w["x0"] + w["x1"]) / 2
     at = lambda i, name: F.struct(F.lit(i).alias("i"), middle(name).alias("x"))
     lines = materialize(lines)
+    # few bytes, much work: dealt by page by their number, which all that follows keeps to
+    lines = lines.repartition(1 + lines.count() // PART_LINES, *page)
 
     # where each page starts and how it is laid out
     is_header = F.array_contains(texts, "Positions") & F.array_contains(texts, "Title") & F.array_contains(texts, "Reason")
@@ -349,41 +352,47 @@ def borderless_position_changes(lines: DataFrame) -> DataFrame:
     # anchors, and for every other line those above and below it
     down = Window.partitionBy(*page).orderBy("top")
     anchor = F.size("nums") > 0
-    body = body.withColumns({"_anchor": anchor, "_above": F.count_if(anchor).over(down.rowsBetween(Window.unboundedPreceding, -1))})
-    body = materialize(body.drop("_end"))
-    anchors = body.where("_anchor").withColumn("a", F.col("_above") + 1)
-    near = anchors.select(*page, "a", F.struct("top", "title", "reason").alias("near"))
-    rest = body.where("not _anchor").join(near.select(*page, F.col("a").alias("_above"), F.col("near").alias("up")), [*page, "_above"], "left")
-    rest = rest.join(near.select(*page, (F.col("a") - 1).alias("_above"), F.col("near").alias("low")), [*page, "_above"], "left")
-
-    between = Window.partitionBy(*page, "_above").orderBy("top")
-    all_between = Window.partitionBy(*page, "_above")
-    reasons = rest.where("reason <> '' and (up is not null or low is not null)")
-    before = F.coalesce(F.lag("reason").over(between), F.when(F.col("up.reason") == "", ".").otherwise(F.col("up.reason")), F.lit("."))
-    reasons = reasons.withColumn("_starts", F.rtrim(before).rlike(r"[.)]\z") & F.col("reason").rlike(r"^\p{Lu}"))
+    up = Window.partitionBy(*page).orderBy(F.col("top").desc())
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    near = F.last(F.when(anchor, F.struct("top", "title", "reason")), ignorenulls=True)
+    body = body.drop("_end").withColumns({"_anchor": anchor, "_above": F.count_if(anchor).over(before(down)), "up": near.over(before(down))})
+    body = body.withColumn("low", near.over(before(up)))
+
+    # the row of each line's reason; a reason line's neighbours are the reason lines between the same two anchors
+    beside = ~F.col("_anchor") & (F.col("up").isNotNull() | F.col("low").isNotNull())
+    body = body.withColumn("_says", beside & (F.col("reason") != ""))
+    said_before = F.last(F.when(F.col("_says"), F.col("reason")), ignorenulls=True).over(before(Window.partitionBy(*page, "_above", "_anchor").orderBy("top")))
+    said_before = F.coalesce(said_before, F.when(F.col("up.reason") == "", ".").otherwise(F.col("up.reason")), F.lit("."))
+    body = body.withColumn("_starts", F.col("_says") & F.rtrim(said_before).rlike(r"[.)]\z") & F.col("reason").rlike(r"^\p{Lu}"))
     mid = (F.col("up.top") + F.col("low.top")) / 2
-    split = F.coalesce(F.min(F.when(F.col("_starts"), F.struct(F.abs(F.col("top") - mid).alias("d"), F.col("top").alias("t")))).over(all_between)["t"], mid)
-    to = F.when(F.col("up").isNull(), 1).when(F.col("low").isNull(), F.col("_above")).when(F.col("top") >= split, F.col("_above") + 1).otherwise(F.col("_above"))
-    reasons = reasons.select(*page, to.alias("a"), "top", F.col("reason").alias("text"))
-    reasons = reasons.unionByName(anchors.where("reason <> ''").select(*page, "a", "top", F.col("reason").alias("text")))
-    reasons = reasons.groupBy(*page, "a").agg(text_of(F.collect_list(F.struct("top", "text"))).alias("_reason"))
+    nearest = F.min(F.when(F.col("_starts"), F.struct(F.abs(F.col("top") - mid).alias("d"), F.col("top").alias("t")))).over(Window.partitionBy(*page, "_above", "_anchor"))
+    body = body.withColumn("_split", F.coalesce(nearest["t"], mid))
+    own = F.col("_above") + 1
+    to = F.when(F.col("up").isNull(), 1).when(F.col("low").isNull(), F.col("_above")).when(F.col("top") >= F.col("_split"), own).otherwise(F.col("_above"))
 
+    # the row of each line's title, or the row that it heads
     gap = lambda side: F.abs(F.col(f"{side}.top") - F.col("top"))
     upper = F.col("low").isNull() | (F.col("up").isNotNull() & (gap("up") <= gap("low")))
-    titles = rest.where("title <> '' and (up is not null or low is not null)").withColumns({"a": F.when(upper, F.col("_above")).otherwise(F.col("_above") + 1), "_upper": upper})
-    side = lambda c: F.when(F.col("_upper"), F.col(f"up.{c}")).otherwise(F.col(f"low.{c}"))
+    side = lambda c: F.when(upper, F.col(f"up.{c}")).otherwise(F.col(f"low.{c}"))
     joins = F.abs(side("top") - F.col("top")) <= F.when(side("title") == "", 20).otherwise(8)
-    titles = titles.withColumn("_joins", joins)
-    parts = titles.where("_joins").select(*page, "a", "top", F.col("title").alias("text")).unionByName(
-        anchors.where("title <> ''").select(*page, "a", "top", F.col("title").alias("text")))
-    parts = parts.groupBy(*page, "a").agg(text_of(F.collect_list(F.struct("top", "text"))).alias("_title"))
-    heads = titles.where("not _joins and not _upper").groupBy(*page, "a").agg(F.max_by("title", "top").alias("_head"))
+    titled = beside & (F.col("title") != "")
+    part = lambda kind, cond, a, text: F.when(cond, F.struct(F.lit(kind).alias("kind"), a.cast("long").alias("a"), text.alias("text")))
+    none = F.lit(None).cast("string")
+    parts = F.array_compact(F.array(
+        part("row", F.col("_anchor"), own, none), part("reason", F.col("_anchor") & (F.col("reason") != ""), own, F.col("reason")), part("reason", F.col("_says"), to, F.col("reason")),
+        part("title", F.col("_anchor") & (F.col("title") != ""), own, F.col("title")), part("title", titled & joins, F.when(upper, F.col("_above")).otherwise(own), F.col("title")),
+        part("head", titled & ~joins & ~upper, own, F.col("title"))))
+    lined = body.select(*page, "line", "top", "nums", "centres", F.explode(parts).alias("p")).select("*", "p.*")
+    is_row, kept = F.col("kind") == "row", lambda kind: F.when(F.col("kind") == kind, F.struct("top", "text"))
+    gathered = lambda kind: F.when(F.count_if(F.col("kind") == kind) > 0, text_of(F.collect_list(kept(kind))))
+    out = lined.groupBy(*page, "a").agg(
+        F.max(F.when(is_row, F.struct("line", "nums", "centres"))).alias("_row"), gathered("reason").alias("_reason"), gathered("title").alias("_title"),
+        F.max_by("text", F.when(F.col("kind") == "head", F.col("top"))).alias("_head")).where("_row is not null").select("*", "_row.*")
 
     def value(i: int) -> Column:
         mine = F.filter("nums", lambda w: F.array_min(F.transform("centres", lambda c: F.struct(F.abs(middle(w) - c["x"]).alias("d"), c["i"].alias("i"))))["i"] == i)
         return parse_decimal(_no_dash(F.try_element_at(mine, F.lit(-1))["text"])).cast("decimal(10,2)")
 
-    out = anchors.join(reasons, [*page, "a"], "left").join(parts, [*page, "a"], "left").join(heads, [*page, "a"], "left")
     group = F.last("_head", ignorenulls=True).over(Window.partitionBy(*page).orderBy("a").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     title = F.coalesce("_title", F.lit(""))
     return out.select(*page, "line", value(0).alias("positions"), value(1).alias("om_ftes"), value(2).alias("non_om_ftes"), title.alias("title"), F.col("_reason").alias("reason"), group.alias("group"),

@@ -359,13 +359,20 @@ def daily_cap_stream(spark, sf):
 # --- Position changes without borders -------------------------------------------------------------------------------------------
 
 PER_PAGE = 10
+PART_ROWS = 10_000  # parts whose words or cells are in one task
+
+
+def dealt_parts(spark, sf):
+    """Parts by page.  A part becomes some forty words: the number of tasks follows the parts, not their few bytes."""
+    p = table(spark, sf, "part")
+    return p.repartition(1 + p.count() // PART_ROWS, F.floor(F.col("p_partkey") / PER_PAGE))
 
 
 def change_pages(spark, sf):
     """Ten parts to a page, printed as position changes without borders.  Three pages share a layout, the third prints no header
     again; every layout lies elsewhere.  A page opens with a group heading.  A reason starts above its numbers, unless it is
     the first, and goes on beneath them; every second title stands beneath its numbers."""
-    p = table(spark, sf, "part").withColumn("page", F.floor(F.col("p_partkey") / PER_PAGE))
+    p = dealt_parts(spark, sf).withColumn("page", F.floor(F.col("p_partkey") / PER_PAGE))
     page, i = F.col("page"), F.col("p_partkey") % PER_PAGE
     layout = F.floor(page / 3)
     shift = layout % 5 * 7.0
@@ -404,7 +411,7 @@ def borderless_changes(spark, sf):
 def part_cells(spark, sf):
     """A part as a bordered table on a page of its own: services, measures, position changes, a table that goes on with those of
     the page before without a header, or something else."""
-    p = table(spark, sf, "part")
+    p = dealt_parts(spark, sf)
     key = F.col("p_partkey")
     five = F.array(key.cast("string"), F.lit("1.00"), F.lit("-"), F.col("p_name"), F.lit("New position"))
     what = F.col("p_partkey") % 5

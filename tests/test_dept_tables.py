@@ -121,3 +121,10 @@ def test_bordered_tables_collect_nothing_for_a_broadcast(spark):
     for read in (D.services, D.kpis, D.position_changes):
         assert "Broadcast" not in read(cells, kinds)._jdf.queryExecution().executedPlan().toString().replace("AdaptiveSpark", "")
     assert [r.description for r in D.services(cells, kinds).collect()] == ["Mowing"]
+
+
+def test_borderless_rows_meet_their_neighbours_by_windows(spark):
+    """Rows, reasons, titles and headings of a page are brought together without joining the page with itself."""
+    lines = spark.createDataFrame([("d", 1, 1, 10.0, [(1.0, 2.0, "a")], "a")], "doc string, page long, line int, top double, ws array<struct<x0:double,x1:double,text:string>>, text string")
+    plan = D.borderless_position_changes(lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") <= 5
