@@ -50,10 +50,9 @@ def with_units(lines: DataFrame, keys: list[str], order: list[str], bucket: list
     heads = [h for h, _ in V.CATEGORY_HEADINGS]
     rows = running_count(lines, keys, order, F.col("is_unit_total"), "unit", bucket, inclusive=False)
     is_head = (F.col("row_type") == "heading") & F.upper("description").isin(heads)
-    start = rows.where(is_head).groupBy(*keys, "unit").agg(F.min(F.struct(*order)).alias("_start"))
-    joined = rows.join(start, [*keys, "unit"], "left")
+    rows = rows.withColumn("_start", F.min(F.when(is_head, F.struct(*order))).over(Window.partitionBy(*keys, "unit")))
     inside = F.coalesce(F.struct(*order) >= F.col("_start"), F.lit(False)) | F.col("is_unit_total")
-    return joined.where(inside).drop("_start")
+    return rows.where(inside).drop("_start")
 
 
 def unit_reconciliation(lines: DataFrame, keys: list[str], order: list[str], bucket: list[str] | None = None,
@@ -61,20 +60,18 @@ def unit_reconciliation(lines: DataFrame, keys: list[str], order: list[str], buc
     """Lines against printed category totals in every decision unit and stage.
 
     A check runs only where the unit itemises that stage.  Equipment counts printed subtotals and the items after the last
-    one; special funds counts items above the first special total.  Incomplete units (no total row) are left out."""
-    units = with_units(lines, keys, order, bucket)
-    closed = units.where("is_unit_total").select(*keys, "unit").distinct()
-    rows = units.join(closed, [*keys, "unit"], "left_semi").withColumn("_at", F.struct(*order))
+    one; special funds counts items above the first special total.  Incomplete units (no total row) are left out.  What a unit's
+    rows are compared with is carried to them by windows over the unit, so that one dealing of the rows by key does for all."""
+    unit = Window.partitionBy(*keys, "unit")
+    rows = with_units(lines.dropna(subset=keys), keys, order, bucket).withColumn("_at", F.struct(*order))
     upper, kind, category = F.upper("description"), F.col("row_type"), F.col("category")
     total_of = {name: (kind == "rollup") & upper.rlike(pattern) for name, pattern in V.UNIT_TOTALS}
     equipment, subtotal = category == "equipment", upper.startswith("SUBTOTAL") & (kind == "rollup")
-    marks = rows.groupBy(*keys, "unit").agg(
-        F.min(F.when(total_of["special"], F.col("_at"))).alias("_special"),
-        F.min(F.when(equipment & (kind == "rollup") & ~subtotal, F.col("_at"))).alias("_stop"))
-    rows = rows.join(marks, [*keys, "unit"])
+    rows = rows.withColumns({
+        "_closed": F.max(F.col("is_unit_total")).over(unit), "_special": F.min(F.when(total_of["special"], F.col("_at"))).over(unit),
+        "_stop": F.min(F.when(equipment & (kind == "rollup") & ~subtotal, F.col("_at"))).over(unit)}).where("_closed")
     in_equipment = equipment & F.coalesce(F.col("_at") < F.col("_stop"), F.lit(True))
-    last = rows.where(in_equipment & subtotal).groupBy(*keys, "unit").agg(F.max("_at").alias("_last"))
-    rows = rows.join(last, [*keys, "unit"], "left")
+    rows = rows.withColumn("_last", F.max(F.when(in_equipment & subtotal, F.col("_at"))).over(unit))
     item = kind.isin("account", "item")
     part_of = {
         "operating": (category == "operating") & item,
@@ -86,6 +83,8 @@ def unit_reconciliation(lines: DataFrame, keys: list[str], order: list[str], buc
                                 *[F.coalesce(v, F.lit(False)).alias(f"p_{k}") for k, v in part_of.items()],
                                 *[F.col(s).cast("long").alias(s) for s in stages]),
                     [*keys, "unit", *[f"{x}_{k}" for k in part_of for x in "tp"]], list(stages))
+    # no other row changes a count or a sum
+    long = long.where(reduce(lambda a, b: a | b, [F.coalesce(F.col(f"t_{k}"), F.lit(False)) | (F.col(f"p_{k}") & F.col("value").isNotNull()) for k in part_of]))
     sums = long.groupBy(*keys, "unit", "stage").agg(*[e for k in part_of for e in (
         F.count_if(F.col(f"t_{k}")).alias(f"n_{k}"), F.sum(F.when(F.col(f"t_{k}"), F.col("value"))).alias(f"printed_{k}"),
         F.count(F.when(F.col(f"p_{k}"), F.col("value"))).alias(f"itemised_{k}"),

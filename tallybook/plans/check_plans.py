@@ -13,10 +13,15 @@ from tallybook.plans.registry import query, table
 NUMBERED = """o as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice, l_suppkey) as rn from lineitem)"""
 
 
+PART_LINES = 250_000  # line items in one task
+
+
 def numbered_lines(spark, sf, *columns):
+    """Line items dealt by order: the number of parts follows their number, so that what a task sorts is bounded."""
     need = {"l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey", *columns}
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey")
-    return table(spark, sf, "lineitem").select(*sorted(need)).withColumn("rn", F.row_number().over(order))
+    li = table(spark, sf, "lineitem")
+    return li.select(*sorted(need)).repartition(1 + li.count() // PART_LINES, "l_orderkey").withColumn("rn", F.row_number().over(order))
 
 
 @query("total_vs_lines", f"""with l as (select l_orderkey, cast(sum({CENTS.format('l_extendedprice')}) as bigint) as extracted from lineitem group by 1),
@@ -56,7 +61,7 @@ def reconcile_units(spark, sf):
     q = F.col("l_quantity").cast("long")
     stages = {"actual_2025": None, "adopted_2026": "A", "requested_2027": "N", "proposed_2027": "R"}
     vals = [(F.when(F.col("l_returnflag") == f, q) if f else F.lit(None).cast("long")).alias(s) for s, f in stages.items()]
-    items = li.select(F.col("l_orderkey").cast("string").alias("section"), F.col("rn").alias("line_no"), pick(2).alias("row_type"),
+    items = li.select(F.col("l_orderkey").alias("section"), F.col("rn").alias("line_no"), pick(2).alias("row_type"),
                       pick(1).alias("category"), F.lit("line").alias("description"), *vals, F.lit(False).alias("is_unit_total"),
                       "l_linestatus", pick(3).alias("total"))
     off = lambda s: F.max(F.when(F.col(s).isNotNull() & (F.col("l_linestatus") == "F"), 1).otherwise(0))
@@ -70,7 +75,7 @@ def reconcile_units(spark, sf):
         "section", "e.line_no", "e.row_type", F.lit(None).cast("string").alias("category"), "e.description",
         *[F.lit(None).cast("long").alias(s) for s in stages], (F.col("e.row_type") == "rollup").alias("is_unit_total"))
     book = items.drop("l_linestatus", "total").unionByName(totals).unionByName(ends)
-    return K.unit_reconciliation(book, ["section"], ["line_no"]).drop("unit")
+    return K.unit_reconciliation(book, ["section"], ["line_no"]).drop("unit").withColumn("section", F.col("section").cast("string"))
 
 
 @query("summary_vs_units", f"""with u as (select l_suppkey::varchar as section, {B.STAGE_YEAR.format('l_shipdate')} as y, cast(sum(cast(l_quantity as bigint)) as bigint) as q,

@@ -193,3 +193,20 @@ def test_islands_are_scanned_without_text(spark, monkeypatch):
     assert sorted(r["pdf_page"] for r in rows) == [11, 12]
     assert [c for out, c in scanned if out == "heading" and "line" in c] == []
     assert [c for out, c in scanned if out == "_island" and "run" in c and "line" in c] == []
+
+
+def test_units_are_dealt_once(spark):
+    """Lines are read once for the items, the totals and the ends of the units, and no unit is joined with itself."""
+    from tallybook.plans import check_plans
+
+    plan = check_plans.reconcile_units(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") <= 3
+
+
+def test_parts_follow_the_lines(spark, monkeypatch):
+    from tallybook.plans import check_plans
+
+    rows = check_plans.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    monkeypatch.setattr(check_plans, "PART_LINES", 500, raising=False)
+    lines = check_plans.numbered_lines(spark, "/root/testdata/sf0.001", "l_quantity")
+    assert lines.rdd.getNumPartitions() == 1 + rows // 500 > 8
