@@ -23,6 +23,10 @@ from tallybook.session import materialize
 
 RRF_K = 60
 LIST_SIZE = 20
+#: Typed streets or addresses that one task compares.
+TASK_PHRASES = 2500
+#: Candidate pairs whose trigrams one task scores.
+TASK_PAIRS = 20_000
 
 
 def english_stop_words(spark: SparkSession) -> list[str]:
@@ -247,7 +251,9 @@ def similar_pairs(phrases: DataFrame, texts: DataFrame, threshold: float, strict
         "p", "g")
     useful = probes.select("g").distinct()
     pairs = grams.join(useful, "g", "left_semi").join(probes, "g").select("p", "t").distinct()
-    met = pairs.join(phrases, "p").join(texts, "t")
+    # Few bytes, much work: the pairs are written in files by their number before they are scored.
+    pairs = materialize(pairs)
+    met = materialize(pairs.join(phrases, "p").join(texts, "t").repartition(1 + pairs.count() // TASK_PAIRS, "p", "t"))
     enough = let(trigrams(F.col("phrase")), lambda a: F.size(F.array_intersect(a, trigrams(F.col("text"))))
                  >= F.ceil(F.size(a) * F.lit(threshold) - 1e-9))
     scored = met.where(enough).withColumn(
@@ -260,12 +266,16 @@ def search_addresses(queries: DataFrame, parcels: DataFrame, limit: int = 8,
     """Typed addresses (query_id, typed) to parcels: the typed direction first, then numbers inside a parcel's range, the
     best street, the nearest number.  Parcels at one address (flats) are one match without a tax key."""
     parts = ["house_nr_lo", "house_nr_hi", "house_nr_sfx", "sdir", "street", "sttype"]
-    places = parcels.groupBy(*parts).agg(F.count("*").alias("parcels"), F.min("taxkey").alias("taxkey")).withColumn(
-        "address", A.parcel_address(F.col("house_nr_lo"), F.col("house_nr_sfx"), F.col("sdir"), F.col("street"), F.col("sttype")))
+    places = _spread(parcels.groupBy(*parts).agg(F.count("*").alias("parcels"), F.min("taxkey").alias("taxkey")).withColumn(
+        "address", A.parcel_address(F.col("house_nr_lo"), F.col("house_nr_sfx"), F.col("sdir"), F.col("street"), F.col("sttype"))), "address")
     asked = queries.withColumn("_n", A.normalize_address(F.col("typed"))).select(
         "query_id", F.col("_n.house_nr").alias("house_nr"), F.col("_n.street").alias("phrase")).where(F.length("phrase") >= 3)
-    near = _similar_addresses(asked.select("phrase").distinct(), places, threshold)
-    rows = asked.join(near, "phrase").join(places, "address")
+    asked = materialize(asked)
+    # Places are ranked once for all queries that ask for the same number and street.
+    typed = _spread(asked.select("house_nr", "phrase").distinct(), "phrase")
+    near = _similar_addresses(_spread(typed.select("phrase").distinct(), "phrase"), places, threshold).join(places, "address")
+    parts_of = 1 + typed.count() // TASK_PHRASES
+    rows = typed.repartition(parts_of, "phrase").join(near.repartition(parts_of, "phrase"), "phrase")
     direction = A.typed_direction(F.col("phrase"))
     rows = rows.withColumns({
         "exact_number": F.coalesce(F.col("house_nr").between(F.col("house_nr_lo"), F.col("house_nr_hi")), F.lit(False)),
@@ -273,11 +283,20 @@ def search_addresses(queries: DataFrame, parcels: DataFrame, limit: int = 8,
         "away": F.abs(F.col("house_nr_lo") - F.coalesce("house_nr", "house_nr_lo"))})
     order = [F.col("direction_ok").desc(), F.col("exact_number").desc(), F.col("similarity").desc(), "away", "house_nr_lo",
              "house_nr_hi", "house_nr_sfx", "sdir", "street", "sttype"]
-    return ranked(rows, ["query_id"], order, limit).select(
+    best = ranked(rows, ["phrase", "house_nr"], order, limit)
+    found = asked.withColumnsRenamed({"phrase": "_phrase", "house_nr": "_nr"}).join(
+        best, (F.col("_phrase") == F.col("phrase")) & F.col("_nr").eqNullSafe(F.col("house_nr")))
+    return found.select(
         "query_id", "rank", F.when(F.col("parcels") == 1, F.col("taxkey")).alias("taxkey"),
         A.display_address(*[F.col(c) for c in parts]).alias("address"), "exact_number", "parcels", "similarity")
 
 
+def _spread(df: DataFrame, by: str) -> DataFrame:
+    """Rows written once, in files of few rows: their bytes are few, but each is compared with many others."""
+    df = materialize(df)
+    return materialize(df.repartition(1 + df.count() // TASK_PHRASES, by))
+
+
 def _similar_addresses(phrases: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
     """phrase, address, similarity.  Every trigram of a house number with at most one suffix letter holds a digit, so a
     phrase without digits scores the same on all numbers of a street: it is compared with the street once.  Other pairs are

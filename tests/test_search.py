@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from tallybook.operators import containment as C, postings as P, retrieval as R
-from tallybook.operators.blocks import block_count
+from tallybook.operators.blocks import block_count, meet
 
 
 def plain_ranks(queries, texts, k):
@@ -70,3 +70,24 @@ def test_held_phrases(spark, phrases, texts):
     got = [tuple(r) for r in C.held_phrases(p, t, phrases, texts).collect()]
     assert sorted(got) == sorted((a, b) for a in some for b in whole if a and a in b)
     assert C.held_phrases(p.limit(0), t).count() == C.held_phrases(p, t.limit(0)).count() == 0
+
+
+def test_blocks_meet_in_as_many_parts_as_pairs(spark):
+    """Few bytes are not put into one task: each pair of blocks has a part of its own size."""
+    df = spark.range(40).withColumnRenamed("id", "a")
+    out = meet(df, "a", 5, df.withColumnRenamed("a", "b"), "b", 3, lambda x, y: x.merge(y, how="cross"), "a long, b long")
+    assert out.count() == 1600 and out.rdd.getNumPartitions() == 15
+
+
+def test_one_place_for_all_who_type_it(spark, monkeypatch):
+    """Queries of one typed address share its ranks, with a number and without; scored pairs are dealt by their number."""
+    ddl = "taxkey string, house_nr_lo int, house_nr_hi int, house_nr_sfx string, sdir string, street string, sttype string"
+    parcels = spark.createDataFrame([(f"{i:010d}", 100 * i, 100 * i + 4, None, "N", "POWELL", "AV") for i in range(1, 13)], ddl)
+    asked = spark.createDataFrame([(i, "302 n powel avenue") for i in range(5)] + [(i, "n powel avenue") for i in range(5, 9)] + [(9, "zz qq"), (10, None)], "query_id int, typed string")
+    parts, real = [], R.materialize
+    monkeypatch.setattr(R, "TASK_PAIRS", 3, raising=False)
+    monkeypatch.setattr(R, "materialize", lambda df: parts.append("repartition" in df._jdf.queryExecution().logical().toString().lower()) or real(df))
+    rows = R.search_addresses(asked, parcels, limit=2).select("query_id", "rank", "taxkey", "exact_number").collect()
+    want = {(q, 1, "0000000003", True) for q in range(5)} | {(q, 1, "0000000001", False) for q in range(5, 9)}
+    assert {tuple(r) for r in rows if r["rank"] == 1} == want and len(rows) == 18
+    assert any(parts)
