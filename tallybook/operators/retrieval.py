@@ -166,13 +166,16 @@ def focus_passage(text: Column, query: Column, limit: int = 1200) -> Column:
 
 
 def search_passages(queries: DataFrame, passages: DataFrame, stop_words: list[str], limit: int = 5,
-                    department: Column | None = None) -> DataFrame:
+                    department: Column | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Hybrid search.  queries(query_id, text[, embedding]); passages(id long, text, context_header, heading, kind, cite
-    [, embedding]).  Without query vectors the keyword list stands alone."""
+    [, embedding]).  Vectors may stand in a table of their own, vectors(id, embedding), which then meets the ids of the passages and
+    not their texts.  Without query vectors the keyword list stands alone."""
     pool = passages.where(F.col("kind") == "narrative")
     pool = pool if department is None else pool.where(department)
     kw = keyword_rank(queries, pool, stop_words)
-    if "embedding" in queries.columns and "embedding" in pool.columns:
+    if vectors is not None:
+        vs = vector_rank(queries.where("embedding is not null"), vectors.where("embedding is not null").join(pool.select("id"), "id", "left_semi"))
+    elif "embedding" in queries.columns and "embedding" in pool.columns:
         vs = vector_rank(queries.where("embedding is not null"), pool.where("embedding is not null"))
     else:
         vs = kw.where("false")

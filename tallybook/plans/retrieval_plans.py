@@ -215,10 +215,10 @@ def hybrid_search(spark, sf):
     """Benchmark texts as questions, with the vector of their number, against documents with the vectors of theirs: keyword and
     vector lists fused over one id space.  Texts that are not cut are compared whole."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    pool = documents(spark, sf).join(vectors, "id", "left").select("id", "text", F.lit("narrative").alias("kind"), F.lit(None).cast("string").alias("heading"),
-                                                                  F.concat_ws(" — ", F.lit("City"), "source").alias("context_header"), F.lit(1).alias("cite"), "embedding")
+    pool = documents(spark, sf).select("id", "text", F.lit("narrative").alias("kind"), F.lit(None).cast("string").alias("heading"),
+                                                                  F.concat_ws(" — ", F.lit("City"), "source").alias("context_header"), F.lit(1).alias("cite"))
     asked = benchmark_queries(spark, sf).join(vectors.withColumnRenamed("id", "query_id"), "query_id", "left")
-    found = R.search_passages(asked, pool, STOP_WORDS)
+    found = R.search_passages(asked, pool, STOP_WORDS, vectors=vectors)
     whole = found.join(documents(spark, sf).select("id", F.length(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("_n")), "id")
     return whole.select("query_id", "rank", "id", "score", "context", (F.col("_n") <= 1200).alias("whole"), F.when(F.col("_n") <= 1200, F.col("text")).alias("text"))
 

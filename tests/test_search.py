@@ -91,3 +91,13 @@ def test_one_place_for_all_who_type_it(spark, monkeypatch):
     want = {(q, 1, "0000000003", True) for q in range(5)} | {(q, 1, "0000000001", False) for q in range(5, 9)}
     assert {tuple(r) for r in rows if r["rank"] == 1} == want and len(rows) == 18
     assert any(parts)
+
+
+def test_vectors_beside_passages(spark):
+    """Vectors in a table of their own give what vectors in the passages give, and vectors of no passage count for nothing."""
+    texts = spark.createDataFrame([(i, f"park {'parks ' * i}", "x — y", None, "narrative", 1) for i in range(4)], "id long, text string, context_header string, heading string, kind string, cite int")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (9, [1.0, 0.0])], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, "parks", [1.0, 0.1]), (2, "roads", [0.0, 1.0])], "query_id long, text string, embedding array<double>")
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "rank", "id", "score").collect())
+    beside = rows(R.search_passages(asked, texts, ["the"], vectors=vectors))
+    assert beside == rows(R.search_passages(asked, texts.join(vectors, "id", "left"), ["the"])) and {r[2] for r in beside} == {0, 1, 2, 3}
