@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybook.operators import chains, layout as L, running as R
+from tallybook.plans import layout_plans as LP
 
 
 def _book(spark, pages=2):
@@ -61,3 +62,8 @@ def test_state_before_a_bucket(spark, backwards):
     parts = spark.createDataFrame([("d", p, v) for p, v in enumerate(values)], "doc string, page int, v int")
     got = [r["out"] for r in R.before_buckets(parts, ["doc"], "page", "v", "out", backwards).orderBy("page").collect()]
     assert got == ([3, 5, 5, None, None] if backwards else [None, None, 3, 3, 5])
+
+
+def test_explode_of_words_reads_a_column(spark):
+    plan = LP.book_words(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(words#" in plan
