@@ -24,7 +24,7 @@ def uniform(id_text: Column, seed: int) -> Column:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, most_epochs: float = 2.0, seed: int = 17,
-                weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+                weight: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_text: bool = True) -> DataFrame:
     """Every row of `docs` with size, source_size, target (its source's) and taken, the words that the mix takes of it.
 
     Sources in code-point order, null last, take `weights` in turn and share `budget` times all words.  A target stops at
@@ -36,6 +36,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: f
     No source is sorted whole.  Keys fall into CELLS cells by a rising function; the words of each cell are summed with
     partial sums, and only the one cell of a source that holds the edge is sorted, to find the key at which to stop.  Then
     one pass compares each document with the stop of its source.  Ranking the sources is a window over one row per source.
+    Size and key are read from the texts once and written; only the last pass reads texts again, and without `keep_text`, which
+    leaves out their column, none does.
 
     Null and empty texts have size 0 and take 0.  A null source is a source.  Rows that share id, key and size are taken
     or left together.  Keys depend on the id alone: reruns agree.  An empty table gives an empty one.  Columns of `docs`
@@ -43,7 +45,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: f
     """
     src, key, cell, tag = own("src", "key", "cell", "tag")
     new = ("size", "source_size", "target", "taken")
-    columns = [c for c in docs.columns if c.lower() not in new]
+    columns = [c for c in docs.columns if c.lower() not in new and (keep_text or c != text_col)]
     tag_of = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     if weight is None:
         weight = quality_weight(F.col(text_col))
@@ -53,14 +55,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: f
                         src_of.alias(src), tag_of.alias(tag), (-F.ln(uniform(tag_of, seed)) / weight).alias(key))
     sized = sized.withColumn(cell, F.least(F.floor((1 - F.exp(-F.col(key))) * CELLS), F.lit(CELLS - 1)).cast("int"))
 
-    cells = written(sized.groupBy(src, cell).agg(F.sum("size").alias("words")))
+    if keep_text:
+        short = written(sized.select(src, cell, key, tag, "size"))
+    else:
+        sized = short = written(sized)
+    cells = written(short.groupBy(src, cell).agg(F.sum("size").alias("words")))
     plan = sources_plan(cells.groupBy(src).agg(F.sum("words").alias("source_size")), src, weights, budget, most_epochs)
     before = F.sum("words").over(W.partitionBy(src).orderBy(cell).rowsBetween(W.unboundedPreceding, -1))
     edge = cells.withColumn("before", F.coalesce(before, F.lit(0))).join(plan, src)
     edge = edge.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
     # one row per source: the cell that holds the edge and what it may give
     edge = written(edge.select(src, F.col(cell).alias("edge_cell"), (F.col("rest") - F.col("before")).alias("room")))
-    inside = sized.select(src, cell, key, tag, "size").join(edge.withColumnRenamed("edge_cell", cell), [src, cell])
+    inside = short.select(src, cell, key, tag, "size").join(edge.withColumnRenamed("edge_cell", cell), [src, cell])
     running = F.sum("size").over(W.partitionBy(src).orderBy(key, tag, "size").rowsBetween(W.unboundedPreceding, W.currentRow))
     inside = inside.withColumn("running", running).filter(F.col("running") - F.col("size") / 2 <= F.col("room"))
     stop = inside.groupBy(src).agg(F.max(F.struct(key, tag)).alias("stop"))

@@ -54,7 +54,8 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
