@@ -11,7 +11,7 @@ from tallybook.functions import text as X
 from tallybook.functions.trigrams import let
 from tallybook.operators.chains import greedy_starts
 from tallybook.operators.running import carry_last, numbered, previous, running_count, running_sums, text_of
-from tallybook.session import by_key, materialize
+from tallybook.session import by_key, forget, materialize
 
 
 
@@ -142,17 +142,19 @@ def narrative_passages(pages: DataFrame, page_departments: DataFrame, keys: list
     bullet = bullets & (F.col("line") == "•")
     title_text = F.when(F.col("_head").isNotNull() & ~in_table, F.col("_head.head")).when(F.col("_sub"), F.col("line"))
     # Islands and headings are scanned without the lines' text, which then meets them once.
-    body = materialize(body.drop("_prev").withColumn("_row", F.monotonically_increasing_id()))
-    marks = materialize(body.select(*scope, *order, "_row", (F.col("_head").isNotNull() | F.col("_sub") | bullet).alias("_opens"), title_text.alias("_heads")))
-    marks = running_count(marks, scope, order, F.col("_opens"), "_island", ["page"])
+    told = materialize(body.drop("_prev").withColumn("_row", F.monotonically_increasing_id()))
+    forget(lines)
+    written = materialize(told.select(*scope, *order, "_row", (F.col("_head").isNotNull() | F.col("_sub") | bullet).alias("_opens"), title_text.alias("_heads")))
+    marks = running_count(written, scope, order, F.col("_opens"), "_island", ["page"])
     marks = carry_last(marks, scope, order, F.col("_heads"), "heading", ["page"])
-    body = by_key(body, marks.select("_row", "_island", "heading"), ["_row"]).drop("_row")
+    body = by_key(told, marks.select("_row", "_island", "heading"), ["_row"]).drop("_row")
     rest = F.when(F.col("_head").isNotNull(), F.nullif(F.trim(F.expr("substring(line, length(_head.head) + 1)")), F.lit(""))).when(
         ~F.col("_sub") & ~bullet & (F.col("line") != "o"), F.col("line"))
     body = body.where(~in_table).withColumn("_text", rest)
     # A buffer keeps bulleted items apart; prose runs on until a heading.
     island = [*scope, "_island"]
     body = materialize(body)
+    forget(told, written)
     islands = body.groupBy(*island, "_kind", "region", "dept", "dept_name").agg(
         F.min("page").alias("pdf_page"), F.max("page").alias("last_page"), F.min_by(F.coalesce("heading", "title"), F.struct("page", "pos")).alias("heading"),
         F.sum(word_count(F.col("_text"))).alias("_words"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,12 +42,33 @@ def checkpoint_root(spark: SparkSession) -> str:
     return named
 
 
+#: Where each written table lies.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut a long lineage: write the rows to the shared folder and go on from there.  A lost executor then repeats only
-    what follows, and a plan that reads its input many times reads files instead of running it again."""
+    what follows, and a plan that reads its input many times reads files instead of running it again.  Spark drops the shuffle files
+    of the write when it has ended, so that a plan of many steps holds those of one step."""
+    conf, cleanup = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path = f"{checkpoint_root(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = conf.get(cleanup, "false")
+    conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(cleanup, before)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of materialize that nothing will read again."""
+    for df in tables:
+        spark, path = df.sparkSession, _paths.pop(df)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def by_key(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
